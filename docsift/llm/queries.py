@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from docsift.llm import bpe, mixing
+from docsift.llm import bpe, mixing, pii, quality
 
 QUERIES = {
     "op1_bpe_encode": bpe.query,
     "op2_mix_sources": mixing.query,
+    "op6_quality_rules": quality.query,
+    "op8_pii": pii.query,
 }
 
 SQL = {
