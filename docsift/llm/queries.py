@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from docsift.llm import bpe, mixing, pii, quality
+from docsift.llm import bpe, fingerprint, mixing, pii, quality, token_files
 
 QUERIES = {
     "op1_bpe_encode": bpe.query,
     "op2_mix_sources": mixing.query,
+    "op5_token_files": token_files.query,
     "op6_quality_rules": quality.query,
+    "op7_fingerprint": fingerprint.query,
     "op8_pii": pii.query,
 }
 
