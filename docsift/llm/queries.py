@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docsift.llm import bpe, fingerprint, mixing, pii, quality, token_files
+from docsift.llm import bpe, fingerprint, minhash, mixing, pii, quality, token_files
 
 QUERIES = {
     "op1_bpe_encode": bpe.query,
     "op2_mix_sources": mixing.query,
+    "op4_minhash_dedup": minhash.query,
     "op5_token_files": token_files.query,
     "op6_quality_rules": quality.query,
     "op7_fingerprint": fingerprint.query,
