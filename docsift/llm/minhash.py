@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.llm.bits import bitmap, named, place
 from docsift.llm.components import components
 from docsift.llm.text import Words, blocks, distinct_per_row, mix
 from docsift.session import prepare, stash
@@ -153,19 +154,11 @@ def sketch(df: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
 
 def _sets(df: DataFrame, wanted: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
     """k, z: the sorted set of every document that the bitmap of wanted.k names, and by chance of some more."""
-    spark = df.sparkSession
-    place = F.pmod(F.xxhash64("k"), F.lit(NAMES)) + 1  # the first bucket holds 1 to 32768
-    bits = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect()
-    table = np.zeros(NAMES // 8, np.uint8)
-    for r in bits:  # a fixed number of rows at most, NAMES / 32768
-        table[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    shared = bitmap(wanted, "k", NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
         for b in batches:
-            p = b.column(2).to_numpy() - 1
-            part = b.filter(pa.array((names[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)))
+            part = b.filter(pa.array(named(shared.value, b.column(2).to_numpy())))
             if part.num_rows:
                 for w in blocks(part.column(1), lower=True):
                     values, bounds = shingle_sets(w, plan.words)
@@ -174,7 +167,7 @@ def _sets(df: DataFrame, wanted: DataFrame, plan: Plan, key: str, text: str) ->
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(w.row, len(w)), pa.array(z, pa.binary())], names=["k", "z"])
 
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return docs.select("k", "t", place.alias("p")).mapInArrow(run, "k long, z binary")
+    return docs.select("k", "t", place(F.col("k"), NAMES).alias("p")).mapInArrow(run, "k long, z binary")
 
 
 def _verify(plan: Plan):

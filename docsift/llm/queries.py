@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsift.llm import bpe, fingerprint, minhash, mixing, pii, quality, token_files
+from docsift.llm import bpe, fingerprint, minhash, mixing, pii, quality, substrings, token_files
 
 QUERIES = {
     "op1_bpe_encode": bpe.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality.query,
     "op7_fingerprint": fingerprint.query,
     "op8_pii": pii.query,
+    "op9_substring_dedup": substrings.query,
 }
 
 SQL = {
