@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.text import blocks, buffers
-from docsift.session import partitions, prepare
+from docsift.session import extend, partitions, prepare
 
 LEAF, SECTION = 4, 8  # mean words a leaf and paragraphs a section
 _BLANK = b" \t\n\r\x0b\x0c"
@@ -126,7 +126,7 @@ def fingerprint_documents(df: DataFrame, text: str = "text") -> DataFrame:
     """df with `fingerprint`."""
     prepare(df.sparkSession)
     df = df.select(*[c for c in df.columns if c != "fingerprint"])
-    at, schema = df.columns.index(text), df.schema.add("fingerprint", "string")
+    at, schema = df.columns.index(text), extend(df.schema, ("fingerprint", "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

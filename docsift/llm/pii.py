@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.session import prepare
+from docsift.session import extend, prepare
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -223,7 +223,7 @@ def find_pii(df: DataFrame, text: str = "text", masked: bool = False) -> DataFra
     prepare(df.sparkSession)
     df = df.select(*[c for c in df.columns if c != "spans"])
     at = df.columns.index(text)
-    schema = (df if masked else df.drop(text)).schema.add("spans", SPANS)
+    schema = extend((df if masked else df.drop(text)).schema, ("spans", SPANS))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

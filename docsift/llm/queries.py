@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docsift.llm import bpe, fingerprint, minhash, mixing, pii, quality, substrings, token_files
+from docsift.llm import bpe, fingerprint, minhash, mixing, pii, quality, substrings, token_files, toxicity
 
 QUERIES = {
     "op1_bpe_encode": bpe.query,
     "op2_mix_sources": mixing.query,
+    "op3_toxicity": toxicity.query,
     "op4_minhash_dedup": minhash.query,
     "op5_token_files": token_files.query,
     "op6_quality_rules": quality.query,
