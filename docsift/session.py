@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
 _MADE: dict[str, SparkSession] = {}
@@ -98,3 +99,11 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def extend(schema: T.StructType, *fields: tuple[str, str | T.DataType]) -> T.StructType:
+    """A new schema with further fields."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in fields:
+        out.add(name, kind)
+    return out
