@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,3 +28,18 @@ def bitmap(keys: DataFrame, column: str, bits: int = BITS, own: bool = False) ->
 def named(table: np.ndarray, places: np.ndarray) -> np.ndarray:
     p = places - 1
     return (table[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key isn't among ids (one column of that name; rows without a key stay).
+
+    The bitmap lets most rows pass where they are; only those it names are shuffled for the join.
+    """
+    shared = bitmap(ids, key)
+
+    @F.pandas_udf("boolean")
+    def is_named(p: pd.Series) -> pd.Series:
+        return pd.Series(named(shared.value, p.to_numpy()))
+
+    asked = df.withColumn("__named", is_named(place(F.coalesce(F.col(key), F.lit(0).cast(df.schema[key].dataType)))) & F.col(key).isNotNull())
+    return asked.where(~F.col("__named")).drop("__named").unionByName(asked.where("__named").drop("__named").join(ids, key, "left_anti").select(*df.columns))

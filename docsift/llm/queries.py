@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from docsift.llm import bpe, fingerprint, minhash, mixing, pii, quality, substrings, token_files, toxicity
+import corpus_pipeline
+from docsift.llm import bpe, fingerprint, language_model, minhash, mixing, pii, quality, substrings, token_files, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_bpe_encode": bpe.query,
     "op2_mix_sources": mixing.query,
     "op3_toxicity": toxicity.query,
@@ -13,6 +15,7 @@ QUERIES = {
     "op6_quality_rules": quality.query,
     "op7_fingerprint": fingerprint.query,
     "op8_pii": pii.query,
+    "op10_lm_score": language_model.query,
     "op9_substring_dedup": substrings.query,
 }
 
