@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsift.operators import aggregates as A
 from docsift.operators import observe, recommend, relations, score
+from docsift.session import stash
 
 
 def deduplicated(obs: DataFrame) -> DataFrame:
@@ -15,10 +16,11 @@ def deduplicated(obs: DataFrame) -> DataFrame:
 
 def report(obs: DataFrame) -> DataFrame:
     """Duplicates are found by the severity that came with the findings; then severity is scored anew, and conflicts,
-    recommendations, summary and scores follow from that. Every part is keyed by report_id, so the joins share it."""
-    o = observe.rescore(deduplicated(obs))
-    conflicts = relations.conflicts(o)
-    recs = recommend.recommendations(o, conflicts)
+    recommendations, summary and scores follow from that. What several parts read is stored once; every part is keyed
+    by report_id."""
+    o = stash(observe.rescore(deduplicated(obs)), "findings")
+    conflicts = stash(relations.conflicts(o), "conflicts")
+    recs = stash(recommend.recommendations(o, conflicts), "recommendations")
     parts = [
         A.kpis(o).drop("confidence", "risk"), A.health(o), A.severity_assessment(o),
         recommend.joined(recommend.key_findings(o), ["rank"], "finding", "key_findings"),

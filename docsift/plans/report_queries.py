@@ -36,7 +36,7 @@ def _counts(sql: str) -> str:
 
 RISK = "CASE WHEN c > 0 THEN 'Critical' WHEN h > 0 THEN 'High' WHEN m > 0 THEN 'Medium' ELSE 'Low' END"
 ASSESS = "SELECT report_id, arg_max(severity, n * 1000000000 - first) AS overall, string_agg(severity || ':' || n, ',' ORDER BY first) AS distribution, {} AS mean_score FROM (SELECT report_id, severity, count(*) AS n, min(ord) AS first, sum(severity_score) AS s FROM scored GROUP BY ALL) GROUP BY report_id"
-_q("a3_severity_assessment", ASSESS.format("round(round(sum(s) / sum(n), 9), 3)"), A.severity_assessment)
+_q("a3_severity_assessment", ASSESS.format("round((sum(s) / sum(n))::DECIMAL(18, 9), 3)::DOUBLE"), A.severity_assessment)
 _q("a4_severity_assessment_exact", ASSESS.format("sum(s) / sum(n)"), lambda x: A.severity_assessment(x, False))
 _q("a5_kpis", _counts(f"SELECT report_id, n AS total, c AS n_critical, h AS n_high, m AS n_medium, l AS n_low, areas, {RISK} AS risk, greatest(0, 100 - 20 * c - 10 * h - 5 * m - 2 * l) / 100::DOUBLE AS confidence FROM t"), A.kpis)
 _q("a6_health", _counts(f"SELECT report_id, {HEALTH}::INT AS health FROM t"), A.health)
@@ -188,11 +188,11 @@ def j15(spark, d):
 # Scores -------------------------------------------------------------------------------------------------------------
 OQ = "(CASE WHEN len(evidence) > {} THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN n_images > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN confidence_score >= 0.7::DOUBLE THEN 0.4::DOUBLE ELSE 0 END)"
 CN = CONF_SQL + ", nc AS (SELECT report_id, count(*) AS conflicts FROM conf GROUP BY report_id)"
-_q("sc1_confidence", CN + f", s1 AS (SELECT report_id, count(*) AS n, avg({OQ.format(0)}) AS q, avg(confidence_score) AS certainty FROM scored GROUP BY report_id), s2 AS (SELECT s1.*, coalesce(conflicts, 0) AS conflicts, 1 - least(1::DOUBLE, 0.1::DOUBLE * coalesce(conflicts, 0)) AS cs FROM s1 LEFT JOIN nc USING (report_id)) SELECT report_id, n, conflicts, 0.75::DOUBLE AS completeness, round(round(q, 9), 3) AS quality, round(round(certainty, 9), 3) AS certainty, round(round(cs, 9), 3) AS conflict_score, round(round(0.3::DOUBLE * 0.75::DOUBLE + 0.3::DOUBLE * q + 0.2::DOUBLE * certainty + 0.2::DOUBLE * cs, 9), 3) AS confidence FROM s2", lambda x: S.deterministic(x, J.conflicts(x)))
+_q("sc1_confidence", CN + f", s1 AS (SELECT report_id, count(*) AS n, avg({OQ.format(0)}) AS q, avg(confidence_score) AS certainty FROM scored GROUP BY report_id), s2 AS (SELECT s1.*, coalesce(conflicts, 0) AS conflicts, 1 - least(1::DOUBLE, 0.1::DOUBLE * coalesce(conflicts, 0)) AS cs FROM s1 LEFT JOIN nc USING (report_id)) SELECT report_id, n, conflicts, 0.75::DOUBLE AS completeness, round((q)::DECIMAL(18, 9), 3)::DOUBLE AS quality, round((certainty)::DECIMAL(18, 9), 3)::DOUBLE AS certainty, round((cs)::DECIMAL(18, 9), 3)::DOUBLE AS conflict_score, round((0.3::DOUBLE * 0.75::DOUBLE + 0.3::DOUBLE * q + 0.2::DOUBLE * certainty + 0.2::DOUBLE * cs)::DECIMAL(18, 9), 3)::DOUBLE AS confidence FROM s2", lambda x: S.deterministic(x, J.conflicts(x)))
 _q("sc2_observation_quality", f"SELECT report_id, avg({OQ.format(0)}) AS quality, avg({OQ.format(10)}) AS strict FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(F.avg(S.observation_quality(o("evidence"), o("n_images"), o("confidence_score"))).alias("quality"), F.avg(S.observation_quality(o("evidence"), o("n_images"), o("confidence_score"), 10)).alias("strict")))
 _q("sc3_certainty_conflicts", CN + " SELECT s.report_id, avg(confidence_score) AS certainty, 1 - least(1::DOUBLE, 0.1::DOUBLE * coalesce(max(conflicts), 0)) AS conflict_score FROM scored s LEFT JOIN nc USING (report_id) GROUP BY s.report_id",
    lambda x: x.groupBy("report_id").agg(F.coalesce(F.avg("confidence_score"), F.lit(0.5)).alias("certainty")).join(J.conflicts(x).groupBy("report_id").agg(F.count(F.lit(1)).alias("n")), "report_id", "left").select("report_id", "certainty", S.conflict_score(F.coalesce("n", F.lit(0))).alias("conflict_score")))
-_q("sc4_quality_overall", f"SELECT report_id, round(round((0.75::DOUBLE + avg({OQ.format(10)}) + 1::DOUBLE) / 3, 9), 3) AS overall FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(T.r3((F.lit(0.75) + F.avg(S.observation_quality(o("evidence"), o("n_images"), o("confidence_score"), 10)) + F.lit(1.0)) / 3).alias("overall")))
+_q("sc4_quality_overall", f"SELECT report_id, round(((0.75::DOUBLE + avg({OQ.format(10)}) + 1::DOUBLE) / 3)::DECIMAL(18, 9), 3)::DOUBLE AS overall FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(T.r3((F.lit(0.75) + F.avg(S.observation_quality(o("evidence"), o("n_images"), o("confidence_score"), 10)) + F.lit(1.0)) / 3).alias("overall")))
 COMP = "(CASE WHEN area <> 'Unknown' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN len(observation) > 10 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN category <> 'General' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN evidence <> '' THEN 0.2::DOUBLE ELSE 0 END)"
 WC = "len(string_split(observation, ' '))"
 RQ = f"least(1::DOUBLE, least(0.4::DOUBLE, {WC} / 20::DOUBLE) + CASE WHEN evidence <> '' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN severity_score > 0 THEN 0.3::DOUBLE ELSE 0 END)"
@@ -279,8 +279,8 @@ STRAT = f"(SELECT report_id, array_to_string(list_concat(coalesce(list('Long-ter
 REPORT_SQL = MERGED + RECS + f""", t AS ({COUNTS}), nc AS (SELECT report_id, count(*) AS conflicts FROM conf GROUP BY report_id),
  s1 AS (SELECT report_id, avg({OQ.format(0)}) AS q, avg(confidence_score) AS certainty FROM scored GROUP BY report_id), s2 AS (SELECT s1.*, coalesce(conflicts, 0) AS conflicts, 1 - least(1::DOUBLE, 0.1::DOUBLE * coalesce(conflicts, 0)) AS cs FROM s1 LEFT JOIN nc USING (report_id))
  SELECT t.report_id, n AS total, c AS n_critical, h AS n_high, m AS n_medium, l AS n_low, areas, {HEALTH}::INT AS health, a.overall, a.distribution, a.mean_score, key_findings, major_concerns, quick_wins, missing_information, strategies, overall_recommendations, n_recommendations,
- s2.conflicts, round(round(q, 9), 3) AS quality, round(round(certainty, 9), 3) AS certainty, round(round(cs, 9), 3) AS conflict_score, round(round(0.3::DOUBLE * 0.75::DOUBLE + 0.3::DOUBLE * q + 0.2::DOUBLE * certainty + 0.2::DOUBLE * cs, 9), 3) AS confidence, {OVERVIEW} AS risk_overview
- FROM t JOIN s2 USING (report_id) JOIN ({ASSESS.format('round(round(sum(s) / sum(n), 9), 3)')}) a USING (report_id) LEFT JOIN {_joined(KEYF, 'finding', 'key_findings')} USING (report_id) LEFT JOIN {_joined(CONC, 'concern', 'major_concerns')} USING (report_id)
+ s2.conflicts, round((q)::DECIMAL(18, 9), 3)::DOUBLE AS quality, round((certainty)::DECIMAL(18, 9), 3)::DOUBLE AS certainty, round((cs)::DECIMAL(18, 9), 3)::DOUBLE AS conflict_score, round((0.3::DOUBLE * 0.75::DOUBLE + 0.3::DOUBLE * q + 0.2::DOUBLE * certainty + 0.2::DOUBLE * cs)::DECIMAL(18, 9), 3)::DOUBLE AS confidence, {OVERVIEW} AS risk_overview
+ FROM t JOIN s2 USING (report_id) JOIN ({ASSESS.format('round((sum(s) / sum(n))::DECIMAL(18, 9), 3)::DOUBLE')}) a USING (report_id) LEFT JOIN {_joined(KEYF, 'finding', 'key_findings')} USING (report_id) LEFT JOIN {_joined(CONC, 'concern', 'major_concerns')} USING (report_id)
  LEFT JOIN {_joined(WINS, 'win', 'quick_wins')} USING (report_id) LEFT JOIN {_joined(MISSING, 'missing', 'missing_information')} USING (report_id) LEFT JOIN {STRAT} USING (report_id) LEFT JOIN {_joined(OVER, 'action', 'overall_recommendations')} USING (report_id) LEFT JOIN (SELECT report_id, count(*) AS n_recommendations FROM rec GROUP BY report_id) USING (report_id)"""
 
 
