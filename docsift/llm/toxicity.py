@@ -5,8 +5,8 @@ the probabilities of all earlier categories. While training, those are out-of-fo
 learns from what an earlier one says of texts it hasn't seen. The tables at hand label low quality and toxicity, and the
 chain runs in this order.
 
-Features are runs of five bytes within words (A-Z lower-cased; a shorter word counts whole), hashed; for each category
-the FEATURES with the largest deviation from independence are chosen. A feature counts once a text. Models are logistic regressions with a
+Features are whole words, the words' beginnings of four to eight bytes and runs of five bytes within words (A-Z
+lower-cased), hashed; for each category the FEATURES with the largest deviation from independence are chosen. A feature counts once a text. Models are logistic regressions with a
 quadratic penalty. They are fitted on the driver on at most `sample` labelled documents, chosen by hash of their id;
 all documents are scored, whole.
 
@@ -29,34 +29,36 @@ from pyspark.sql import functions as F
 from docsift.llm.text import Words, blocks, mix, randoms
 from docsift.session import extend, prepare
 
-GRAM, SLOTS, FEATURES, SAMPLE, FOLDS = 5, 1 << 20, 1024, 6000, 5
+GRAM, PREFIXES = 5, (4, 5, 6, 7, 8)
+SLOTS, FEATURES, SAMPLE, FOLDS = 1 << 21, 1536, 6000, 5
 _LETTERS = randoms(256, 99)
-_SPREAD = randoms(GRAM, 101) | np.uint64(1)
+_SPREAD = randoms(max(GRAM, *PREFIXES), 101) | np.uint64(1)
+_KINDS = randoms(max(PREFIXES), 103)
 
 
 def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash slot of every gram of some rows' words."""
+    """Row and hash slot of every run of GRAM bytes within a word, every word's beginnings of PREFIXES bytes, and every word."""
     size = w.ends - w.starts
+    row_of = np.searchsorted(w.first, np.arange(len(size)), "right") - 1
     inside = np.zeros(len(w.data) + 1, np.int8)
-    begin = np.zeros(len(w.data) + 1, bool)
-    begin[w.starts] = True
     long = size >= GRAM
     inside[w.starts[long]] += 1
     np.subtract.at(inside, w.ends[long] - GRAM + 1, 1)
-    at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int32) > 0)
     v = _LETTERS[w.data]
     total = np.zeros(len(at), np.uint64)
     for i in range(GRAM):
         total += v[at + i] * _SPREAD[i]
-    short = np.flatnonzero(~long)
-    small = np.zeros(len(short), np.uint64)
-    for i in range(GRAM - 1):
-        on = size[short] > i
-        small[on] += v[w.starts[short[on]] + i] * _SPREAD[i]
-    places = np.concatenate((at, w.starts[short]))
-    slots = mix(np.concatenate((total, small + size[short].astype(np.uint64)))) & np.uint64(SLOTS - 1)
-    row = np.searchsorted(w.starts, places, "right") - 1
-    return np.searchsorted(w.first, row, "right") - 1, slots.astype(np.int64)
+    rows = [row_of[np.searchsorted(w.starts, at, "right") - 1], row_of]
+    hashes = [total, w.hashes()]
+    start = np.zeros(len(size), np.uint64)
+    for i in range(max(PREFIXES)):
+        on = np.flatnonzero(size > i)
+        start[on] += v[w.starts[on] + i] * _SPREAD[i]
+        if i + 1 in PREFIXES:
+            rows.append(row_of[on])
+            hashes.append(start[on] ^ _KINDS[i])
+    return np.concatenate(rows), (mix(np.concatenate(hashes)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 @dataclass
@@ -72,7 +74,7 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 200) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps."""
     n = len(y)
     mean = float(y.mean()) if n else 0.0
@@ -109,7 +111,7 @@ class Chain:
         """A column for each category."""
         out = np.zeros((len(column), len(self.categories)))
         weights = [m.weights for m in self.models]
-        for w in blocks(column, lower=True):
+        for w in blocks(column, lower=True, size=1 << 19):
             row, slot = grams(w)
             f = self.place[slot]
             on = f >= 0
@@ -129,7 +131,7 @@ def _features(rows: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[bytes] = []
-            for w in blocks(b.column(at), lower=True):
+            for w in blocks(b.column(at), lower=True, size=1 << 19):
                 row, slot = grams(w)
                 pairs = np.unique(row * SLOTS + slot)
                 cut = np.searchsorted(pairs, np.arange(len(w) + 1) * SLOTS)
