@@ -1,0 +1,437 @@
+"""Each operator against a plain version, on small tables with every odd case."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docsift.llm import bpe, fingerprint, language_model, minhash, mixing, pii, quality, substrings, token_files, toxicity
+from docsift.llm.components import UnionFind, components
+
+public = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, t int, p string, spans string, n int, size int, kept string"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts():
+    """(id, text): repeats, ties, nulls, empty, blank, long and odd ones."""
+    rnd = random.Random(7)
+    pool = ["the", "of", "And", "wall", "élan", "große", "ñandú", "x1", "a|b", "###", "idiot", "漢字", "don't", "U+00A0\xa0here"] + ["w%d" % i for i in range(400)]
+    base = [" ".join(rnd.choices(pool, k=rnd.randint(60, 200))) for _ in range(12)]
+    passage = " ".join("p%d" % i for i in range(70))
+    out = [(i, b) for i, b in enumerate(base)]
+    out += [(20, base[0]), (21, base[0].replace("wall", "hall", 1)), (22, base[1] + " tail"), (23, base[2].upper())]
+    out += [(30 + i, " ".join(rnd.choices(pool, k=20)) + " " + passage + "\n" + " ".join(rnd.choices(pool, k=30))) for i in range(5)]
+    out += [(40, None), (41, ""), (42, " \n\t "), (43, "one"), (44, "one two"), (45, "ONE Two"), (46, "and " * 300), (47, "x" * 5000 + " " + passage), (48, "\n".join(["same line"] * 9))]
+    out += [(49, " ".join(rnd.choices(pool, k=20000))), (50, "mail a.b@c.de, +1 (555) 123-4567 at 10.0.0.1 card 4111 1111 1111 1111"), (50, base[3]), (51, base[4]), (51, base[4]), (None, base[5]), (None, None)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, x, ["en", None, "de"][i % 3], ["s1", "s2", None, "hot", "hot"][i % 5], len(x or ""), "k", i, "p", "s", 1, 2, "y") for i, (k, x) in enumerate(texts())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.select(*cols).collect()), key=repr)
+
+
+# 1 ------------------------------------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return bpe.load_ranks(f.read())
+
+
+@pytest.fixture(scope="module")
+def library(vocabulary):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
+
+
+def test_bpe_equals_the_library(docs, empty, library):
+    out = bpe.encode_documents(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    assert "text" not in out.columns and "spans" in out.columns
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()), key=repr)
+    want = []
+    for k, x in texts():
+        ids = np.array(library.encode_ordinary(x or ""), "<u4").tobytes()
+        want.append((k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    assert bpe.encode_documents(empty, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
+
+
+def test_bpe_random_texts_appends_and_edits(vocabulary, library):
+    rnd = random.Random(1)
+    enc = bpe.Encoder(vocabulary, public.PATTERN)
+    letters = " \n\t\r\x1c\x85\xa0abcdeéß'stremldvABC123.,!#$%ñ漢字😀 "
+    for i in range(1500):
+        s = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40)))
+        assert enc.encode(s) == np.array(library.encode_ordinary(s), "<u4").tobytes(), s
+        assert enc.decode(np.frombuffer(enc.encode(s), "<u4")) == s.encode()
+        if i % 50 == 0:
+            enc.pieces.clear(), enc.first.clear(), enc.after.clear()
+    v = enc.vocabulary
+    for _ in range(150):
+        a, b = (bytes(rnd.choice(b"abcdefgthe ing") for _ in range(rnd.randint(1, 300))) for _ in "ab")
+        whole = bpe.PrefixTable(v, a + b)
+        grown = bpe.PrefixTable(v, a)
+        grown.append(b)
+        assert grown.last == whole.last and b"".join(v.bytes[t] for t in whole.tokens()) == a + b
+        i = rnd.randint(0, len(a))
+        j = rnd.randint(i, min(len(a), i + 5))
+        work = grown.replace(i, j, b"xyz")
+        assert grown.last == bpe.PrefixTable(v, a[:i] + b"xyz" + a[j:] + b).last
+        assert work <= len(grown.data)
+
+
+# 2 ------------------------------------------------------------------------------------------------------------------
+def test_targets():
+    assert mixing.targets([100, 100], [3, 1], 1.5, 2) == [200, 100]
+    assert mixing.targets([10, 1000], [3, 1], 1.5, 2) == [20, 1495]
+    assert mixing.targets([0, 10], [3, 1], 1.5, 2) == [0, 15]
+    assert mixing.targets([], [], 1.5, 2) == []
+
+
+def test_mix(docs, empty):
+    out = mixing.mix(docs, carry=True)
+    rows = out.collect()
+    assert len(rows) == docs.count() and len(set(out.columns)) == len(out.columns)
+    size = Counter()
+    for r in rows:
+        assert r["size"] == len(WORD.findall(r.text or "")) and r.taken == r["size"] * r.copies <= 2 * r["size"]
+        size[r.source] += r["size"]
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, mixing.targets([size[s] for s in names], [[3, 1, 2][i % 3] for i in range(len(names))], 1.5, 2), strict=True))
+    for s in names:
+        own = [r for r in rows if r.source == s]
+        assert own[0].target == goal[s] and own[0].source_size == size[s]
+        assert abs(sum(r.taken for r in own) - goal[s]) <= max(r["size"] for r in own)
+    assert rows_of(out, "doc_id", "taken") == rows_of(mixing.mix(docs.repartition(5)), "doc_id", "taken")
+    assert mixing.mix(empty).count() == 0
+
+
+# 3 ------------------------------------------------------------------------------------------------------------------
+def test_toxicity(spark, docs, empty):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    even, odd = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    chain = toxicity.chain_of(d, even)
+    assert len(chain.models) == 2 and len(chain.models[1].chained) == 1
+    j = toxicity.score(d, chain).join(odd, "doc_id").select("toxic", "p_toxic").collect()
+    right = sum((r.p_toxic >= 0.5) == bool(r.toxic) for r in j) / len(j)
+    assert right > 0.97
+    assert sum(r.p_toxic >= 0.5 for r in j if not r.toxic) <= 0.005 * len(j)
+    assert toxicity.score(docs, chain).where("p_toxic IS NULL").count() == 0
+    assert toxicity.score(empty, chain).count() == 0
+    none = toxicity.chain_of(d, labels.limit(0))
+    assert toxicity.score(docs, none).where("p_toxic > 0.01").count() == 0
+
+
+# 4 ------------------------------------------------------------------------------------------------------------------
+def plain_groups(rows, n, percent):
+    sets = []
+    for k, x in rows:
+        w = WORD.findall((x or "").translate(LOW))
+        sets.append((k, {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()))
+    u = UnionFind()
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                u.union(i, j)
+    low = {}
+    for i, (k, _) in enumerate(sets):
+        r = u.find(i)
+        low[r] = min((x for x in (low.get(r), k) if x is not None), default=None)
+    return sorted(((k, len(s), low[u.find(i)], k is not None and low[u.find(i)] == k) for i, (k, s) in enumerate(sets)), key=repr)
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
+def test_minhash(spark, docs, empty, n, percent):
+    # Rows of one id are one node to the operator, so the plain version gets no repeated ids here.
+    own = [(k, x) for k, x in texts() if k not in (50, 51)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    assert rows_of(minhash.link(df, minhash.Plan(n, percent)), "doc_id", "n_shingles", "component_id", "kept") == plain_groups(own, n, percent)
+    assert minhash.link(docs, minhash.Plan(n, percent)).count() == docs.count()
+    assert minhash.link(empty, minhash.Plan(n, percent)).count() == 0
+
+
+def test_near_copies_in_one_bucket(spark):
+    """Variants of one text at all distances: what the centres leave is joined by prefix."""
+    rnd = random.Random(5)
+    base = ["b%d" % i for i in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for p in rnd.sample(range(150), rnd.randint(0, 14)):
+            w[p] = "v%d_%d" % (i % 40, p)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(minhash.link(df, minhash.Plan(3, 85)), "doc_id", "n_shingles", "component_id", "kept") == plain_groups(rows, 3, 85)
+
+
+def test_superminhash_estimates():
+    rnd = np.random.default_rng(3)
+    err = []
+    for _ in range(40):
+        common, a, b = (rnd.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 60, 60))
+        s = minhash.signatures(np.concatenate((common, a, common, b)), np.array([0, 360, 720]))
+        assert (s >> np.uint64(32) < 128).all()
+        err.append((s[0] == s[1]).mean() - 300 / 420)
+    assert abs(np.mean(err)) < 0.02 and np.std(err) < 0.05
+    one = minhash.signatures(np.array([5], np.uint64), np.array([0, 1]))
+    assert sorted((one[0] >> np.uint64(32)).tolist()) == list(range(128))  # one element deals every rank once
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    edges = [(rnd.randint(0, 200), rnd.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    u = UnionFind()
+    for a, b in edges:
+        u.union(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
+    assert got == {x: u.find(x) for e in edges for x in e if e[0] != e[1]} | {x: c for x, c in got.items() if c == x and u.find(x) == x}
+
+
+# 5 ------------------------------------------------------------------------------------------------------------------
+def test_packing():
+    rnd = np.random.default_rng(0)
+    for top in (3, 255, 256, 70000, 1 << 24, (1 << 32) - 1):
+        sizes = rnd.integers(1, 30, 50)
+        v = rnd.integers(0, top, sizes.sum(), dtype=np.uint64, endpoint=True).astype(np.uint32)
+        control, data = token_files.pack(v, sizes)
+        assert [len(c) for c in control] == [-(-s // 4) for s in sizes]
+        assert (token_files.unpack(b"".join(control), b"".join(data), sizes) == v).all()
+
+
+def test_token_files(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    tok = Tokenizer.from_str(spec)
+    token_files.write_ids(docs, spec, f"file://{tmp_path}/ids")
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in token_files.read_ids(spark, f"file://{tmp_path}/ids").collect()))
+    at = 0
+    for start, _, n, crc, raw in got:
+        assert (start, n, crc) == (at, len(raw) // 4, zlib.crc32(raw))
+        at += n
+    ids = [k for _, k, *_ in got]
+    assert ids == sorted([k for k in ids if k is not None]) + [None, None]
+    want = sorted(((k, np.array(tok.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for k, x in texts()), key=repr)
+    assert sorted(((k, raw) for _, k, _, _, raw in got), key=repr) == want
+
+
+def test_word_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    tok, enc, rnd = Tokenizer.from_str(spec), token_files.WordEncoder(spec), random.Random(1)
+    letters = " \n\t\x1c\x85\xa0abcdeéßÉÅÏİ'stremldvABC123.,!#$%ñ漢字😀é "
+    for _ in range(1500):
+        s = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) + rnd.choice(["", "<|endoftext|>", "  A</w>"])
+        w = s.encode().split()
+        enc.learn(set(w))
+        assert np.frombuffer(b"".join(map(enc.words.__getitem__, w)), enc.kind).tolist() == tok.encode(s, add_special_tokens=False).ids, s
+
+
+# 6 ------------------------------------------------------------------------------------------------------------------
+def test_quality(docs, empty):
+    got = {(r.t, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.measure(docs).collect()}
+    for i, (_, x) in enumerate(texts()):
+        x = x or ""
+        w = WORD.findall(x)
+        tri = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        c = Counter(tri)
+        lines = [s for s in x.split("\n") if WORD.search(s)]
+        want = (i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(lines) - len(set(lines)), len({j + k for j, g in enumerate(tri) if c[g] > 1 for k in range(3)}))
+        assert want in got, (i, want)
+    kept = quality.filter_documents(docs)
+    assert set(kept.columns) == set(docs.columns) and kept.where("doc_id IN (40, 41, 46)").count() == 0
+    assert quality.filter_documents(empty).count() == 0
+
+
+def test_quality_plan_is_native(spark):
+    df = quality.measure(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_quality_keeps_clean_and_drops_junk(spark):
+    rows = quality.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
+
+
+# 7 ------------------------------------------------------------------------------------------------------------------
+def test_fingerprints(spark, docs, empty):
+    own = [(k, x) for k, x in texts() if k is not None and k not in (50, 51)]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r for r in fingerprint.edited_and_next(df).collect()}
+    ids = sorted((k for k, _ in own), reverse=True)
+    text = {k: x or "" for k, x in own}
+    for k, nxt in zip(ids, ids[1:] + ids[:1], strict=True):
+        a, b, r = text[k], text[nxt], rows[k]
+        half = len(a) // 2
+        edited = a[: len(a) - half] + b[:half]
+        assert r.n_chars == len(a) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.near_next == fingerprint.likeness(r.fingerprint, rows[nxt].fingerprint)
+        assert (r.edited_fingerprint == r.fingerprint) == (edited == a) and 0 <= r.near_edited <= 1
+    assert len({r.fingerprint for r in rows.values()}) == len(set(text.values()))
+    assert fingerprint.edited_and_next(docs).count() == docs.count()
+    assert fingerprint.edited_and_next(empty).count() == 0
+    assert fingerprint.edited_and_next(df.limit(1)).first().near_next == 1.0
+
+
+def test_edit_is_located():
+    lines = ["line %d has some words of its own number %d" % (i, i * i) for i in range(60)]
+    a, b = fingerprint.fingerprints(pa.array(["\n".join(lines), "\n".join([*lines[:30], "another line", *lines[31:]])]))
+    assert a[:32] != b[:32] and len(fingerprint.differing(a, b)) == 1
+    assert fingerprint.likeness(a, b) > 0.9
+
+
+# 8 ------------------------------------------------------------------------------------------------------------------
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_pii(t):
+    out = []
+    for k, p in BASE.items():
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "ip" and any(int(x) > 255 for x in m[0].split(".")) or k == "card" and not (13 <= len(d) <= 19 and pii.luhn(d)) or k == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_pii_base_equals_the_patterns():
+    rnd = random.Random(3)
+    for _ in range(20000):
+        t = "".join(rnd.choice("12345 0.-@+a(b).é") for _ in range(rnd.randint(0, 60)))
+        assert [s for s in pii.find(t) if s[0] in pii.BASE] == plain_pii(t), t
+
+
+def test_pii_spans_and_masks(docs, empty):
+    t = 'see https://a.example/x?y=1, iban: DE89 3704 0044 0532 0130 00 or token = "24be64439e3e49cf" and m@x.org.'
+    assert [(k, t[a:b]) for k, a, b in pii.find(t)] == [("email", "m@x.org"), ("url", "https://a.example/x?y=1"), ("account", "DE89 3704 0044 0532 0130 00"), ("account", "24be64439e3e49cf")]
+    assert pii.mask(t, pii.find(t)) == 'see [URL], iban: [ACCOUNT] or token = "[ACCOUNT]" and [EMAIL].'
+    out = pii.find_pii(docs, masked=True)
+    assert out.count() == docs.count() and out.where("text LIKE '%[EMAIL]%[PHONE]%[IP]%[CARD]%'").count() == 1
+    assert pii.find_pii(docs).where("size(spans) > 0").count() == sum(bool(pii.find(x or "")) for _, x in texts())
+    assert pii.find_pii(empty).count() == 0
+
+
+# 9 ------------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("crowd", [1, 500])
+def test_substrings(spark, docs, empty, monkeypatch, crowd):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    first = {}
+    rows = [(k, (x or "").encode().split()) for k, x in texts()]
+    for k, w in rows:
+        for i in range(len(w) - 49):
+            g = tuple(w[i : i + 50])
+            if k is not None:
+                first[g] = min(first.get(g, k), k)
+    want = []
+    for k, w in rows:
+        keep = [True] * len(w)
+        for i in range(len(w) - 49):
+            if k is not None and first[tuple(w[i : i + 50])] < k:
+                keep[i : i + 50] = [False] * 50
+        want.append((k, len(w), keep.count(False), hashlib.sha256(b" ".join(x for x, on in zip(w, keep, strict=True) if on)).hexdigest()))
+    assert rows_of(substrings.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    assert any(r[2] for r in want)
+    if crowd == 500:
+        assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_sliding_min():
+    rnd = np.random.default_rng(1)
+    for n in (1, 3, 43):
+        x = rnd.integers(0, 1 << 60, 200, dtype=np.uint64)
+        assert (substrings.sliding_min(x, n) == [x[i : i + n].min() for i in range(len(x) - n + 1)]).all()
+
+
+# 10 -----------------------------------------------------------------------------------------------------------------
+def test_language_model(spark, docs, empty):
+    rows = language_model.score(docs).collect()
+    c = Counter()
+    train = []
+    for k, x in texts():
+        w = [*WORD.findall((x or "").translate(LOW)), None]
+        out = k is not None and zlib.crc32(str(k).encode()) % 7 == 2
+        train.append((k, w, out))
+        if k is not None and not out:
+            c.update(w)
+    n, v = sum(c.values()), len(c)
+    want = sorted(((k, out, len(w), sum(x in c for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 4)) for k, w, out in train), key=repr)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows), key=repr) == want
+    assert all(r.score < 0 for r in rows)
+    assert language_model.score(empty).count() == 0
+
+
+def test_language_model_is_better_than_its_base(spark):
+    p = {r.held_out: r for r in language_model.perplexity(language_model.query(spark, "/root/testdata/sf0.01")).collect()}
+    assert p[True].perplexity < 0.7 * p[True].base_perplexity
+
+
+def test_predictions_sum_to_one():
+    """Over all words and the unknown one, the probabilities of a restaurant add up to 1."""
+    rng = np.random.default_rng(0)
+    kinds, ctx = np.arange(10, 60).astype("<u8"), 5
+    word, context = np.nonzero(rng.random((50, ctx)) < 0.4)
+    n = rng.integers(1, 40, len(word)).astype("<i8")
+    keep = np.unique(word)
+    word = np.searchsorted(keep, word)
+    kinds = kinds[keep]
+    by, pairs = (np.bincount(context, weights=w, minlength=language_model.CONTEXTS).astype("<i8") for w in (n, None))
+    row = {"part": 0, "kinds": kinds.tobytes(), "word": word.astype("<u4").tobytes(), "context": context.astype("<u2").tobytes(), "customers": n.tobytes(), "pairs": pairs.tobytes()}
+    r = language_model.Restaurants(row, by, pairs, len(kinds), 1)
+    (d0, d1), (s0, s1) = language_model.DISCOUNT, language_model.STRENGTH
+    for tables, below, upper in r.run():
+        assert (tables <= n).all() and (tables >= 1).all() and (upper <= below).all()
+        parent = (below - d0 * upper + (s0 + d0 * upper.sum()) * r.base) / (s0 + below.sum())
+        unknown = (s0 + d0 * upper.sum()) * r.base / (s0 + below.sum())
+        assert math.isclose(parent.sum() + unknown, 1)
+        for u in range(ctx):
+            on = context == u
+            t = tables[on].sum()
+            own = ((n[on] - d1 * tables[on]) / (s1 + by[u])).sum()
+            assert math.isclose(own + (s1 + d1 * t) / (s1 + by[u]), 1)
+
+
+# pipeline -----------------------------------------------------------------------------------------------------------
+def test_pipeline(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = start = spark.read.parquet(f"{sf}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, corpus_pipeline.stash(stage(spark, docs, sf), "test")
+        if i < 4:
+            assert docs.columns == start.columns
+        if i == 1:
+            kept = {r.component_id for r in minhash.link(before, corpus_pipeline.NEAR).collect()}
+            assert {r.doc_id for r in docs.collect()} == kept
+        if i == 2:
+            assert docs.count() == before.count() and all(not plain_pii(r.text) for r in docs.collect())
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert not [r for r in docs.collect() if labels.get(r.doc_id)]
+    assert docs.where(F.col("ids").isNull()).count() == 0
