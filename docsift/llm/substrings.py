@@ -125,7 +125,7 @@ def _digest(data: bytes) -> int:
 
 
 def _packed(docs: DataFrame, shared) -> DataFrame:
-    """mini, p (16 bytes naming the string), k, d (the text's hash), start, packed."""
+    """mini, p (16 bytes naming the string), k, d (the text's hash), start, n (windows), packed."""
 
     def places(mini: np.ndarray) -> np.ndarray:
         return (mini.view(np.uint64) & np.uint64((1 << 26) - 1)).astype(np.int64) + 1
@@ -137,19 +137,19 @@ def _packed(docs: DataFrame, shared) -> DataFrame:
             for w in blocks(b.column(1)):
                 row, start, n, mini = stretches(w)
                 on = named(shared.value, places(mini))
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 last, words, d = -1, [], 0
                 for r, s, c, m in zip(row[on].tolist(), start[on].tolist(), n[on].tolist(), mini[on].tolist(), strict=True):
                     if r != last:
                         raw = texts[w.row + r].as_py() or b""
                         last, words, d = r, raw.split(), _digest(raw)
                     text = b" ".join(words[s : s + c + WINDOW - 1])
-                    for column, value in zip(out, (m, hashlib.blake2b(text, digest_size=16).digest(), k[w.row + r], d, s, text), strict=True):
+                    for column, value in zip(out, (m, hashlib.blake2b(text, digest_size=16).digest(), k[w.row + r], d, s, c, text), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["mini", "p", "k", "d", "start", "packed"])
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["mini", "p", "k", "d", "start", "n", "packed"])
 
-    return docs.select("k", "t").mapInArrow(run, "mini long, p binary, k long, d long, start long, packed binary")
+    return docs.select("k", "t").mapInArrow(run, "mini long, p binary, k long, d long, start long, n int, packed binary")
 
 
 def _in_buckets(strings: DataFrame) -> DataFrame:
@@ -196,9 +196,11 @@ def _by_window(strings: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + row)), pa.array(i.astype(np.int32)), pa.array(w0.view(np.int64)), pa.array(w1.view(np.int64)), pa.array(low[at + row])], names=["p", "i", "w0", "w1", "low"])
 
     rows = strings.select("p", "low", "packed").mapInArrow(run, "p binary, i int, w0 long, w1 long, low long")
-    least = rows.groupBy("w0", "w1").agg(F.min("low").alias("f"))
-    back = rows.select("p", "i", "w0", "w1").join(least, ["w0", "w1"])
-    return back.groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "f"))), lambda x: x["f"]).alias("firsts"))
+    # A window of one string only starts first where its string does.
+    least = rows.groupBy("w0", "w1").agg(F.min("low").alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    met = rows.select("p", "i", "w0", "w1").join(least, ["w0", "w1"]).groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("i", "f"))).alias("shared"))
+    every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("shared", i), F.col("low")))
+    return strings.select("p", "low", "n").join(met, "p", "left").select("p", every.alias("firsts"))
 
 
 def _cuts(found: DataFrame) -> DataFrame:
@@ -231,7 +233,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     seen = _minimisers(docs).groupBy("mini").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select(F.col("mini").bitwiseAND(F.lit((1 << 26) - 1)).alias("p"))
     rows = stash(_packed(docs, bitmap(seen, "p", own=True)), "packed")
-    strings = rows.groupBy("p").agg(F.min("k").alias("low"), F.first("mini").alias("mini"), F.first("packed").alias("packed"))
+    strings = rows.groupBy("p").agg(F.min("k").alias("low"), F.first("mini").alias("mini"), F.first("n").alias("n"), F.first("packed").alias("packed"))
     strings = stash(strings, "strings")
     crowded = stash(strings.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("mini"), "crowded")
     small = strings.join(crowded, "mini", "left_anti").repartition("mini").sortWithinPartitions("mini")
