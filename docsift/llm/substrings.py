@@ -4,9 +4,9 @@ A window is 50 consecutive words of a document. Its minimiser is the least hash
 follow each other mostly share it. Minimisers that occur in a single document end there: equal windows have equal
 minimisers. For the others, consecutive windows of one minimiser travel as one packed string. Equal strings are merged
 first (with their smallest document), then each goes to its minimiser's bucket, where its windows are sorted by 128-bit
-hashes and every window learns the smallest document in which it starts. Buckets of very many different strings are not
-gathered: their windows are counted by an aggregate on the window itself. Each document then loses the words covered by
-windows with a smaller first document.
+hashes and every window learns the smallest document in which it starts. Buckets of very many different strings are
+split into lanes by the windows' own hashes, in proportion to the strings, and each lane is sorted by itself: equal
+windows are in one lane. Each document then loses the words covered by windows with a smaller first document.
 
 Which minimisers are shared, and which documents lose words, travels to the workers as bitmaps of fixed size (8 MB); a
 key named by chance costs only its own way.
@@ -32,7 +32,7 @@ from docsift.session import prepare, stash
 
 WINDOW, GRAM = 50, 8
 LONGEST = 256  # windows a packed string holds at most; longer stretches are sent as several
-CROWD = 500  # different strings a bucket may hold; larger ones are counted by window
+CROWD = 500  # different strings a bucket may hold; larger ones get a lane for every so many
 
 
 class _Roll:
@@ -184,23 +184,63 @@ def _in_buckets(strings: DataFrame) -> DataFrame:
     return strings.select("mini", "p", "low", "packed").mapInArrow(run, "p binary, firsts array<long>")
 
 
-def _by_window(strings: DataFrame) -> DataFrame:
-    """p, firsts of the strings of crowded buckets: a combinable minimum by window, whatever the bucket's size."""
+def _in_lanes(strings: DataFrame) -> DataFrame:
+    """p, firsts of the strings of crowded buckets. A string sends each of its bucket's lanes its windows there, packed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = b.column(1).to_numpy()
-            for at, w0, w1, begin in window_hashes(b.column(2).cast(pa.large_binary()).cast(pa.large_string())):
+            lanes = b.column(3).to_numpy()
+            for at, w0, w1, begin in window_hashes(b.column(4).cast(pa.large_binary()).cast(pa.large_string())):
                 row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-                i = np.arange(len(row)) - begin[:-1][row]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + row)), pa.array(i.astype(np.int32)), pa.array(w0.view(np.int64)), pa.array(w1.view(np.int64)), pa.array(low[at + row])], names=["p", "i", "w0", "w1", "low"])
+                lane = (w0 % lanes[at + row].astype(np.uint64)).astype(np.int64)
+                order = np.lexsort((lane, row))
+                row, lane = row[order], lane[order]
+                edge = np.ones(len(row), bool)
+                edge[1:] = (row[1:] != row[:-1]) | (lane[1:] != lane[:-1])
+                first = np.flatnonzero(edge)
+                cut = list(zip(first.tolist(), [*first[1:].tolist(), len(row)], strict=True))
+                i = (order - begin[:-1][row]).astype("<u2")
+                packed = [pa.array([x[a:z].tobytes() for a, z in cut], pa.binary()) for x in (i, w0[order], w1[order])]
+                which = pa.array(at + row[first])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(which), pa.array(lane[first]), b.column(1).take(which), b.column(2).take(which), *packed], names=["mini", "lane", "p", "low", "i", "w0", "w1"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            w0, w1 = (np.frombuffer(b"".join(x[c] for x in held), np.uint64) for c in (5, 6))
+            sizes = np.array([len(x[5]) // 8 for x in held], np.int64)
+            found = first_documents(w0, w1, np.repeat(np.array([x[3] for x in held], np.int64), sizes)).tobytes()
+            ends = np.cumsum(8 * sizes).tolist()
+            out = pa.RecordBatch.from_arrays([pa.array([x[2] for x in held], pa.binary()), pa.array([x[4] for x in held], pa.binary()), pa.array([found[a:z] for a, z in zip([0, *ends], ends, strict=False)], pa.binary())], names=["p", "i", "f"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size > 1 << 22 and x[:2] != held[-1][:2]:
+                    yield flush()
+                    size = 0
+                held.append(x)
+                size += len(x[5])
+        if held:
+            yield flush()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for parts in b.column(1).to_pylist():
+                i = np.frombuffer(b"".join(x["i"] for x in parts), "<u2")
+                f = np.frombuffer(b"".join(x["f"] for x in parts), np.int64)
+                own = np.empty(len(i), np.int64)
+                own[i] = f
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["p", "firsts"])
 
-    rows = strings.select("p", "low", "packed").mapInArrow(run, "p binary, i int, w0 long, w1 long, low long")
-    # A window of one string only starts first where its string does.
-    least = rows.groupBy("w0", "w1").agg(F.min("low").alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    met = rows.select("p", "i", "w0", "w1").join(least, ["w0", "w1"]).groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("i", "f"))).alias("shared"))
-    every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("shared", i), F.col("low")))
-    return strings.select("p", "low", "n").join(met, "p", "left").select("p", every.alias("firsts"))
+    dealt = strings.select("mini", "p", "low", "lanes", "packed").mapInArrow(deal, "mini long, lane long, p binary, low long, i binary, w0 binary, w1 binary")
+    sorted_ = dealt.repartition("mini", "lane").sortWithinPartitions("mini", "lane").mapInArrow(work, "p binary, i binary, f binary")
+    return sorted_.groupBy("p").agg(F.collect_list(F.struct("i", "f")).alias("parts")).mapInArrow(whole, "p binary, firsts array<long>")
 
 
 def _cuts(found: DataFrame) -> DataFrame:
@@ -235,10 +275,9 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = stash(_packed(docs, bitmap(seen, "p", own=True)), "packed")
     strings = rows.groupBy("p").agg(F.min("k").alias("low"), F.first("mini").alias("mini"), F.first("n").alias("n"), F.first("packed").alias("packed"))
     strings = stash(strings, "strings")
-    crowded = stash(strings.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("mini"), "crowded")
+    crowded = stash(strings.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("mini", F.ceil(F.col("c") / CROWD).cast("long").alias("lanes")), "crowded")
     small = strings.join(crowded, "mini", "left_anti").repartition("mini").sortWithinPartitions("mini")
-    large = strings.join(crowded, "mini", "left_semi")
-    firsts = _in_buckets(small).union(_by_window(large))
+    firsts = _in_buckets(small).union(_in_lanes(strings.join(crowded, "mini")))
     cuts = _cuts(rows.select("p", "k", "d", "start").join(firsts, "p"))
     return cuts.groupBy("k", "d").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cuts"))
 
