@@ -6,10 +6,12 @@ A document is done as soon as every slot holds a value of a step already taken,
 
 Documents with equal sets share a representative, the smallest id, found by a combinable minimum. Representatives
 that share a band of the signature are candidates. They are not paired with each other: in each bucket all are paired
-with the bucket's first, the pairs are verified on full sets and grouped, and only buckets that still hold more than
-one group have their members of different groups paired, in rounds around new centres and lastly all that remain, with
-a one-bit sketch of the signature and the sizes dismissing pairs that cannot be similar enough. Sets for verifying are
-made from the texts again, for the documents that a bitmap of fixed size names (a wrong name costs only its set).
+with the bucket's first and then with another centre, the pairs are verified on full sets and grouped. Of the buckets that
+still hold more than one group, the members are joined exactly by prefix filtering: of two sets similar enough, the
+few rarest shingles of one (rarest among these members) and of the other have one in common. A member that differs
+from all others in more shingles than the similarity allows is thereby done without being paired at all. Sizes and
+a one-bit sketch of the signature dismiss further pairs before they are verified. Sets are made from the texts again,
+for the documents that a bitmap of fixed size names (a wrong name costs only its set).
 
 Sets hold 64-bit hashes of the shingles. Words are runs outside {0x20, 0x09-0x0D}, A-Z lower-cased.
 
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docsift.llm.bits import bitmap, named, place
 from docsift.llm.components import components
@@ -37,7 +40,7 @@ from docsift.session import prepare, stash
 SLOTS = 128
 MISS = 1e-6  # chance that a pair just similar enough shares no band
 NAMES = 1 << 24  # bits of the bitmap of documents whose sets are wanted
-ROUNDS = 3
+ROUNDS = 2  # around centres and then by prefix; the first centre is each bucket's first member
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -223,8 +226,7 @@ def link(df: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "t
         open_ = _open(crowd, groups)
         if open_.isEmpty():
             break
-        last = turn == ROUNDS - 1
-        pairs = _all_pairs(open_, plan) if last else _star(open_, plan, turn)
+        pairs = _star(open_, plan, turn) if turn < ROUNDS - 1 else _by_prefix(df, open_, plan, key, text)
     near = groups.withColumnRenamed("node", "k")
     by_digest = reps.join(near, "k", "left").select(F.col("digest").alias("d"), F.coalesce("component", "k").alias("component"))
     out = sketches.join(by_digest, F.col("digest") == F.col("d"), "left")
@@ -247,13 +249,31 @@ def _star(open_: DataFrame, plan: Plan, turn: int) -> DataFrame:
     return met.select(F.least("m.k", "c.k").alias("u"), F.greatest("m.k", "c.k").alias("v")).distinct()
 
 
-def _all_pairs(open_: DataFrame, plan: Plan) -> DataFrame:
-    """What is left: members of one bucket in different groups, if sizes and sketches allow them to be similar."""
-    a = open_.select("b", F.col("m").alias("m"), "g")
-    b = open_.select(F.col("b").alias("b2"), F.col("m").alias("c"), F.col("g").alias("g2"))
-    met = a.join(b, (F.col("b") == F.col("b2")) & (F.col("m.k") < F.col("c.k")) & (F.col("g") != F.col("g2")) & _near(plan, "m", "c"))
+def _by_prefix(df: DataFrame, open_: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """Exactly the pairs of different groups that share a shingle of both prefixes, and whose sizes and sketches allow them to be similar.
+
+    A prefix has the n - ceil(n * percent / 100) + 1 rarest shingles of a set of n, by number of these sets that hold
+    them and then by hash; two sets with disjoint prefixes have too few shingles in common.
+    """
+    docs = stash(open_.select("m.*", "g").dropDuplicates(["k"]), "open-docs")
+    sets = _sets(df, docs.select("k"), plan, key, text).join(docs.select("k", "n"), "k").mapInArrow(_spread, "k long, s long")
+    rows = stash(sets, "spread")
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("k")
+    ranked = rows.join(common, "s").withColumn("rank", F.row_number().over(own.orderBy("c", "s"))).withColumn("held", F.count(F.lit(1)).over(own)).join(docs, "k")
+    size = F.col("n") - F.ceil(F.col("n") * plan.percent / F.lit(100.0) - 1e-9) + 1
+    prefix = stash(ranked.where(F.col("rank") <= size - (F.col("n") - F.col("held"))).select("s", F.struct("k", "n", "s0", "s1").alias("m"), "g"), "prefix")
+    other = prefix.select(F.col("s").alias("s2"), F.col("m").alias("c"), F.col("g").alias("g2"))
+    met = prefix.join(other, (F.col("s") == F.col("s2")) & (F.col("m.k") < F.col("c.k")) & (F.col("g") != F.col("g2")) & _near(plan, "m", "c"))
     return met.select(F.col("m.k").alias("u"), F.col("c.k").alias("v")).distinct()
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        z = b.column(1).to_pylist()
+        sizes = np.array([len(x) // 8 for x in z], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.frombuffer(b"".join(z), np.int64))], names=["k", "s"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"), Plan(3, 85))
