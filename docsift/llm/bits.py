@@ -20,7 +20,7 @@ def bitmap(keys: DataFrame, column: str, bits: int = BITS, own: bool = False) ->
     """The broadcast bitmap that names every value of the column (own: the values are bits, from 0). At most bits / 32768 rows of 4 kB reach the driver."""
     rows = keys.select((F.col(column) + 1 if own else place(F.col(column), bits)).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
     table = np.zeros(max(bits // 8, 4096), np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         table[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
     return keys.sparkSession.sparkContext.broadcast(table)
 
