@@ -30,7 +30,7 @@ from docsift.session import prepare
 #: White space of the pattern's engine (Unicode White_Space); Python's own \s also has 0x1C-0x1F.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries of a worker's caches; they are emptied when full.
-CACHE = 450_000
+CACHE = 200_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -336,6 +336,11 @@ class Encoder:
                 del cache[k]
         return out
 
+    def forget(self) -> None:
+        """Empty the caches: a worker's next task may be another operator's."""
+        for cache in (self.pieces, self.first, self.after):
+            cache.clear()
+
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
@@ -387,6 +392,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
                 raws.append(coded)
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())] + ([pa.array(raws, pa.binary())] if ids else [])
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+        enc.forget()
 
     return df.mapInArrow(run, schema)
 

@@ -102,7 +102,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def blocks(column: pa.Array, lower: bool = False, size: int = 1 << 21) -> Iterator[Words]:
+def blocks(column: pa.Array, lower: bool = False, size: int = 1 << 20) -> Iterator[Words]:
     """The words of a column, some MB of rows at a time; a row is never cut."""
     offsets, data = buffers(column)
     at, n = 0, len(offsets) - 1
