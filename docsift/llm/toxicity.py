@@ -30,7 +30,7 @@ from docsift.llm.text import Words, blocks, mix, randoms
 from docsift.session import extend, prepare
 
 GRAM, PREFIXES = 5, (4, 5, 6, 7, 8)
-SLOTS, FEATURES, SAMPLE, FOLDS = 1 << 21, 1536, 6000, 5
+SLOTS, FEATURES, SAMPLE, FOLDS = 1 << 21, 1536, 4000, 5
 _LETTERS = randoms(256, 99)
 _SPREAD = randoms(max(GRAM, *PREFIXES), 101) | np.uint64(1)
 _KINDS = randoms(max(PREFIXES), 103)
@@ -75,28 +75,27 @@ class Logistic:
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps."""
+    """Logistic regression by accelerated gradient steps; the intercept isn't penalised."""
     n = len(y)
     mean = float(y.mean()) if n else 0.0
     if not 0 < mean < 1:
         return np.zeros(x.shape[1]), -60.0 if mean == 0 else 60.0
-    x1 = np.hstack((x, np.ones((n, 1), np.float32))).astype(np.float32)
-    v = np.ones(x1.shape[1], np.float32)
+    v, c = np.ones(x.shape[1], np.float32), 1.0
     for _ in range(12):
-        v = x1.T @ (x1 @ v)
-        v /= np.linalg.norm(v)
-    rate = 1 / (0.25 * float(np.linalg.norm(x1 @ v)) ** 2 * 1.05 + penalty)
-    w = np.zeros(x1.shape[1], np.float32)
-    w[-1] = math.log(mean / (1 - mean))
-    ahead, t = w.copy(), 1.0
-    keep = np.full(len(w), penalty, np.float32)
-    keep[-1] = 0
+        z = x @ v + np.float32(c)
+        v, c = x.T @ z, float(z.sum())
+        size = math.sqrt(float(v @ v) + c * c)
+        v, c = v / np.float32(size), c / size
+    rate = 1 / (0.25 * float(np.square(x @ v + np.float32(c)).sum()) * 1.05 + penalty)
+    w, b = np.zeros(x.shape[1], np.float32), math.log(mean / (1 - mean))
+    ahead, ahead_b, t = w, b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ ahead, -60, 60)))
-        new = ahead - rate * (x1.T @ (p - y) + keep * ahead)
+        off = 1 / (1 + np.exp(-np.clip(x @ ahead + np.float32(ahead_b), -60, 60))) - y
+        new, new_b = ahead - np.float32(rate) * (x.T @ off + np.float32(penalty) * ahead), ahead_b - rate * float(off.sum())
         s = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        ahead, w, t = new + (t - 1) / s * (new - w), new, s
-    return w[:-1].astype(float), float(w[-1])
+        k = (t - 1) / s
+        ahead, ahead_b, w, b, t = new + np.float32(k) * (new - w), new_b + k * (new_b - b), new, new_b, s
+    return w.astype(float), b
 
 
 @dataclass
@@ -148,42 +147,45 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key: st
     chosen = labels.select(F.col(key).alias("__k"), *[F.col(c).cast("double").alias(f"__y{i}") for i, c in enumerate(categories)]).dropna()
     chosen = chosen.orderBy(F.xxhash64("__k"), "__k").limit(sample)
     both = docs.select(F.col(key).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(chosen), F.col("__id") == F.col("__k"))
-    rows = _features(both.select("__k", *[f"__y{i}" for i in range(len(categories))], "__t"), "__t").orderBy("__k", "slots").limit(2 * sample).collect()
-    y = np.array([[r[f"__y{i}"] for i in range(len(categories))] for r in rows], np.float32).reshape(len(rows), len(categories))
+    ys = [f"__y{i}" for i in range(len(categories))]
+    one = both.groupBy("__k", *ys).agg(F.min("__t").alias("__t"))  # a text an id, so no more than the sample reaches the driver
+    rows = sorted(_features(one, "__t").collect(), key=lambda r: r["__k"])
+    n = len(rows)
+    y = np.array([[r[c] for c in ys] for r in rows], np.float32).reshape(n, len(ys))
     own = [np.frombuffer(r.slots, "<u4") for r in rows]
-    size = np.array([len(s) for s in own], np.int64)
-    slots, row = (np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)), np.repeat(np.arange(len(rows)), size)
-    del rows, own
-    n = len(y)
-    df = np.bincount(slots, minlength=SLOTS).astype(float)
+    df, seen = np.zeros(SLOTS, np.float32), np.zeros((len(ys), SLOTS), np.float32)
+    for s, marks in zip(own, y, strict=True):
+        df[s] += 1
+        for c in np.flatnonzero(marks):
+            seen[c, s] += 1
     wanted: set[int] = set()
-    for c in range(len(categories)):
-        ones = y[:, c].sum()
+    for c in range(len(ys)):
+        ones = float(y[:, c].sum())
         if 0 < ones < n:
-            seen = np.bincount(slots, weights=y[row, c], minlength=SLOTS)
-            due = df * ones / n
-            z = np.where(df >= 3, (seen - due) / np.sqrt(np.maximum(due * (1 - ones / n) * (1 - df / n), 1e-9)), 0)
-            wanted |= set(np.argsort(-np.abs(z), kind="stable")[:FEATURES].tolist())
+            at = np.flatnonzero(df >= 3)
+            due = df[at] * (ones / n)
+            z = np.abs(seen[c, at] - due) / np.sqrt(np.maximum(due * (1 - ones / n) * (1 - df[at] / n), 1e-9))
+            wanted |= set(at[np.argsort(-z, kind="stable")[:FEATURES]].tolist())
+    del df, seen
     features = np.array(sorted(wanted), np.int64)
     place = np.full(SLOTS, -1, np.int32)
     place[features] = np.arange(len(features))
-    x = np.zeros((n, len(features)), np.float32)
-    f = place[slots]
-    x[row[f >= 0], f[f >= 0]] = 1
+    x = np.zeros((n, len(features) + len(ys)), np.float32)  # the last columns are for earlier categories
+    for i, s in enumerate(own):
+        f = place[s]
+        x[i, f[f >= 0]] = 1
+    del rows, own
     fold = np.arange(n) % folds
-    chain, earlier = Chain(list(categories), place), np.zeros((n, 0), np.float32)
-    for c in range(len(categories)):
-        full = np.hstack((x, earlier))
+    chain = Chain(list(categories), place)
+    for c in range(len(ys)):
+        full = x[:, : len(features) + c]
         w, b = fit(full, y[:, c])
-        model = Logistic(w[: len(features)], w[len(features) :], b)
-        chain.models.append(model)
-        if c + 1 < len(categories):
-            out = np.zeros(n)
+        chain.models.append(Logistic(w[: len(features)], w[len(features) :], b))
+        if c + 1 < len(ys):
             for k in range(folds):
                 test = fold == k
                 w, b = fit(full[~test], y[~test, c])
-                out[test] = 1 / (1 + np.exp(-np.clip(full[test] @ w + b, -60, 60)))
-            earlier = np.hstack((earlier, out[:, None].astype(np.float32)))
+                x[test, len(features) + c] = 1 / (1 + np.exp(-np.clip(full[test] @ w.astype(np.float32) + b, -60, 60)))
     return chain
 
 
