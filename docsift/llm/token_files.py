@@ -18,7 +18,6 @@ import hashlib
 import os
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,37 +25,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.session import new_path, partitions, prepare
+from docsift.session import new_path, partitions, prepare, stash
 
-CACHE = 500_000
+WORDS, LETTERS = 1_000_000, 600_000  # entries of a worker's caches; they are emptied when full
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 #: lengths of the four values that a control byte stands for
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-
-
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
-    v = values.astype("<u4")
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    codes[: len(v)] = size - 1
-    control = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-    used = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.sum(axis=1, dtype=np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
-
-
-def unpack(control: bytes, data: bytes, n: int) -> tuple[np.ndarray, int]:
-    """n values, and how many data bytes they took."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    ends = np.cumsum(size)
-    at = ends - size
-    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)))
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
+
+
+def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of each document, whose unsigned values stand one after another."""
+    v = values.astype("<u2") if not len(values) or values.max() < 1 << 16 else values.astype("<u4")
+    code = (v > 0xFF).astype(np.uint8)
+    if v.itemsize > 2:
+        code += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
+    controls = -(-sizes // 4)
+    ends, control_ends = np.cumsum(sizes), np.cumsum(controls)
+    padded = np.zeros(4 * int(controls.sum()), np.uint8)
+    padded[np.arange(len(v)) + np.repeat(4 * (control_ends - controls) - (ends - sizes), sizes)] = code
+    control = (padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6).tobytes()
+    data = v.view(np.uint8).reshape(-1, v.itemsize)[np.arange(v.itemsize, dtype=np.uint8) <= code[:, None]].tobytes()
+    data_ends = np.concatenate(([0], np.cumsum(code, dtype=np.int64)))[ends] + ends
+    return _cut(control, control_ends), _cut(data, data_ends)
+
+
+def _cut(raw: bytes, ends: np.ndarray) -> list[bytes]:
+    to = ends.tolist()
+    return [raw[a:b] for a, b in zip([0, *to], to, strict=False)]
+
+
+def unpack(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The values of all documents of these sizes, one after another."""
+    controls = -(-sizes // 4)
+    ends, control_ends = np.cumsum(sizes), np.cumsum(controls)
+    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()
+    lengths = lengths[np.arange(int(ends[-1])) + np.repeat(4 * (control_ends - controls) - (ends - sizes), sizes)]
+    at = np.cumsum(lengths, dtype=np.int64) - lengths
+    raw = np.frombuffer(data, np.uint8)
     out = raw[at].astype(np.uint32)
-    for b in (1, 2, 3):
-        more = np.flatnonzero(size > b)
+    for b in range(1, int(lengths.max())):
+        more = np.flatnonzero(lengths > b)
         out[more] |= raw[at[more] + b].astype(np.uint32) << np.uint32(8 * b)
-    return out, int(ends[-1]) if n else 0
+    return out
 
 
 class WordEncoder:
@@ -79,6 +90,7 @@ class WordEncoder:
         self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.long: list[bytes] = []
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,7 +108,14 @@ class WordEncoder:
                 self.letters.update(zip(group, self._alone(group), strict=True))
 
     def learn(self, words: set[bytes]) -> None:
+        for w in self.long:  # very long words aren't kept
+            self.words.pop(w, None)
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self.letters) > LETTERS:
+            self.letters.clear()
         new = [w for w in words if w not in self.words]
+        self.long = [w for w in new if len(w) > 200]
         plain, other = [], []
         for w in new:
             m = _PLAIN.fullmatch(w.decode())
@@ -114,16 +133,6 @@ class WordEncoder:
         self.words.update((w, get[a] + get[b] if b else get[a]) for w, a, b in plain)
         self.words.update(zip(other, self._alone([w.decode() for w in other]), strict=True))
 
-    def trim(self) -> None:
-        for cache in (self.words, self.letters):
-            if len(cache) > CACHE:
-                cache.clear()
-            for k in [k for k in cache if len(k) > 200]:
-                del cache[k]
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.kind)
-
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -140,29 +149,37 @@ def _texts(column: pa.Array) -> list[list[bytes]]:
     return [t.split() if t else [] for t in column.cast(pa.binary()).to_pylist()]
 
 
-def frequencies(df: DataFrame, shared, end_id: int) -> np.ndarray:
-    """How often each id occurs over all documents; at most one number an id comes to the driver."""
+def encode_documents(docs: DataFrame, spec: str, end_id: int) -> DataFrame:
+    """k, ids (binary, two or four bytes an id by the vocabulary's size), from k and t."""
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(shared.value)
-        total = np.zeros(enc.size, np.int64)
+        end = np.array(end_id, enc.kind).tobytes()
+        for b in batches:
+            texts = [t.split() if t else [] for t in b.column(1).cast(pa.binary()).to_pylist()]
+            enc.learn(set().union(*texts))
+            get = enc.words.__getitem__
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(map(get, words)) + end for words in texts], pa.binary())], names=["k", "ids"])
+
+    return docs.select("k", "t").mapInArrow(run, "k long, ids binary")
+
+
+def frequencies(encoded: DataFrame, kind: str) -> np.ndarray:
+    """How often each id occurs over all documents; at most one number an id comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         for b in batches:
-            seen: Counter = Counter()
-            for words in _texts(b.column(0)):
-                seen.update(words)
-            enc.learn(set(seen))
-            pieces = list(map(enc.words.__getitem__, seen))
-            ids = np.frombuffer(b"".join(pieces), enc.kind)
-            width = np.dtype(enc.kind).itemsize
-            times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), np.fromiter(map(len, pieces), np.int64, len(seen)) // width)
-            total += np.bincount(ids, weights=times, minlength=enc.size).astype(np.int64)
-            total[end_id] += b.num_rows
-            enc.trim()
+            seen = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
+            if len(seen) > len(total):
+                total, seen = seen.astype(np.int64), total
+            total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["id", "n"])
 
-    rows = df.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max([end_id, *(r.id for r in rows)]) + 1, np.int64)
+    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(max([0, *(r.id for r in rows)]) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
     return out
@@ -173,34 +190,28 @@ def write_ids(df: DataFrame, spec: str, path: str, end_id: int = 2, key: str = "
     spark = df.sparkSession
     prepare(spark)
     docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    shared = spark.sparkContext.broadcast(spec)
-    counts = frequencies(docs.select("t"), shared, end_id)
+    kind = word_encoder(spec).kind
+    encoded = stash(encode_documents(docs, spec, end_id), "encoded")
+    counts = frequencies(encoded, kind)
     by_rank = np.argsort(-counts, kind="stable")
     by_rank = by_rank[: max(1, int((counts > 0).sum()))]
     ranks = np.zeros(len(counts), np.uint32)
     ranks[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     n = partitions(spark)
-    q = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20_000).alias("q")).first().q
+    q = encoded.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20_000).alias("q")).first().q
     bounds = np.array(sorted(set(q or [])) if n > 1 else [], np.int64)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(shared.value)
         for b in batches:
-            texts = _texts(b.column(1))
-            enc.learn({w for words in texts for w in words})
-            sizes, control, data = [], [], []
-            for words in texts:
-                ids = np.append(enc.encode(words), np.array(end_id, enc.kind))
-                c, d = pack(ranks[ids])
-                sizes.append(len(ids))
-                control.append(c)
-                data.append(d)
-            enc.trim()
+            raws = b.column(1).to_pylist()
+            ids = np.frombuffer(b"".join(raws), kind)
+            sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // ids.itemsize
+            control, data = pack(ranks[ids], sizes)
             k = b.column(0)
             shard = np.searchsorted(bounds, k.fill_null(0).to_numpy(zero_copy_only=False), "left")
             shard[k.is_null().to_numpy(zero_copy_only=False)] = len(bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), k, pa.array(sizes, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["shard", "k", "n", "control", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), k, pa.array(sizes), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["shard", "k", "n", "control", "data"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = {"shard": None, "seq": 0, "start": 0}
@@ -230,7 +241,7 @@ def write_ids(df: DataFrame, spec: str, path: str, end_id: int = 2, key: str = "
         if rows:
             yield flush()
 
-    coded = docs.mapInArrow(code, "shard int, k long, n long, control binary, data binary")
+    coded = encoded.mapInArrow(code, "shard int, k long, n long, control binary, data binary")
     dealt = coded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("k").asc_nulls_last(), "control", "data")
     dealt.mapInArrow(assemble, "shard int, seq long, start long, n long, keys array<long>, sizes array<long>, control binary, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
@@ -249,15 +260,10 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, start, keys, sizes, control, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                at, c, d, starts, sums_, raws = base[s] + start, 0, 0, [], [], []
-                for n in sizes:
-                    to = c + -(-n // 4)
-                    values, used = unpack(control[c:to], data[d : d + 4 * n], n)
-                    raw = by_rank[values].astype("<u4").tobytes()
-                    starts.append(at)
-                    sums_.append(zlib.crc32(raw))
-                    raws.append(raw)
-                    at, c, d = at + n, to, d + used
+                raw = by_rank[unpack(control, data, np.array(sizes, np.int64))].astype("<u4").tobytes()
+                ends = np.cumsum(sizes)
+                raws = _cut(raw, 4 * ends)
+                starts, sums_ = (base[s] + start + ends - sizes).tolist(), list(map(zlib.crc32, raws))
                 columns = [pa.array(x, pa.int64()) for x in (keys, starts, sizes, sums_)] + ([pa.array(raws, pa.binary())] if ids else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
