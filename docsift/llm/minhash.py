@@ -211,20 +211,17 @@ def link(df: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "t
     groups = None
     for turn in range(ROUNDS + 1):
         pairs = stash(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if turn and pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        wanted = pairs.select(F.col("u").alias("k")).union(pairs.select(F.col("v").alias("k"))).distinct()
-        sets = _sets(df, wanted, plan, key, text)
-        half = pairs.join(sets.withColumnRenamed("k", "u").withColumnRenamed("z", "zu"), "u")
-        full = half.join(sets.withColumnRenamed("k", "v").withColumnRenamed("z", "zv"), "v").select("u", "v", "zu", "zv")
-        good = stash(full.mapInArrow(_verify(plan), "u long, v long"), "links")
-        links = good if links is None else links.union(good)
-        groups = stash(components(links), "groups")
-        if turn == ROUNDS:
-            break
-        open_ = _open(crowd, groups)
-        if open_.isEmpty():
+        if not turn or not pairs.isEmpty():
+            tried = pairs if tried is None else tried.union(pairs)
+            wanted = pairs.select(F.col("u").alias("k")).union(pairs.select(F.col("v").alias("k"))).distinct()
+            sets = _sets(df, wanted, plan, key, text)
+            half = pairs.join(sets.withColumnRenamed("k", "u").withColumnRenamed("z", "zu"), "u")
+            full = half.join(sets.withColumnRenamed("k", "v").withColumnRenamed("z", "zv"), "v").select("u", "v", "zu", "zv")
+            good = stash(full.mapInArrow(_verify(plan), "u long, v long"), "links")
+            links = good if links is None else links.union(good)
+            groups = stash(components(links), "groups")
+            open_ = _open(crowd, groups) if turn < ROUNDS else None
+        if turn == ROUNDS or open_.isEmpty():  # a round without new pairs leaves the buckets open for the next one
             break
         pairs = _star(open_, plan, turn) if turn < ROUNDS - 1 else _by_prefix(df, open_, plan, key, text)
     near = groups.withColumnRenamed("node", "k")

@@ -187,6 +187,23 @@ def test_near_copies_in_one_bucket(spark):
     assert rows_of(minhash.link(df, minhash.Plan(3, 85)), "doc_id", "n_shingles", "component_id", "kept") == plain_groups(rows, 3, 85)
 
 
+def test_star_round_without_new_pairs(spark):
+    """The second centre of every bucket is its first member again; the link of the other two is found all the same."""
+    common = ["x126_%d" % i for i in range(100)]
+    texts_ = [" ".join(common + ["%s126_%d" % (c, i) for i in range(n)]) for c, n in (("q", 10), ("b", 8), ("c", 8))]
+    hashed = [r.id for r in spark.range(1, 50).orderBy(F.xxhash64(F.lit(0), "id").desc()).collect()]
+    low = hashed[0]
+    ids = [low, *[k for k in hashed[1:] if k > low][:2]]
+    rows = list(zip(ids, texts_, strict=True))
+    plan = minhash.Plan(1, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = {r.k: {*r.bands} for r in minhash.sketch(df, plan, "doc_id", "text").collect()}
+    a, b, c = (bands[k] for k in ids)
+    assert b & c and b & c <= a  # the first member sits in every bucket that the similar two share
+    got = rows_of(minhash.link(df, plan), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == plain_groups(rows, 1, 85) and sum(r[3] for r in got) == 2
+
+
 def test_superminhash_estimates():
     rnd = np.random.default_rng(3)
     err = []
