@@ -1,7 +1,7 @@
 """Scoring by a hierarchical Pitman-Yor model of two levels.
 
-A token's context is the token before it. The CONTEXTS - 2 most frequent words and the start of a text have restaurants
-of their own, all other words share one; they are children of one parent restaurant, whose base gives each of the V + 1
+A token's context is the token before it, or the start of the text. Every context seen in training has a restaurant of
+its own, whatever their number; they are children of one parent restaurant, whose base gives each of the V + 1
 types (one stands for all unknown words) the same chance. A customer of a restaurant is a training token, a table it
 opens is a customer of the parent. Seatings are sampled by Gibbs sweeps: all customers of one dish in one restaurant
 leave and are seated again one after another given everyone else, a new table being chosen with the weight
@@ -11,8 +11,11 @@ customers are seated some at a time. The score averages the predictive probabili
 Distribution. Texts become streams of numbers of (context, word) pairs within blocks of some MB; a block sends its
 distinct pairs, as packed arrays, to buckets by hash of the word, so all customers of a dish in all restaurants, and
 the parent's tables of the dish, are in one bucket, whatever the word's share of the corpus (a bucket holds a word's
-pairs, at most CONTEXTS of them, not its tokens). Buckets exchange only totals by restaurant, CONTEXTS numbers each,
-between rounds, and return each block's probabilities as arrays. What is gathered grows with the distinct pairs.
+pairs, not its tokens). After every sweep each bucket sends its tables by restaurant, as packed arrays, to the owners
+of the restaurants by hash of the context, which add them up and send each bucket the sums of the restaurants it has
+pairs of; the driver gets two sums a sweep. Draws are hashes of the sweep, word and context, so they are the same for
+every number of buckets. Buckets return each block's probabilities as arrays. What is gathered grows with the distinct
+pairs.
 
 Defined cases: a null text is empty and has one token, the end; ids that are null are never in the training part and
 are held out if the remainder of crc32('') says so (it doesn't); an empty table gives no rows; other columns are
@@ -25,55 +28,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.text import blocks, mix
-from docsift.session import partitions, prepare, stash
+from docsift.session import partitions, prepare, stash, tidy, unstash
 
-CONTEXTS = 4096  # restaurants: the start, frequent words, and one for all others
+CONTEXTS = 4096  # restaurants of a bucket for which none are named
 BURN, SAMPLES = 3, 4
 DISCOUNT, STRENGTH = (0.75, 0.85), (50.0, 5.0)  # of the parent and of the children
-LANES = 16
-BLOCK = 1 << 21  # words a block holds at least, unless there are no more
-END = 0x9AE16A3B2F90404F  # the end's hash; words have others
+MEAN = 16  # most tables that a batch of customers is expected to open, or not to
+SEED = 1000
+BLOCK = 3 << 20  # words a block holds at least, unless there are no more
+END = 0x9AE16A3B2F90404F  # the end's hash, and that of the start as a context; words have others
 
 
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _frequent(docs: DataFrame, count: int) -> list[int]:
-    """Hashes of the most frequent training words, the most frequent first. At most `count` reach the driver.
+STREAM = "block long, part int, k array<long>, train array<boolean>, sizes array<long>, stream binary, words binary, per binary, names binary, contexts binary, counts binary"
 
-    Partitions count all their words and keep the most frequent 16 * count of them for the sum.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            for w in blocks(b.column(0), lower=True):
-                h, n = np.unique(w.hashes(), return_counts=True)
-                keys, at = np.unique(np.concatenate((keys, h)), return_inverse=True)
-                sums = np.bincount(at, weights=np.concatenate((sums, n)), minlength=len(keys)).astype(np.int64)
-                if len(keys) > 1 << 20:
-                    keep = np.sort(np.argsort(-sums, kind="stable")[: 1 << 19])
-                    keys, sums = keys[keep], sums[keep]
-        keep = np.argsort(-sums, kind="stable")[: 16 * count]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(sums[keep])], names=["h", "n"])
-
-    rows = docs.where("train").select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "h").limit(count).collect()
-    return [r.h & 0xFFFFFFFFFFFFFFFF for r in rows]
 
-
-STREAM = "block long, part int, k array<long>, train array<boolean>, sizes array<long>, stream binary, words binary, per binary, contexts binary, counts binary"
-
-
-def _blocks(docs: DataFrame, frequent: list[int], parts: int) -> DataFrame:
+def _blocks(docs: DataFrame, parts: int) -> DataFrame:
     """Two kinds of rows. part = -1: a block's documents and their streams of pair numbers.
     part >= 0: the block's pairs whose word falls in that bucket, in the order of their numbers."""
-    known = np.sort(np.array(frequent, np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
@@ -83,30 +63,33 @@ def _blocks(docs: DataFrame, frequent: list[int], parts: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq
             words = np.concatenate([x[2] for x in held])
-            context = np.concatenate([x[3] for x in held])
-            sizes = np.concatenate([x[4] for x in held])
+            sizes = np.concatenate([x[3] for x in held])
             train = np.concatenate([x[1] for x in held])
             kinds, word = np.unique(words, return_inverse=True)
             bucket = (kinds % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
-            pair, number = np.unique(place[word] * CONTEXTS + context, return_inverse=True)
+            at = place[word]
+            context = np.concatenate((at[-1:], at[:-1]))  # a text's first word comes after an end
+            many = len(kinds)
+            pair, number = np.unique(at * many + context, return_inverse=True)
             counts = np.bincount(number, weights=np.repeat(train, sizes), minlength=len(pair)).astype("<u4")
             w = kinds[order]
-            per = np.bincount(pair // CONTEXTS, minlength=len(kinds)).astype("<u2")  # pairs of each word
-            c = (pair % CONTEXTS).astype("<u2")
+            per = np.bincount(pair // many, minlength=many).astype("<u4")  # pairs of each word
+            c = pair % many
             block = (task << 24) + seq
             seq += 1
             keys = pa.concat_arrays([x[0] for x in held])
-            rows = [(block, -1, keys.to_pylist(), train.tolist(), sizes.tolist(), number.astype("<u4").tobytes(), None, None, None, None)]
+            rows = [(block, -1, keys.to_pylist(), train.tolist(), sizes.tolist(), number.astype("<u4").tobytes(), None, None, None, None, None)]
             cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-            at = np.searchsorted(pair // CONTEXTS, cut).tolist()
+            at = np.searchsorted(pair // many, cut).tolist()
             cut = cut.tolist()
             for p in range(parts):
                 if cut[p + 1] > cut[p]:
                     words_of, pairs_of = slice(cut[p], cut[p + 1]), slice(at[p], at[p + 1])
-                    rows.append((block, p, None, None, None, None, w[words_of].tobytes(), per[words_of].tobytes(), c[pairs_of].tobytes(), counts[pairs_of].tobytes()))
+                    names, own = np.unique(c[pairs_of], return_inverse=True)
+                    rows.append((block, p, None, None, None, None, w[words_of].tobytes(), per[words_of].tobytes(), w[names].tobytes(), narrow(own), narrow(counts[pairs_of])))
             held.clear()
             yield _batch(rows, STREAM_TYPES)
 
@@ -120,13 +103,8 @@ def _blocks(docs: DataFrame, frequent: list[int], parts: int) -> DataFrame:
                 inner = np.ones(len(words), bool)
                 inner[ends] = False
                 words[inner], words[ends] = h, END
-                at = np.searchsorted(known, words)
-                at = np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == words), at + 2, 1) if len(known) else np.ones(len(words), np.int64)
-                context = np.empty(len(words), np.int64)
-                context[1:] = at[:-1]
-                context[ends - n] = 0
                 train = b.column(1).slice(w.row, len(w)).to_numpy(zero_copy_only=False)
-                held.append((b.column(0).slice(w.row, len(w)), train, words, context, sizes))
+                held.append((b.column(0).slice(w.row, len(w)), train, words, sizes))
                 size += len(words)
                 if size >= BLOCK:
                     yield from flush()
@@ -137,182 +115,300 @@ def _blocks(docs: DataFrame, frequent: list[int], parts: int) -> DataFrame:
     return docs.select("k", "train", "t").mapInArrow(run, STREAM)
 
 
-STREAM_TYPES = [("block", pa.int64()), ("part", pa.int32()), ("k", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("stream", pa.binary()), ("words", pa.binary()), ("per", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())]
+STREAM_TYPES = [("block", pa.int64()), ("part", pa.int32()), ("k", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("stream", pa.binary()), ("words", pa.binary()), ("per", pa.binary()), ("names", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())]
 
 
 def _batch(rows: list[tuple], types: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
 
 
-def _words(words: bytes, per: bytes) -> np.ndarray:
-    """The word of every pair."""
-    return np.repeat(np.frombuffer(words, "<u8"), np.frombuffer(per, "<u2"))
+def narrow(x: np.ndarray) -> bytes:
+    """Natural numbers in as few bytes each as the largest needs."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if top < 1 << 8 * n)).tobytes()
 
 
-def _vector_sums(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of vectors (v: little-endian 64-bit integers) by i. LANES partial sums of each reach the driver, whatever the number of rows."""
+def wide(raw: bytes, count: int) -> np.ndarray:
+    """`count` natural numbers of any width."""
+    return np.frombuffer(raw, f"<u{len(raw) // count}" if count else "<u1").astype(np.int64)
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for v in b.column(b.schema.get_field_index("v")).to_pylist():
-                x = np.frombuffer(v, "<i8")
-                total = x.copy() if total is None else total + x
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["i", "v"])
-
-    out: dict[int, np.ndarray] = {}
-    for r in rows.groupBy("i", "lane").applyInArrow(run, "i int, v binary").collect():
-        x = np.frombuffer(r.v, "<i8")
-        out[r.i] = out[r.i] + x if r.i in out else x
-    return out
+
+def gaps(x: np.ndarray) -> bytes:
+    """Ascending numbers by their differences."""
+    return narrow(np.diff(x, prepend=0))
+
+
+def _pairs(words: bytes, per: bytes, names: bytes, contexts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The word and the context of every pair."""
+    w = np.repeat(np.frombuffer(words, "<u8"), np.frombuffer(per, "<u4"))
+    return w, np.frombuffer(names, "<u8")[wide(contexts, len(w))]
 
 
 def _customers(rows: DataFrame) -> DataFrame:
-    """One row a bucket: its words, and its pairs with training customers: word's place, context, customers."""
+    """Two kinds of rows. block = -1: a bucket, its words, the contexts of its pairs, and its pairs with training customers, by word: how many, context's place, customers.
+    Others: what a block asks of the bucket, its words (place and whether there is one) and contexts as places in the bucket's."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, c, n = [], [], []
+        w, c, n, asked = [], [], [], []
+        names = np.zeros(0, np.uint64)
         for b in batches:
-            for x, m, y, z in zip(*(b.column(b.schema.get_field_index(f)).to_pylist() for f in ("words", "per", "contexts", "counts")), strict=True):
-                w.append(_words(x, m))
-                c.append(np.frombuffer(y, "<u2"))
-                n.append(np.frombuffer(z, "<u4"))
+            for block, x, m, f, y, z in zip(*(b.column(b.schema.get_field_index(f)).to_pylist() for f in ("block", "words", "per", "names", "contexts", "counts")), strict=True):
+                asked.append((block, x, m, f, y))
+                own, context = _pairs(x, m, f, y)
+                count = wide(z, len(own))
+                on = count > 0
+                w.append(own[on])
+                c.append(context[on])
+                n.append(count[on])
+                names = np.union1d(names, np.frombuffer(f, "<u8"))
         w, c, n = np.concatenate(w), np.concatenate(c), np.concatenate(n)
-        w, c, n = w[n > 0], c[n > 0], n[n > 0]
         kinds, at = np.unique(w, return_inverse=True)
-        pair, number = np.unique(at * CONTEXTS + c, return_inverse=True)
+        pair, number = np.unique(at * len(names) + np.searchsorted(names, c), return_inverse=True)
         total = np.bincount(number, weights=n, minlength=len(pair)).astype("<i8")
-        by_context = np.bincount(pair % CONTEXTS, minlength=CONTEXTS).astype("<i8")
-        yield _batch([(key[0].as_py(), kinds.tobytes(), (pair // CONTEXTS).astype("<u4").tobytes(), (pair % CONTEXTS).astype("<u2").tobytes(), total.tobytes(), np.bincount(pair % CONTEXTS, weights=total, minlength=CONTEXTS).astype("<i8").tobytes(), by_context.tobytes(), len(kinds))], BUCKET_TYPES)
+        yield _batch([(key[0].as_py(), kinds.tobytes(), names.tobytes(), narrow(np.bincount(pair // max(len(names), 1), minlength=len(kinds))), narrow(pair % max(len(names), 1)), narrow(total), int(total.sum()), len(kinds), len(pair), -1, None, None, None, None, None, None)], BUCKET_TYPES)
+        while asked:
+            block, x, m, f, y = asked.pop()
+            x, m = np.frombuffer(x, "<u8"), np.frombuffer(m, "<u4")
+            place = np.searchsorted(kinds, x)
+            known = np.zeros(len(x), bool)
+            known[place < len(kinds)] = kinds[place[place < len(kinds)]] == x[place < len(kinds)]
+            of = np.searchsorted(names, np.frombuffer(f, "<u8"))
+            order = np.argsort(of)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            yield _batch([(key[0].as_py(), None, None, None, None, None, 0, 0, 0, block, gaps(place), known.tobytes(), narrow(m), gaps(of[order]), len(of), narrow(rank[wide(y, int(m.sum()))]))], BUCKET_TYPES)
 
     return rows.groupBy("part").applyInArrow(run, BUCKET)
 
 
-BUCKET_TYPES = [("part", pa.int32()), ("kinds", pa.binary()), ("word", pa.binary()), ("context", pa.binary()), ("customers", pa.binary()), ("by_context", pa.binary()), ("pairs", pa.binary()), ("n_kinds", pa.int64())]
-BUCKET = "part int, kinds binary, word binary, context binary, customers binary, by_context binary, pairs binary, n_kinds long"
+BUCKET_TYPES = [("part", pa.int32()), ("kinds", pa.binary()), ("names", pa.binary()), ("per", pa.binary()), ("context", pa.binary()), ("customers", pa.binary()), ("n_customers", pa.int64()), ("n_kinds", pa.int64()), ("n_pairs", pa.int64()), ("block", pa.int64()), ("at", pa.binary()), ("known", pa.binary()), ("asked", pa.binary()), ("of", pa.binary()), ("n_of", pa.int64()), ("contexts", pa.binary())]
+BUCKET = "part int, kinds binary, names binary, per binary, context binary, customers binary, n_customers long, n_kinds long, n_pairs long, block long, at binary, known binary, asked binary, of binary, n_of long, contexts binary"
+
+
+def _unpacked(row: dict) -> dict:
+    """A bucket's row with the word and the customers of each pair."""
+    kinds = len(row["kinds"]) // 8
+    word = np.repeat(np.arange(kinds), wide(row["per"], kinds))
+    return row | {"word": word.astype("<u4").tobytes(), "customers": wide(row["customers"], len(word)).astype("<i8").tobytes()}
+
+
+def uniform(keys: np.ndarray, *at: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on the key and on the place in the sampling only."""
+    for i in at:
+        keys = mix(keys + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return (keys >> np.uint64(11)) * 2.0**-53
 
 
-def seat(customers: np.ndarray, start: np.ndarray, gain: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Inverse of the distribution function at u, for n * min(p, 1 - p) of no more than some dozens."""
+    q = np.minimum(p, 1 - p)
+    found = np.zeros(len(n), np.int64)
+    odds, chance = q / (1 - q), (1 - q) ** n
+    at = np.flatnonzero((u >= chance) & (n > 0))
+    left, chance, odds = u[at] - chance[at], chance[at], odds[at]
+    k = 0
+    while len(at):
+        k += 1
+        found[at] = k
+        chance = chance * ((n[at] - k + 1) / k * odds)
+        on = (left >= chance) & (k < n[at]) & ((chance > 1e-18) | (k < n[at] * q[at]))
+        at, left, chance, odds = at[on], left[on] - chance[on], chance[on], odds[on]
+    return np.where(p > 0.5, n - found, found)
+
+
+def seat(customers: np.ndarray, start: np.ndarray, gain: np.ndarray, discount: float, keys: np.ndarray) -> np.ndarray:
     """Tables after seating each pair's customers anew. A new table weighs start + gain * tables (of the pair, so far)."""
     tables = np.ones(len(customers), np.int64)
     at = np.flatnonzero(customers > 1)
     seated = np.ones(len(at), np.int64)
+    turn = 0
     while len(at):
-        step = np.minimum(np.maximum(1, seated // 16), customers[at] - seated)
         new = start[at] + gain[at] * tables[at]
         p = new / (new + seated - discount * tables[at])
-        one = step == 1
-        opened = np.empty(len(at), np.int64)
-        opened[one] = rng.random(int(one.sum())) < p[one]
-        opened[~one] = rng.binomial(step[~one], p[~one])
+        most = np.maximum(MEAN / np.maximum(np.minimum(p, 1 - p), 1e-12), 1).astype(np.int64)
+        step = np.minimum(np.minimum(np.maximum(1, seated // 16), customers[at] - seated), most)
+        u = uniform(keys[at], turn)
+        opened = (u < p).astype(np.int64)
+        more = np.flatnonzero(step > 1)
+        if len(more):
+            opened[more] = binomial(step[more], p[more], u[more])
         tables[at] += opened
         seated += step
         on = seated < customers[at]
         at, seated = at[on], seated[on]
+        turn += 1
     return tables
 
 
 class Restaurants:
-    """The part of all restaurants that serves one bucket's words, and its sweeps."""
+    """The part of all restaurants that serves one bucket's words, and its sweeps.
+
+    totals and tables are the customers and tables of each restaurant over all buckets; each pair starts with one table.
+    """
 
-    def __init__(self, row: dict, totals: np.ndarray, pairs: np.ndarray, types: int, seed: int):
+    def __init__(self, row: dict, totals: np.ndarray, tables: np.ndarray, types: int, seed: int):
         self.kinds = np.frombuffer(row["kinds"], "<u8")
         self.word = np.frombuffer(row["word"], "<u4").astype(np.int64)
-        self.context = np.frombuffer(row["context"], "<u2").astype(np.int64)
+        self.context = wide(row["context"], len(self.word))
         self.customers = np.frombuffer(row["customers"], "<i8")
-        self.totals, self.pairs, self.types = totals, pairs, types
-        own = np.frombuffer(row["pairs"], "<i8")
-        #: All tables of a restaurant for each one in this bucket.
-        self.share = np.where(own > 0, pairs / np.maximum(own, 1), 0.0)
-        self.rng = np.random.default_rng(seed)
+        self.names = np.frombuffer(row["names"], "<u8") if "names" in row else np.arange(CONTEXTS, dtype=np.uint64)
+        self.totals, self.all_tables, self.types, self.seed = totals, tables, types, seed
         self.tables = np.ones(len(self.word), np.int64)
         self.base = 1.0 / (types + 1)
 
-    def sweep(self, upper_customers: float, upper_tables: float) -> tuple[np.ndarray, np.ndarray]:
-        """Seat everyone anew; tables by pair, and the parent's tables by word."""
+    def below(self) -> np.ndarray:
+        """The parent's customers by word."""
+        return np.bincount(self.word, weights=self.tables, minlength=len(self.kinds)).astype(np.int64)
+
+    def own(self) -> np.ndarray:
+        """This bucket's tables by restaurant."""
+        return np.bincount(self.context, weights=self.tables, minlength=len(self.names)).astype(np.int64)
+
+    def sweep(self, turn: int, upper_customers: float, upper_tables: float) -> tuple[np.ndarray, np.ndarray]:
+        """Seat everyone anew; tables by pair, and the parent's tables by word. all_tables are those of the sweep before."""
         d0, d1 = DISCOUNT
         s0, s1 = STRENGTH
-        from_below = np.bincount(self.word, weights=self.tables, minlength=len(self.kinds)).astype(np.int64)
-        upper = seat(from_below, np.full(len(from_below), (s0 + d0 * upper_tables) * self.base), np.full(len(from_below), d0 * self.base), d0, self.rng)
+        from_below = self.below()
+        by_word = mix(self.kinds + np.uint64(self.seed))
+        upper = seat(from_below, np.full(len(from_below), (s0 + d0 * upper_tables) * self.base), np.full(len(from_below), d0 * self.base), d0, by_word + np.uint64(2 * turn))
         parent = (from_below - d0 * upper + (s0 + d0 * upper_tables) * self.base) / (s0 + upper_customers)
-        own = np.bincount(self.context, weights=self.tables, minlength=CONTEXTS)
-        all_tables = np.maximum(own * self.share, own)
         p = parent[self.word]
-        self.tables = seat(self.customers, (s1 + d1 * np.maximum(all_tables[self.context] - self.tables, 0)) * p, d1 * p, d1, self.rng)
-        return self.tables, upper
+        others = np.maximum(self.all_tables[self.context] - self.tables, 0)
+        keys = mix(by_word[self.word] ^ mix(self.names)[self.context]) + np.uint64(2 * turn + 1)
+        self.tables = seat(self.customers, (s1 + d1 * others) * p, d1 * p, d1, keys)
+        return self.tables, np.minimum(upper, self.below())
 
     def run(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """After the burn-in: tables by pair, customers and tables of the parent by word."""
-        scale = self.pairs.sum() / max(len(self.word), 1)
-        word_scale = self.types / max(len(self.kinds), 1)
+        """All sweeps where this bucket is the only one. After the burn-in: tables by pair, customers and tables of the parent by word."""
         upper_tables = float(self.types)
         for i in range(BURN + SAMPLES):
-            tables, upper = self.sweep(float(self.tables.sum()) * scale, upper_tables)
-            upper_tables = float(upper.sum()) * word_scale
+            tables, upper = self.sweep(i, float(self.tables.sum()), upper_tables)
+            self.all_tables = self.own()
+            upper_tables = float(upper.sum())
             if i >= BURN:
-                below = np.bincount(self.word, weights=tables, minlength=len(self.kinds)).astype(np.int64)
-                yield tables, below, np.minimum(upper, below)
+                yield tables, self.below(), upper
+
+
+#: To a bucket from itself (source -1): tables by pair and the parent's tables by word, in v and u, and their sums.
+#: To a context's owner: names and this source's tables of them. From the owner: the sums, in the order of the source's names.
+MAIL = "part int, source int, names binary, v binary, u binary, below long, upper long"
+MAIL_TYPES = [("part", pa.int32()), ("source", pa.int32()), ("names", pa.binary()), ("v", pa.binary()), ("u", pa.binary()), ("below", pa.int64()), ("upper", pa.int64())]
 
 
-def _restaurants(row: dict, shared: dict) -> Restaurants:
-    return Restaurants(row, shared["totals"], shared["pairs"], shared["types"], 1000 + row["part"])
+def _send(part: int, names: np.ndarray, v: np.ndarray, parts: int) -> list[tuple]:
+    """v's columns by name, to the owners of the names."""
+    owner = (names % np.uint64(parts)).astype(np.int64)
+    return [(q, part, names[at].tobytes(), narrow(v[at].ravel()), None, None, None) for q in np.unique(owner).tolist() for at in [owner == q]]
 
 
-def _sums(buckets: DataFrame, shared) -> list[dict]:
-    """For each kept sweep: tables by restaurant, and the parent's customers and tables, summed over each partition and then over all."""
+def _add_up(mail: DataFrame, columns: int) -> DataFrame:
+    """What owners of contexts answer to each source."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, names, v = [], [], []
+        for b in batches:
+            source += b.column(b.schema.get_field_index("source")).to_pylist()
+            for x, y in zip(*(b.column(b.schema.get_field_index(f)).to_pylist() for f in ("names", "v")), strict=True):
+                names.append(np.frombuffer(x, "<u8"))
+                v.append(wide(y, len(names[-1]) * columns).reshape(-1, columns))
+        kinds, at = np.unique(np.concatenate(names), return_inverse=True)
+        v = np.concatenate(v)
+        total = np.stack([np.bincount(at, weights=v[:, i], minlength=len(kinds)).astype(np.int64) for i in range(columns)], 1)
+        ends = np.cumsum([len(x) for x in names]).tolist()
+        for s, a, z in zip(source, [0, *ends[:-1]], ends, strict=True):
+            yield _batch([(s, key[0].as_py(), None, narrow(total[at[a:z]].ravel()), None, None, None)], MAIL_TYPES)
+
+    return mail.where("source >= 0").groupBy("part").applyInArrow(run, MAIL)
+
+
+def _received(names: np.ndarray, mail: list[dict], parts: int, columns: int) -> np.ndarray:
+    """The sums of each of the names."""
+    out = np.zeros((len(names), columns), np.int64)
+    owner = (names % np.uint64(parts)).astype(np.int64)
+    for m in mail:
+        if m["source"] >= 0:
+            at = np.flatnonzero(owner == m["source"])
+            out[at] = wide(m["v"], len(at) * columns).reshape(-1, columns)
+    return out
+
+
+def _first(buckets: DataFrame, parts: int) -> DataFrame:
+    """Customers and tables of each restaurant, one table a pair: the sums, to every bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SAMPLES, CONTEXTS + 2), np.int64)
         for b in batches:
             for row in b.to_pylist():
-                r = _restaurants(row, shared.value)
-                for i, (tables, below, upper) in enumerate(r.run()):
-                    total[i, :CONTEXTS] += np.bincount(r.context, weights=tables, minlength=CONTEXTS).astype(np.int64)
-                    total[i, CONTEXTS:] += (below.sum(), upper.sum())
-        lane = TaskContext.get().partitionId() % LANES
-        yield pa.RecordBatch.from_arrays([pa.array(range(SAMPLES), pa.int32()), pa.array([lane] * SAMPLES, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total], pa.binary())], names=["i", "lane", "v"])
+                r = Restaurants(_unpacked(row), None, None, 0, 0)
+                customers = np.bincount(r.context, weights=r.customers, minlength=len(r.names)).astype(np.int64)
+                yield _batch(_send(row["part"], r.names, np.stack((customers, r.own()), 1), parts), MAIL_TYPES)
 
-    sums = _vector_sums(buckets.mapInArrow(run, "i int, lane int, v binary"))
-    kept = [sums.get(i, np.zeros(CONTEXTS + 2, np.int64)) for i in range(SAMPLES)]
-    return [{"tables": x[:CONTEXTS], "below": int(x[CONTEXTS]), "upper": int(x[CONTEXTS + 1])} for x in kept]
+    return _add_up(buckets.mapInArrow(run, MAIL), 2)
 
 
-def _predict(rows: DataFrame, buckets: DataFrame, shared, sums: list[dict]) -> DataFrame:
+def _sweep(buckets: DataFrame, begin: DataFrame, inbox: DataFrame | None, turn: int, parts: int, types: int, below: int, upper: int) -> DataFrame:
+    """One sweep of all buckets: their mail to themselves and to the owners of contexts."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        row, mail = left.to_pylist()[0], right.to_pylist()
+        names = np.frombuffer(row["names"], "<u8")
+        start = _received(names, [m for m in mail if m["start"]], parts, 2)
+        r = Restaurants(_unpacked(row), start[:, 0], start[:, 1], types, SEED)
+        later = [m for m in mail if not m["start"]]
+        if later:
+            r.all_tables = _received(names, later, parts, 1)[:, 0]
+            r.tables = wide(next(m["v"] for m in later if m["source"] < 0), len(r.word))
+        tables, top = r.sweep(turn, float(below), float(upper))
+        own = (row["part"], -1, None, narrow(tables), narrow(top), int(tables.sum()), int(top.sum()))
+        return pa.Table.from_batches([_batch([own, *_send(row["part"], names, r.own()[:, None], parts)], MAIL_TYPES)])
+
+    mail = begin.withColumn("start", F.lit(True)) if inbox is None else inbox.withColumn("start", F.lit(False))
+    return buckets.groupBy("part").cogroup(mail.groupBy("part")).applyInArrow(run, MAIL)
+
+
+def _predict(rows: DataFrame, buckets: DataFrame, begin: DataFrame, kept: list[tuple[DataFrame, int, int]], parts: int, types: int) -> DataFrame:
     """block, part, p (log10 of the averaged probability of each pair, in order), c (the word's training count)."""
     d0, d1 = DISCOUNT
     s0, s1 = STRENGTH
+    sums = [(below, upper) for _, below, upper in kept]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        state = right.to_pylist()
-        row = state[0] if state else {"part": key[0].as_py(), "kinds": b"", "word": b"", "context": b"", "customers": b"", "pairs": np.zeros(CONTEXTS, "<i8").tobytes()}
-        r = _restaurants(row, shared.value)
-        kinds, pair = r.kinds, r.word * CONTEXTS + r.context
+        found = right.to_pylist()
+        row = next(m for m in found if m["sample"] is None)
+        names = np.frombuffer(row["names"], "<u8")
+        totals = _received(names, [m for m in found if m["sample"] == -1], parts, 2)[:, 0]
+        r = Restaurants(_unpacked(row), totals, None, types, SEED)
+        kinds, pair = r.kinds, r.word * len(names) + r.context
         count = np.bincount(r.word, weights=r.customers, minlength=len(kinds))
         asked = []
-        for block, w, m, c in zip(*(left.column(x).to_pylist() for x in ("block", "words", "per", "contexts")), strict=True):
-            w, c = _words(w, m), np.frombuffer(c, "<u2").astype(np.int64)
-            at = np.searchsorted(kinds, w)
-            known = np.zeros(len(w), bool)
-            inside = at < len(kinds)
-            known[inside] = kinds[at[inside]] == w[inside]
-            at[~known] = 0
-            wanted = at * CONTEXTS + c
+        for block, at, known, m, of, size, c in zip(*(left.column(x).to_pylist() for x in ("block", "at", "known", "asked", "of", "n_of", "contexts")), strict=True):
+            known = np.frombuffer(known, bool)
+            m = wide(m, len(known))
+            at = np.repeat(np.where(known, np.cumsum(wide(at, len(known))), 0), m)
+            known = np.repeat(known, m)
+            c = np.cumsum(wide(of, size))[wide(c, len(at))]
+            wanted = at * len(names) + c
             place = np.searchsorted(pair, wanted)
             met = known & (place < len(pair))
             met[met] = pair[place[met]] == wanted[met]
             place[~met] = 0
-            asked.append((block, at, known, c, place, met, np.zeros(len(w))))
-        for (tables, below, upper), s in zip(r.run(), sums, strict=True):
-            parent = (below - d0 * upper + (s0 + d0 * s["upper"]) * r.base) / (s0 + s["below"])
-            unknown = (s0 + d0 * s["upper"]) * r.base / (s0 + s["below"])
-            back = (s1 + d1 * s["tables"]) / (s1 + r.totals)
-            own = (r.customers - d1 * tables) / (s1 + r.totals[r.context])
+            asked.append((block, at, known, c, place, met, np.zeros(len(at))))
+        for i, (all_below, all_upper) in enumerate(sums):
+            mail = [m for m in found if m["sample"] == i]
+            state = next(m for m in mail if m["source"] < 0)
+            r.tables, upper, all_tables = wide(state["v"], len(r.word)), wide(state["u"], len(kinds)), _received(names, mail, parts, 1)[:, 0]
+            parent = (r.below() - d0 * upper + (s0 + d0 * all_upper) * r.base) / (s0 + all_below)
+            unknown = (s0 + d0 * all_upper) * r.base / (s0 + all_below)
+            back = (s1 + d1 * all_tables) / (s1 + totals)
+            own = (r.customers - d1 * r.tables) / (s1 + totals[r.context])
             for _, at, known, c, place, met, p in asked:
                 p += back[c] * (np.where(known, parent[at], unknown) if len(parent) else unknown) + (np.where(met, own[place], 0) if len(own) else 0)
         out = [(block, row["part"], np.log10(p / SAMPLES).astype("<f4").tobytes(), np.where(known, count[at] if len(count) else 0, 0).astype("<u4").tobytes()) for block, at, known, _, _, _, p in asked]
         return pa.Table.from_batches([_batch(out, [("block", pa.int64()), ("part", pa.int32()), ("p", pa.binary()), ("c", pa.binary())])])
 
-    return rows.select("part", "block", "words", "per", "contexts").groupBy("part").cogroup(buckets.drop("by_context").groupBy("part")).applyInArrow(run, "block long, part int, p binary, c binary")
+    state = buckets.withColumn("sample", F.lit(None).cast("int"))
+    for i, mail in enumerate([begin, *(x for x, _, _ in kept)], -1):
+        state = state.unionByName(mail.select("part", "source", "v", "u", F.lit(i).alias("sample")), allowMissingColumns=True)
+    return rows.select("part", "block", "at", "known", "asked", "of", "n_of", "contexts").groupBy("part").cogroup(state.groupBy("part")).applyInArrow(run, "block long, part int, p binary, c binary")
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,19 +417,32 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     prepare(spark)
     docs = df.select(F.col(key).cast("long").alias("k"), (F.col(key).isNotNull() & ~held_out(F.col(key))).alias("train"), F.col(text).alias("t"))
     parts = partitions(spark)
-    frequent = _frequent(docs, CONTEXTS - 2)
-    table = stash(_blocks(docs, frequent, parts), "blocks")
-    pairs = table.where("part >= 0").select("part", "block", "words", "per", "contexts", "counts")
-    buckets = stash(_customers(pairs), "buckets")
-    lane = F.pmod("part", F.lit(LANES)).alias("lane")
-    sums = _vector_sums(buckets.select(F.lit(0).alias("i"), lane, F.col("by_context").alias("v")).union(buckets.select(F.lit(1), lane, "pairs")))
-    sums = [sums.get(i, np.zeros(CONTEXTS, np.int64)) for i in (0, 1)]
-    kinds = int(buckets.agg(F.sum("n_kinds").alias("n")).first().n or 0)
-    total = int(sums[0].sum())
-    shared = spark.sparkContext.broadcast({"totals": sums[0], "pairs": sums[1], "types": kinds})
-    kept = _sums(buckets, shared)
-    answers = _predict(pairs, buckets, shared, kept)
-    streams = table.where("part = -1").select("block", "k", "train", "sizes", "stream")
+    table = stash(_blocks(docs, parts), "blocks")
+    pairs = table.where("part >= 0").select("part", "block", "words", "per", "names", "contexts", "counts")
+    rows = stash(_customers(pairs), "buckets")
+    streams = stash(table.where("part = -1").select("block", "k", "train", "sizes", "stream"), "streams")
+    unstash(table)
+    buckets, asked = rows.where("block = -1").select("part", "kinds", "names", "per", "context", "customers", "n_customers", "n_kinds", "n_pairs"), rows.where("block >= 0")
+    begin = stash(_first(buckets, parts), "totals")
+    tidy(spark)
+    sums = buckets.agg(F.sum("n_customers"), F.sum("n_kinds"), F.sum("n_pairs")).first()
+    total, kinds, below = (int(x or 0) for x in sums)
+    upper, inbox, kept = kinds, None, []
+    near = buckets.repartition(parts, "part").persist(StorageLevel.DISK_ONLY)  # dealt once for all sweeps
+    for turn in range(BURN + SAMPLES):
+        mail = stash(_sweep(near, begin, inbox, turn, parts, kinds, below, upper), "sweep")
+        below, upper = (int(x or 0) for x in mail.where("source < 0").agg(F.sum("below"), F.sum("upper")).first())
+        used = inbox if turn <= BURN else None
+        inbox = stash(mail.where("source < 0").union(_add_up(mail, 1)), "inbox")
+        unstash(mail)
+        tidy(spark)
+        if used is not None:
+            unstash(used)
+        if turn >= BURN:
+            kept.append((inbox, below, upper))
+    near.unpersist()
+    tidy(spark)
+    answers = _predict(asked, buckets, begin, kept, parts, kinds)
     name = key
     schema = f"`{name}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 

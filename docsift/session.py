@@ -97,6 +97,17 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstash(df: DataFrame) -> None:
+    """Remove a table made by stash that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are no longer referred to."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -411,6 +411,30 @@ def test_language_model_is_better_than_its_base(spark):
     assert p[True].perplexity < 0.7 * p[True].base_perplexity
 
 
+def test_every_context_has_a_restaurant(spark):
+    """Word pairs seen three times each, far more contexts than 4096: all of them are told from pairs never seen."""
+    rnd, n = random.Random(2), 5000
+    ids = [k for k in range(40 * n)]
+    out = [k for k in ids if zlib.crc32(str(k).encode()) % 7 == 2]
+    pairs = list(range(n))
+    rows = []
+    for k in [k for k in ids if k not in set(out[: 2 * n])][:3]:
+        rnd.shuffle(pairs)
+        rows.append((k, " ".join("r%d s%d" % (i, i) for i in pairs)))
+    rows += [(k, "r%d s%d" % (i, i)) for i, k in enumerate(out[:n])] + [(k, "r%d s%d" % (i, (i + 1) % n)) for i, k in enumerate(out[n : 2 * n])]
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    better = [got[a] - got[b] for a, b in zip(out[:n], out[n : 2 * n], strict=True)]
+    assert min(better) > 1
+
+
+def test_binomial():
+    u = (np.arange(200000) + 0.5) / 200000
+    for n, p in ((1, 0.3), (40, 0.4), (1000, 0.016), (300, 0.95), (7, 1.0), (5, 1e-9)):
+        x = language_model.binomial(np.full(len(u), n), np.full(len(u), p), u)
+        assert x.min() >= 0 and x.max() <= n
+        assert math.isclose(x.mean(), n * p, rel_tol=1e-3, abs_tol=1e-4) and math.isclose(x.var(), n * p * (1 - p), rel_tol=2e-2, abs_tol=1e-4)
+
+
 def test_predictions_sum_to_one():
     """Over all words and the unknown one, the probabilities of a restaurant add up to 1."""
     rng = np.random.default_rng(0)
