@@ -427,6 +427,21 @@ def test_every_context_has_a_restaurant(spark):
     assert min(better) > 1
 
 
+def test_language_model_is_the_same_for_any_partitions(spark):
+    """One word and one context are hot; what a bucket holds doesn't matter."""
+    rnd = random.Random(6)
+    rows = [(k, " ".join(w for _ in range(100) for w in rnd.choice([("hot", "w%d" % rnd.randint(0, 300)), ("w%d" % rnd.randint(0, 300), "hot"), ("hot", "hot")]))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append({r.doc_id: r.score for r in language_model.score(df.repartition(parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][k], got[1][k], abs_tol=1e-6) for k in got[0])
+
+
 def test_binomial():
     u = (np.arange(200000) + 0.5) / 200000
     for n, p in ((1, 0.3), (40, 0.4), (1000, 0.016), (300, 0.95), (7, 1.0), (5, 1e-9)):
