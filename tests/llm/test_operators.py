@@ -144,6 +144,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, none).where("p_toxic > 0.01").count() == 0
 
 
+def test_toxicity_recall(spark):
+    """On more labels than the sample takes."""
+    d = spark.read.parquet("/root/testdata/check_s/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet")
+    even, odd = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    assert even.count() > toxicity.SAMPLE
+    j = toxicity.score(d, toxicity.chain_of(d, even)).join(odd, "doc_id").where("toxic = 1").select("p_toxic").collect()
+    assert np.mean([r.p_toxic >= 0.5 for r in j]) > 0.985
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 def plain_groups(rows, n, percent):
     sets = []
