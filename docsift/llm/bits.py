@@ -8,7 +8,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 26  # 8 MB, whatever the number of keys; the more keys, the more others are named by chance
+BITS = 1 << 26  # 8 MB; the more keys, the more others are named by chance
+MOST = 1 << 29  # 64 MB
 
 
 def place(key: Column, bits: int = BITS) -> Column:
@@ -16,6 +17,11 @@ def place(key: Column, bits: int = BITS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
 
 
+def enough(keys: DataFrame) -> int:
+    """Bits for which one other key in some thirty is named by chance: 32 a key, 128 kB to 64 MB."""
+    return 1 << max(20, min(MOST.bit_length() - 1, (32 * keys.count()).bit_length()))
+
+
 def bitmap(keys: DataFrame, column: str, bits: int = BITS, own: bool = False) -> Broadcast:
     """The broadcast bitmap that names every value of the column (own: the values are bits, from 0). At most bits / 32768 rows of 4 kB reach the driver."""
     rows = keys.select((F.col(column) + 1 if own else place(F.col(column), bits)).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))

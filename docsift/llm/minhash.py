@@ -5,19 +5,22 @@ step by step; in step j an element offers the value j + (a fraction) to one slot
 A document is done as soon as every slot holds a value of a step already taken, after one or two steps for most.
 
 Documents with equal sets share a representative, the smallest id, found by a combinable minimum. Representatives
-that share a band of the signature are candidates. They are not paired with each other: in each bucket all are paired
-with the bucket's first and then with another centre, the pairs are verified on full sets and grouped. Of the buckets that
-still hold more than one group, the members are joined exactly by prefix filtering: of two sets similar enough, the
-few rarest shingles of one (rarest among these members) and of the other have one in common. A member that differs
-from all others in more shingles than the similarity allows is thereby done without being paired at all. Sizes and
-a one-bit sketch of the signature dismiss further pairs before they are verified. Sets are made from the texts again,
-for the documents that a bitmap of fixed size names (a wrong name costs only its set).
-
-Sets hold 64-bit hashes of the shingles. Words are runs outside {0x20, 0x09-0x0D}, A-Z lower-cased.
+that share a band of the signature are candidates; a bucket's hub is its smallest member, and all members of the
+buckets of one hub form that hub's cell. Full sets are sent to the cells, once a cell, and compared there: first with
+the hub, then with each other as far as they are still in different groups, by a running union-find. Only links that
+join two groups leave a cell, fewer than it has members; pairs are never rows. Two members differ at least by the
+shingles that each alone has in the cell, so in order of these, members that differ too much from all are done
+without being compared. A hub with more shingles than BLOCK has several lanes, by hash of the member: every lane
+gets the hub first, and if more than one group is left after that, every two lanes meet in a cell of their own, so
+a task never holds more than two lanes (or one document, if that is larger).
+
+Sets are made from the texts again, for the documents that a bitmap names (a wrong name costs only its set). They
+hold 64-bit hashes of the shingles. Words are runs outside {0x20, 0x09-0x0D}, A-Z lower-cased.
 
 Defined cases: a null or blank text has the empty set and is linked with nothing; with fewer words than a shingle has,
 the whole sequence is the one shingle; rows without an id take part as copies but never name a group (a group of such
-rows alone has the null component and none kept); repeated ids share a component; an empty table gives no rows.
+rows alone has the null component and none kept); repeated ids share a component; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +31,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docsift.llm.bits import bitmap, named, place
+from docsift.llm.bits import bitmap, enough, named, place
 from docsift.llm.components import components
 from docsift.llm.text import Words, blocks, distinct_per_row, mix
-from docsift.session import prepare, stash
+from docsift.session import partitions, prepare, stash
 
 SLOTS = 128
 MISS = 1e-6  # chance that a pair just similar enough shares no band
-NAMES = 1 << 24  # bits of the bitmap of documents whose sets are wanted
-ROUNDS = 2  # around centres and then by prefix; the first centre is each bucket's first member
+BLOCK, ROW = 1 << 19, 16  # shingles of a lane, 4 MB of hashes; a document counts as so many more
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -61,12 +62,6 @@ class Plan:
                     return b, r
         return SLOTS, 1
 
-    @property
-    def sketch_bits(self) -> int:
-        """Most bits of the sketch in which a pair at the limit differs, by five standard deviations."""
-        p = (1 - self.percent / 100) / 2
-        return int(np.ceil(SLOTS * p + 5 * np.sqrt(SLOTS * p * (1 - p))))
-
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, concatenated, and their bounds."""
@@ -134,66 +129,145 @@ def bands(signature: np.ndarray, count: int, width: int) -> np.ndarray:
     return mix(total + np.arange(count, dtype=np.uint64) * _K[0]).view(np.int64)
 
 
+def digests(values: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A set's name; None for the empty set."""
+    raw = values.tobytes()
+    return [hashlib.blake2b(raw[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 def sketch(df: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """k, n (set size), digest (null for the empty set), bands, s0 and s1 (a bit a slot)."""
+    """k, n (set size), digest (null for the empty set), bands."""
     count, width = plan.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in blocks(b.column(1), lower=True):
+            for w in blocks(b.column(1), lower=True, size=1 << 19):
                 values, bounds = shingle_sets(w, plan.words)
-                sig = signatures(values, bounds)
-                n = np.diff(bounds)
-                raw = values.tobytes()
-                digest = [hashlib.blake2b(raw[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                bits = np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-                keys = bands(sig, count, width)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * count), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.row, len(w)), pa.array(n), pa.array(digest, pa.binary()), lists, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["k", "n", "digest", "bands", "s0", "s1"])
+                keys = bands(signatures(values, bounds), count, width)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * count), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.row, len(w)), pa.array(np.diff(bounds)), pa.array(digests(values, bounds), pa.binary()), lists], names=["k", "n", "digest", "bands"])
 
     docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return docs.mapInArrow(run, "k long, n long, digest binary, bands array<long>, s0 long, s1 long")
+    return docs.mapInArrow(run, "k long, n long, digest binary, bands array<long>")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """k, z: the sorted set of every document that the bitmap of wanted.k names, and by chance of some more."""
-    shared = bitmap(wanted, "k", NAMES)
+    """k, d, z: the sorted set, and its name, of every document that the bitmap of wanted.k names, and by chance of some more."""
+    bits = enough(wanted)
+    shared = bitmap(wanted, "k", bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part = b.filter(pa.array(named(shared.value, b.column(2).to_numpy())))
             if part.num_rows:
-                for w in blocks(part.column(1), lower=True):
+                for w in blocks(part.column(1), lower=True, size=1 << 19):
                     values, bounds = shingle_sets(w, plan.words)
                     raw = values.tobytes()
                     z = [raw[8 * a : 8 * e] for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(w.row, len(w)), pa.array(z, pa.binary())], names=["k", "z"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(w.row, len(w)), pa.array(digests(values, bounds), pa.binary()), pa.array(z, pa.binary())], names=["k", "d", "z"])
 
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return docs.select("k", "t", place(F.col("k"), NAMES).alias("p")).mapInArrow(run, "k long, z binary")
+    return docs.select("k", "t", place(F.col("k"), bits).alias("p")).mapInArrow(run, "k long, d binary, z binary")
+
+
+def connect(sets: list[np.ndarray], group: np.ndarray, percent: int, hub: np.ndarray | None = None, rest: bool = True, lane: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (by position) that join groups: of the hubs with all, then, if `rest`, of all members of different groups; of different lanes only, if lanes are given.
+
+    Of two sets similar enough the symmetric difference is at most (100 - percent) / (100 + percent) of both sizes, and it
+    holds what each alone has here: with excess = (100 + percent) * alone - (100 - percent) * size, theirs add up to no
+    more than 0.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = count[code] > 1
+    alone = np.bincount(row[~shared], minlength=len(sets))
+    excess = (100 + percent) * alone - (100 - percent) * size
+    first = np.zeros(len(sets), bool) if hub is None else hub
+    order = np.lexsort((excess, ~first))
+    order = order[alone[order] < size[order]]  # the others share nothing
+    at = np.full(len(sets), -1)
+    at[order] = np.arange(len(order))
+    keep = shared & (at[row] >= 0)
+    by = np.argsort(at[row[keep]], kind="stable")
+    code = code[keep][by]
+    bounds = np.concatenate(([0], np.cumsum((size - alone)[order])))
+    size, excess, lanes = size[order], excess[order], None if lane is None else lane[order]
+    group = np.unique(group, return_inverse=True)[1][order]
+    hubs = int(first[order].sum())
+    found, mark, names = [], np.zeros(len(count), bool), np.arange(len(sets))
+    for r in range(len(order) - 1 if rest else hubs):
+        last = len(order) if r < hubs else int(np.searchsorted(excess[hubs:], -excess[r], "right")) + hubs
+        if last <= r + 1:
+            continue
+        a, b = size[r], size[r + 1 : last]
+        ask = (group[r + 1 : last] != group[r]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        if lanes is not None:
+            ask &= lanes[r + 1 : last] != lanes[r]
+        met = np.flatnonzero(ask) + r + 1
+        if not len(met):
+            continue
+        mark[code[bounds[r] : bounds[r + 1]]] = True
+        if 4 * len(met) >= last - r:
+            lo = met[0]
+            common = np.add.reduceat(mark[code[bounds[lo] : bounds[last]]], bounds[lo:last] - bounds[lo], dtype=np.int64)[met - lo]
+        else:
+            n = bounds[met + 1] - bounds[met]
+            begin = np.cumsum(n) - n
+            common = np.add.reduceat(mark[code[np.repeat(bounds[met] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+        mark[code[bounds[r] : bounds[r + 1]]] = False
+        hits = met[100 * common >= percent * (a + size[met] - common)]
+        if len(hits):
+            joined, one = np.unique(group[hits], return_index=True)
+            found += [(int(order[r]), int(j)) for j in order[hits[one]]]
+            names[joined] = group[r]
+            group = names[group]
+            names[joined] = joined
+            if (group == group[0]).all():
+                break
+    return found
+
 
+CELL = "h binary, lane long, k long, g long, hub boolean, part long, full boolean, z binary"
+
+
+def _links(cells: DataFrame, plan: Plan) -> DataFrame:
+    """u, v: the links found in each cell (h, lane). Members: k, g (group so far), hub, part (lane, to compare with other lanes only, or null), full (whether members that aren't hubs are compared), z."""
 
-def _verify(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            k, part = t.column("k").to_numpy(), t.column("part")
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("z")]
+            got = connect(sets, t.column("g").to_numpy(), plan.percent, t.column("hub").to_numpy(zero_copy_only=False), t.column("full")[0].as_py(), None if part[0].as_py() is None else part.to_numpy())
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(k[[a for a, _ in got]]), pa.array(k[[b for _, b in got]])], names=["u", "v"])
+
+        last = None
         for b in batches:
-            u, v = [], []
-            for x, y, zx, zy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(zx.as_buffer(), np.uint64), np.frombuffer(zy.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((p, q)))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= plan.percent * (len(p) + len(q) - common):
-                    u.append(x)
-                    v.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            own = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            begin = 0
+            for i in range(b.num_rows + 1):
+                if i == b.num_rows or own[i] != last:
+                    if i > begin:
+                        held.append(b.slice(begin, i - begin))
+                    if i < b.num_rows:
+                        if held:
+                            yield from flush()
+                        begin, last = i, own[i]
+        if held:
+            yield from flush()
 
-    return run
+    dealt = cells.repartition(partitions(cells.sparkSession), "h", "lane").sortWithinPartitions("h", "lane")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
-def _near(plan: Plan, a: str, b: str) -> Column:
-    """Sizes and sketches allow the similarity."""
-    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
-    return (100 * F.least(x, y) >= plan.percent * F.greatest(x, y)) & (apart <= plan.sketch_bits)
+def _compare(df: DataFrame, members: DataFrame, wanted: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """Links of the members (as in CELL, d instead of z), whose sets are made and sent here; wanted: a table that has their k."""
+    return _links(members.join(_sets(df, wanted, plan, key, text), ["k", "d"]).select("h", "lane", "k", "g", "hub", "part", "full", "z"), plan)
 
 
 def link(df: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,28 +276,27 @@ def link(df: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "t
     prepare(spark)
     sketches = stash(sketch(df, plan, key, text), "sketches")
     with_set = sketches.where("digest IS NOT NULL AND k IS NOT NULL")
-    reps = stash(with_set.groupBy("digest").agg(F.min("k").alias("k"), F.min_by(F.struct("n", "bands", "s0", "s1"), "k").alias("x")).select("digest", "k", "x.*"), "reps")
-    members = reps.select(F.explode("bands").alias("b"), F.struct("k", "n", "s0", "s1").alias("m"))
-    first = members.groupBy("b").agg(F.min("m").alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("b", "c")
-    crowd = stash(members.join(first, "b"), "crowd")  # only buckets of two and more
-    pairs = crowd.where("m.k <> c.k").where(_near(plan, "m", "c")).select(F.col("c.k").alias("u"), F.col("m.k").alias("v")).distinct()
-    tried = links = None
-    groups = None
-    for turn in range(ROUNDS + 1):
-        pairs = stash(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if not turn or not pairs.isEmpty():
-            tried = pairs if tried is None else tried.union(pairs)
-            wanted = pairs.select(F.col("u").alias("k")).union(pairs.select(F.col("v").alias("k"))).distinct()
-            sets = _sets(df, wanted, plan, key, text)
-            half = pairs.join(sets.withColumnRenamed("k", "u").withColumnRenamed("z", "zu"), "u")
-            full = half.join(sets.withColumnRenamed("k", "v").withColumnRenamed("z", "zv"), "v").select("u", "v", "zu", "zv")
-            good = stash(full.mapInArrow(_verify(plan), "u long, v long"), "links")
-            links = good if links is None else links.union(good)
-            groups = stash(components(links), "groups")
-            open_ = _open(crowd, groups) if turn < ROUNDS else None
-        if turn == ROUNDS or open_.isEmpty():  # a round without new pairs leaves the buckets open for the next one
-            break
-        pairs = _star(open_, plan, turn) if turn < ROUNDS - 1 else _by_prefix(df, open_, plan, key, text)
+    reps = stash(with_set.groupBy("digest").agg(F.min("k").alias("k"), F.min_by(F.struct("n", "bands"), "k").alias("x")).select("digest", "k", "x.*"), "reps")
+    members = reps.select(F.explode("bands").alias("b"), F.struct("k", F.col("digest").alias("d"), "n").alias("m"))
+    hubs = members.groupBy("b").agg(F.min("m").alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("b", F.col("c.d").alias("h"))
+    crowd = stash(members.join(hubs, "b").select("h", "m.*").distinct(), "crowd")  # a member is often met in several buckets of one hub
+    lanes = crowd.groupBy("h").agg(F.sum(F.col("n") + ROW).alias("n")).where(F.col("n") > BLOCK).select("h", F.ceil(F.col("n") / BLOCK).alias("lanes"))
+    wide = stash(lanes, "wide")
+    placed = crowd.join(wide, "h", "left").select("h", "k", "d", F.coalesce("lanes", F.lit(1)).alias("lanes"), (F.col("d") == F.col("h")).alias("hub"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("d"), F.col("lanes")))
+    every = F.when(F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).otherwise(F.array("part"))
+    star = placed.select("h", F.explode(every).alias("lane"), "k", "d", F.col("k").alias("g"), "hub", F.lit(None).cast("long").alias("part"), (F.col("lanes") == 1).alias("full"))
+    links = stash(_compare(df, star, crowd, plan, key, text), "links")
+    groups = stash(components(links), "groups")
+    if not wide.isEmpty():
+        grouped = placed.where("lanes > 1").join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("g", F.coalesce("component", "k"))
+        mixed = grouped.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("h")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))
+        met = grouped.join(mixed, "h").withColumn("other", other)
+        pairs = met.select("h", (F.least("part", "other") * F.col("lanes") + F.greatest("part", "other")).alias("lane"), "k", "d", "g", F.lit(False).alias("hub"), F.when(F.col("part") != F.col("other"), F.col("part")).alias("part"), F.lit(True).alias("full"))
+        pairs = stash(pairs, "lanes")
+        more = _compare(df, pairs, pairs, plan, key, text)
+        groups = stash(components(stash(links.union(more), "links")), "groups")
     near = groups.withColumnRenamed("node", "k")
     by_digest = reps.join(near, "k", "left").select(F.col("digest").alias("d"), F.coalesce("component", "k").alias("component"))
     out = sketches.join(by_digest, F.col("digest") == F.col("d"), "left")
@@ -231,46 +304,5 @@ def link(df: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "t
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(False)).alias("kept"))
 
 
-def _open(crowd: DataFrame, groups: DataFrame) -> DataFrame:
-    """b, m, g of the buckets whose members are in more than one group."""
-    g = groups.select(F.col("node").alias("gk"), F.col("component").alias("gc"))
-    labelled = crowd.join(g, F.col("m.k") == F.col("gk"), "left").select("b", "m", F.coalesce("gc", "m.k").alias("g"))
-    mixed = labelled.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("b")
-    return stash(labelled.join(mixed, "b"), "open")
-
-
-def _star(open_: DataFrame, plan: Plan, turn: int) -> DataFrame:
-    """Every member with the member of its bucket that this round makes the centre, if they are in different groups."""
-    centre = open_.groupBy("b").agg(F.max_by(F.struct("m", "g"), F.xxhash64(F.lit(turn), "m.k")).alias("c"))
-    met = open_.join(centre, "b").select("m", "g", F.col("c.m").alias("c"), F.col("c.g").alias("cg")).where("g <> cg").where(_near(plan, "m", "c"))
-    return met.select(F.least("m.k", "c.k").alias("u"), F.greatest("m.k", "c.k").alias("v")).distinct()
-
-
-def _by_prefix(df: DataFrame, open_: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """Exactly the pairs of different groups that share a shingle of both prefixes, and whose sizes and sketches allow them to be similar.
-
-    A prefix has the n - ceil(n * percent / 100) + 1 rarest shingles of a set of n, by number of these sets that hold
-    them and then by hash; two sets with disjoint prefixes have too few shingles in common.
-    """
-    docs = stash(open_.select("m.*", "g").dropDuplicates(["k"]), "open-docs")
-    sets = _sets(df, docs.select("k"), plan, key, text).join(docs.select("k", "n"), "k").mapInArrow(_spread, "k long, s long")
-    rows = stash(sets, "spread")
-    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    own = Window.partitionBy("k")
-    ranked = rows.join(common, "s").withColumn("rank", F.row_number().over(own.orderBy("c", "s"))).withColumn("held", F.count(F.lit(1)).over(own)).join(docs, "k")
-    size = F.col("n") - F.ceil(F.col("n") * plan.percent / F.lit(100.0) - 1e-9) + 1
-    prefix = stash(ranked.where(F.col("rank") <= size - (F.col("n") - F.col("held"))).select("s", F.struct("k", "n", "s0", "s1").alias("m"), "g"), "prefix")
-    other = prefix.select(F.col("s").alias("s2"), F.col("m").alias("c"), F.col("g").alias("g2"))
-    met = prefix.join(other, (F.col("s") == F.col("s2")) & (F.col("m.k") < F.col("c.k")) & (F.col("g") != F.col("g2")) & _near(plan, "m", "c"))
-    return met.select(F.col("m.k").alias("u"), F.col("c.k").alias("v")).distinct()
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        z = b.column(1).to_pylist()
-        sizes = np.array([len(x) // 8 for x in z], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.frombuffer(b"".join(z), np.int64))], names=["k", "s"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"), Plan(3, 85))

@@ -183,8 +183,10 @@ def test_minhash(spark, docs, empty, n, percent):
     assert minhash.link(empty, minhash.Plan(n, percent)).count() == 0
 
 
-def test_near_copies_in_one_bucket(spark):
-    """Variants of one text at all distances: what the centres leave is joined by prefix."""
+@pytest.mark.parametrize("block", [minhash.BLOCK, 4000])
+def test_near_copies_in_one_bucket(spark, monkeypatch, block):
+    """Variants of one text at all distances, in one lane and in several."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rnd = random.Random(5)
     base = ["b%d" % i for i in range(150)]
     rows = []
@@ -197,23 +199,46 @@ def test_near_copies_in_one_bucket(spark):
     assert rows_of(minhash.link(df, minhash.Plan(3, 85)), "doc_id", "n_shingles", "component_id", "kept") == plain_groups(rows, 3, 85)
 
 
-def test_star_round_without_new_pairs(spark):
-    """The second centre of every bucket is its first member again; the link of the other two is found all the same."""
+def test_hub_alone_is_no_way_out(spark):
+    """The hub of every bucket is like neither of two others; their link is found all the same."""
     common = ["x126_%d" % i for i in range(100)]
     texts_ = [" ".join(common + ["%s126_%d" % (c, i) for i in range(n)]) for c, n in (("q", 10), ("b", 8), ("c", 8))]
-    hashed = [r.id for r in spark.range(1, 50).orderBy(F.xxhash64(F.lit(0), "id").desc()).collect()]
-    low = hashed[0]
-    ids = [low, *[k for k in hashed[1:] if k > low][:2]]
-    rows = list(zip(ids, texts_, strict=True))
-    plan = minhash.Plan(1, 85)
+    rows = list(enumerate(texts_))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    bands = {r.k: {*r.bands} for r in minhash.sketch(df, plan, "doc_id", "text").collect()}
-    a, b, c = (bands[k] for k in ids)
-    assert b & c and b & c <= a  # the first member sits in every bucket that the similar two share
-    got = rows_of(minhash.link(df, plan), "doc_id", "n_shingles", "component_id", "kept")
+    got = rows_of(minhash.link(df, minhash.Plan(1, 85)), "doc_id", "n_shingles", "component_id", "kept")
     assert got == plain_groups(rows, 1, 85) and sum(r[3] for r in got) == 2
 
 
+@pytest.mark.parametrize("lanes", [False, True])
+def test_connect(lanes):
+    """Groups by connect are those of all pairs, whatever the hubs and the groups beforehand."""
+    rnd = np.random.default_rng(8)
+    for turn in range(60):
+        base = rnd.integers(0, 1 << 60, 60, dtype=np.uint64)
+        sets = []
+        for _ in range(int(rnd.integers(2, 40))):
+            x = base.copy()
+            at = rnd.choice(60, int(rnd.integers(0, 12)), replace=False)
+            x[at] = rnd.integers(0, 40 if turn % 2 else 1 << 60, len(at), dtype=np.uint64)
+            sets.append(np.unique(x[: int(rnd.integers(1, 60))] if rnd.random() < 0.2 else x))
+        n = len(sets)
+        u, v = UnionFind(), UnionFind()
+        lane = rnd.integers(0, 2, n)
+        for i in range(n):
+            for j in range(i):
+                c = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c) and (not lanes or lane[i] != lane[j]):
+                    u.union(i, j)
+        hub = np.zeros(n, bool)
+        hub[int(rnd.integers(0, n))] = turn % 3 > 0
+        got = minhash.connect(sets, np.arange(n), 80, hub, True, lane if lanes else None)
+        for a, b in got:
+            c = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c)
+            v.union(a, b)
+        assert [u.find(i) for i in range(n)] == [v.find(i) for i in range(n)] and len(got) < n
+
+
 def test_superminhash_estimates():
     rnd = np.random.default_rng(3)
     err = []
