@@ -30,7 +30,7 @@ from docsift.session import prepare
 #: White space of the pattern's engine (Unicode White_Space); Python's own \s also has 0x1C-0x1F.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries of a worker's caches; they are emptied when full.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -366,7 +366,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
     ranks_path is read by the driver and broadcast; a vocabulary is a file of bounded size.
     """
     spark = df.sparkSession
-    prepare(spark)
+    prepare(spark, rows=400)
     with open(ranks_path, "rb") as f:
         raw = f.read()
     shared = spark.sparkContext.broadcast(raw)

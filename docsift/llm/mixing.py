@@ -5,11 +5,14 @@ budget ends is found from running sums over buckets, and only that bucket is sum
 holds one hash. Thresholds are nested: a larger budget takes the same documents and more. The documents themselves are
 never sorted, and each is decided by comparing its hash with its source's threshold.
 
+The targets, thresholds and weights are the mix's own configuration, one row a source. Up to FEW sources they are
+broadcast; beyond it they are joined by source, hot sources being split by salt.
+
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows
 with equal ids share a hash and are taken alike; a source without words gets target 0; an empty table gives no rows;
 columns of the input named like the outputs are replaced.
 
-What reaches the driver is one row a source, the mix's own configuration; never rows of documents.
+What reaches the driver is one row a source; never rows of documents.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql.window import Window
 from docsift.session import stash
 
 BITS, STEP = 60, 12
+FEW, SALT = 10_000, 64  # sources whose rows are broadcast; parts of a source where they are more
+OWN = ("size", "source_size", "target", "taken", "copies")  # columns that mix makes
 
 
 def word_count(text: Column) -> Column:
@@ -56,13 +61,21 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     """
     sized = stash(df.select(F.col(key).alias("k"), F.col(source).alias("s"), word_count(F.col(text)).alias("n"), hash60(F.col(key)).alias("h")), "mix")
     plan = budgets(sized, weights, share, most)
-    spark = df.sparkSession
-    table = spark.createDataFrame(plan, "s string, source_size long, target double, copies long, below long")
-    full = df.select("*", word_count(F.col(text)).alias("__n"), hash60(F.col(key)).alias("__h")) if carry else sized.select(F.col("k").alias(key), F.col("s").alias(source), F.col("n").alias("__n"), F.col("h").alias("__h"))
-    full = full.drop("size", "source_size", "target", "taken") if carry else full
-    out = full.join(table, full[source].eqNullSafe(table["s"]))
-    kept = [full[c] for c in full.columns if not c.startswith("__")]
-    return out.select(*kept, F.col("__n").alias("size"), "source_size", "target", (F.col("__n") * (F.col("copies") + (F.col("__h") < F.col("below")).cast("long"))).alias("taken"), (F.col("copies") + (F.col("__h") < F.col("below")).cast("long")).alias("copies"))
+    table = df.sparkSession.createDataFrame(plan, "__source string, __source_size long, __target double, __copies long, __below long")
+    if carry:
+        rows = df.select(*[c for c in df.columns if c not in OWN], F.col(source).alias("__s"), word_count(F.col(text)).alias("__n"), hash60(F.col(key)).alias("__h"))
+    else:
+        rows = sized.select(F.col("k").alias(key), F.col("s").alias(source), F.col("s").alias("__s"), F.col("n").alias("__n"), F.col("h").alias("__h"))
+    kept = [c for c in rows.columns if c not in ("__s", "__n", "__h")]
+    if len(plan) <= FEW:
+        out = rows.join(F.broadcast(table), F.col("__s").eqNullSafe(F.col("__source")))
+    else:
+        salted = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("__salt", F.pmod(F.col("__h"), F.lit(SALT)).cast("int"))
+        out = rows.join(salted, F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__part")))
+    copies = F.col("__copies") + (F.col("__h") < F.col("__below")).cast("long")
+    made = {"size": F.col("__n"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": F.col("__n") * copies, "copies": copies}
+    return out.select(*kept, *[c.alias(n) for n, c in made.items()])
 
 
 def budgets(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> list[tuple]:
