@@ -5,9 +5,14 @@ paragraph whose hash says so, so that long stretches of lines are cut by content
 runs of words that end where a word's hash says so. A parent's hash is that of its children's hashes; the root covers
 every character. Equal texts have equal roots, and descending only where hashes differ locates an edit.
 
-A fingerprint is written as  root/section:paragraph=leaves,paragraph=leaves/section:...  with 32, 8, 8 and 6 hex
-digits. Likeness is the share of equal leaves (as bags, 2 * common / both); equal roots give 1, and so do two texts
-without words.
+A fingerprint is written as  root/section:paragraph=leaves,paragraph=leaves/section:...  with 32 hex digits for the root
+and 12 for each other node: of two unrelated texts of a million leaves, one leaf in 280 million is alike by chance.
+It is about half as long as the text, since an edit can only be located among leaves that are there.
+
+Two trees are compared by descending: equal roots end it; sections of equal hash are alike with all below them; only
+among the others are paragraphs compared, and only among paragraphs that differ, leaves. Likeness is the share of
+leaves that are alike (2 * alike / leaves of both), and the differing paragraphs are where the edit is. Two texts
+without words are alike.
 
 Order of documents: descending id, null ids last; rows with equal ids in a fixed order of their packed texts. Defined cases: a null text is
 the empty one; a single document is its own next; an empty table gives no rows; other columns are ignored.
@@ -21,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +38,10 @@ from docsift.llm.text import blocks, buffers
 from docsift.session import extend, partitions, prepare
 
 LEAF, SECTION = 4, 8  # mean words a leaf and paragraphs a section
+ROOT, NODE = 32, 12  # hex digits
 _BLANK = b" \t\n\r\x0b\x0c"
 
 
-def _hash(data: bytes, size: int) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
-
-
 def fingerprints(texts: pa.Array) -> list[str]:
     out: list[str] = []
     for w in blocks(texts):
@@ -56,8 +59,8 @@ def fingerprints(texts: pa.Array) -> list[str]:
         order = np.arange(len(hashes)) - np.repeat(begins, ends - begins + 1) if len(ends) else ends
         mixed = hashes * (2 * order.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 | 1))
         sums = np.cumsum(mixed)
-        values = (sums[ends] - sums[begins] + mixed[begins]) >> np.uint64(40) if len(ends) else ends
-        leaf_hex = [f"{v:06x}" for v in values.tolist()]
+        values = (sums[ends] - sums[begins] + mixed[begins]) >> np.uint64(16) if len(ends) else ends
+        leaf_hex = [f"{v:012x}" for v in values.tolist()]
         leaf_line = line_of[ends] if len(ends) else ends
         for r in range(len(w)):
             lo, hi = edges[r], edges[r + 1]
@@ -85,41 +88,77 @@ def _tree(raw: bytes, of_line: dict[int, list[str]]) -> str:
             full.append([])
         full[-1].append(digest)
         if leaves := of_line.get(i):
-            sections[-1].append(f"{digest.hex()[:8]}={''.join(leaves)}")
+            sections[-1].append(f"{digest.hex()[:NODE]}={''.join(leaves)}")
         if digest[0] % SECTION == 0 and sections[-1]:
             sections.append([])
             full.append([])
     branches = [hashlib.blake2b(b"".join(f), digest_size=16).digest() for f in full]
-    root = _hash(b"".join(branches), 16)
-    return "/".join([root, *(f"{d.hex()[:8]}:{','.join(s)}" for d, s in zip(branches, sections, strict=True) if s)])
-
-
-def leaves(fingerprint: str) -> Counter:
-    found: Counter = Counter()
-    for section in fingerprint.split("/")[1:]:
-        for p in section.split(":", 1)[1].split(","):
-            x = p.split("=", 1)[1]
-            found.update([x[i : i + 6] for i in range(0, len(x), 6)])
-    return found
+    root = hashlib.blake2b(b"".join(branches), digest_size=ROOT // 2).hexdigest()
+    return "/".join([root, *(f"{d.hex()[:NODE]}:{','.join(s)}" for d, s in zip(branches, sections, strict=True) if s)])
+
+
+@dataclass
+class Tree:
+    """A fingerprint read back: sections are (hash, paragraphs), paragraphs (hash, leaves)."""
+
+    root: str
+    sections: list[tuple[str, list[tuple[str, str]]]]
+    leaves: int
+
+    @staticmethod
+    def of(fingerprint: str) -> Tree:
+        root, *rest = fingerprint.split("/")
+        sections = []
+        for s in rest:
+            name, paragraphs = s.split(":", 1)
+            sections.append((name, [(p[:NODE], p[NODE + 1 :]) for p in paragraphs.split(",")]))
+        return Tree(root, sections, sum(len(x) for _, ps in sections for _, x in ps) // NODE)
+
+
+def _unmatched(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], list[int]]:
+    """What of a, and which places of b, is left when nodes of equal hash are taken out in pairs."""
+    have = Counter(x[0] for x in a)
+    there = Counter(x[0] for x in b)
+    common = have & there
+    left, seen = [], Counter()
+    for x in a:
+        seen[x[0]] += 1
+        if seen[x[0]] > common[x[0]]:
+            left.append(x)
+    seen.clear()
+    places = []
+    for i, x in enumerate(b):
+        seen[x[0]] += 1
+        if seen[x[0]] > common[x[0]]:
+            places.append(i)
+    return left, places
+
+
+def descend(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
+    """How many leaves of b are alike in a, and the paragraphs of b (section, place in it) that a doesn't have."""
+    if a.root == b.root:
+        return b.leaves, []
+    old, places = _unmatched(a.sections, b.sections)
+    old_paragraphs = [p for _, ps in old for p in ps]
+    new = [(i, j, p) for i in places for j, p in enumerate(b.sections[i][1])]
+    old, places = _unmatched(old_paragraphs, [p for _, _, p in new])
+    found = [new[i] for i in places]
+    x, y = (Counter(t[i : i + NODE] for t in texts for i in range(0, len(t), NODE)) for texts in ([t for _, t in old], [p[1] for _, _, p in found]))
+    return b.leaves - y.total() + (x & y).total(), [(i, j) for i, j, _ in found]
+
+
+def _likeness(a: Tree, b: Tree) -> float:
+    both = a.leaves + b.leaves
+    return 2 * descend(a, b)[0] / both if both and a.root != b.root else 1.0
 
 
 def likeness(a: str, b: str) -> float:
-    if a[:32] == b[:32]:
-        return 1.0
-    x, y = leaves(a), leaves(b)
-    return _share(x, y)
-
-
-def _share(x: Counter, y: Counter) -> float:
-    both = x.total() + y.total()
-    return 2 * sum((x & y).values()) / both if both else 1.0
+    return _likeness(Tree.of(a), Tree.of(b))
 
 
-def differing(a: str, b: str) -> list[str]:
-    """Paragraph hashes of b below the branches that a lacks: where an edit is."""
-    have = set(a.split("/")[1:])
-    known = {p.split("=", 1)[0] for s in have for p in s.split(":", 1)[1].split(",")}
-    return [h for s in b.split("/")[1:] if s not in have for p in s.split(":", 1)[1].split(",") if (h := p.split("=", 1)[0]) not in known]
+def differing(a: str, b: str) -> list[tuple[int, int]]:
+    """Where b was edited: its paragraphs that a lacks, by section and place, counted from 0 among those with words."""
+    return descend(Tree.of(a), Tree.of(b))[1]
 
 
 def fingerprint_documents(df: DataFrame, text: str = "text") -> DataFrame:
@@ -177,9 +216,9 @@ def edited_and_next(df: DataFrame, key: str = "doc_id", text: str = "text", chun
             edited.append(a[: len(a) - half] + b[:half])
         prints = fingerprints(pa.array(texts, pa.large_string()))
         changed = fingerprints(pa.array(edited, pa.large_string()))
-        bags = [leaves(p) for p in prints]
-        near = [1.0 if p[:32] == c[:32] else _share(x, leaves(c)) for p, c, x in zip(prints, changed, bags, strict=False)]
-        following = [1.0 if p[:32] == q[:32] else _share(x, y) for p, q, x, y in zip(prints, prints[1:], bags, bags[1:], strict=False)]
+        trees = [Tree.of(p) for p in prints]
+        near = [_likeness(t, Tree.of(c)) for t, c in zip(trees, changed, strict=False)]
+        following = [_likeness(t, u) for t, u in zip(trees, trees[1:], strict=False)]
         return pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in rows], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(prints[:-1]), pa.array(changed), pa.array(near, pa.float64()), pa.array(following, pa.float64())],
             names=names,
