@@ -4,9 +4,11 @@ An Aho-Corasick automaton finds anchors in one pass over the whole text: at-sign
 identifier cues. From each anchor a deterministic local parser reads outwards, so that all work but that pass is in
 proportion to what the anchors touch, and validates the boundaries it finds.
 
-Kinds, in order: email, ip, card, phone (the base), then url (a scheme with a host and what follows) and account (an
-identifier of four digits or more after a cue such as "iban", "account no" or "token ="). Spans of the last two that
-lie within a base span, or overlap an earlier one of their kind, are left out. Offsets are code points, end exclusive.
+Kinds, in order: email, ip, card, phone (the base), then url (a scheme with a host and what follows) and account: an
+identifier of four digits or more after a cue such as "iban" or "account no", a value with a digit after "password =",
+"api_key:" and the like, or a key of a known form (PREFIXES), such as twenty capitals and digits from "AKIA" on. Spans of
+the last two that lie within a base span, or overlap an earlier one of their kind, are left out. Offsets are code
+points, end exclusive.
 
 Defined cases: a null text has no spans; texts of any length are read whole; repeated rows give repeated results;
 an empty table gives no rows; columns named like the outputs are replaced.
@@ -14,7 +16,9 @@ an empty table gives no rows; columns named like the outputs are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -26,12 +30,17 @@ from docsift.session import extend, prepare
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
-CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport", "token", "password", "api_key", "apikey", "secret")
+SECRETS = ("token", "password", "passwd", "api_key", "apikey", "api-key", "secret", "bearer")
+CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport", *SECRETS)
+#: How keys of known forms begin, and how many characters they have at least (of letters, digits, "_" and "-").
+PREFIXES = {"AKIA": 20, "ASIA": 20, "ghp_": 40, "gho_": 40, "github_pat_": 40, "glpat-": 26, "sk_live_": 24, "xoxb-": 24, "xoxp-": 24, "AIza": 39, "eyJhbGci": 40}
 
 _DIGITS = frozenset("0123456789")
 _ALNUM = _DIGITS | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | {"-"}
+_KEY = _ALNUM | frozenset("_-")
+_VALUE = _ALNUM | frozenset("_-+/.!#%&*~")
 _SCHEME = _ALNUM | frozenset("+.-")
 _PHONE = _DIGITS | frozenset(" ().-")
 _STOPS = frozenset("<>\"'`{}|\\^")
@@ -48,7 +57,9 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("://", ("scheme", 3))
     for cue in CUES:
         for form in {cue, cue.title(), cue.upper()}:
-            a.add_word(form, ("cue", len(form)))
+            a.add_word(form, ("secret" if cue in SECRETS else "cue", len(form)))
+    for form in PREFIXES:
+        a.add_word(form, ("key", len(form)))
     a.make_automaton()
     return a
 
@@ -104,6 +115,26 @@ def url(text: str, sign: int) -> tuple[int, int] | None:
     return (start, end) if start < sign and ("." in host.strip(".") or ":" in host or host == "localhost") else None
 
 
+def key(text: str, start: int) -> tuple[int, int] | None:
+    """A key of a known form: no letter or digit before it, and long enough."""
+    if start and text[start - 1] in _ALNUM:
+        return None
+    to = _right(text, start, _KEY)
+    form = next(f for f in PREFIXES if text.startswith(f, start))
+    return (start, to) if to - start >= PREFIXES[form] else None
+
+
+def secret(text: str, end: int) -> tuple[int, int] | None:
+    """After a cue of secrets and "=" or ":": six characters or more, with a digit; otherwise as an account."""
+    at = end
+    while at < len(text) and at < end + 6 and text[at] in " \t:=\"'":
+        at += 1
+    to = _right(text, at, _VALUE)
+    if to - at >= 6 and set("=:") & set(text[end:at]) and any(c in _DIGITS for c in text[at:to]):
+        return at, to
+    return account(text, end)
+
+
 def account(text: str, end: int) -> tuple[int, int] | None:
     """After a cue: a few filler characters, then an identifier with four digits or more."""
     at, fill = end, 0
@@ -175,9 +206,15 @@ def _cards(text: str, runs: list[tuple[int, int]]) -> list[Span]:
 
 def find(text: str) -> list[Span]:
     """All spans of a text, by kind in order and then by start."""
-    anchors: dict[str, list[int]] = {"digit": [], "at": [], "plus": [], "scheme": [], "cue": []}
+    anchors: dict[str, list[int]] = {"digit": [], "at": [], "plus": [], "scheme": []}
+    cues: list[tuple[int, Callable[[str, int], tuple[int, int] | None]]] = []
     for last, (kind, size) in _AUTOMATON.iter(text):
-        anchors[kind].append(last + 1 if kind == "cue" else last + 1 - size)
+        if kind in anchors:
+            anchors[kind].append(last + 1 - size)
+        elif kind == "key":
+            cues.append((last + 1 - size, key))
+        else:
+            cues.append((last + 1, secret if kind == "secret" else account))
     out: list[Span] = []
     end = 0
     for p in anchors["at"]:
@@ -193,12 +230,14 @@ def find(text: str) -> list[Span]:
             if 9 <= sum(c in _DIGITS for c in text[s[0] : s[1]]) <= 15:
                 out.append(("phone", *s))
     base = sorted((a, b) for _, a, b in out)
-    for kind, places, parser in (("url", anchors["scheme"], url), ("account", anchors["cue"], account)):
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    for kind, places in (("url", [(p, url) for p in anchors["scheme"]]), ("account", cues)):
         end = 0
-        for p in places:
-            if p >= end and (s := parser(text, p)):
+        for p, parser in places:
+            if p >= end and (s := parser(text, p)) and s[0] >= end:
                 end = s[1]
-                if not any(a <= s[0] and s[1] <= b for a, b in base):
+                i = bisect_right(starts, s[0])
+                if not i or reach[i - 1] < s[1]:
                     out.append((kind, *s))
     return out
 
@@ -251,5 +290,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), F.size("spans").cast("long").alias("n_spans"), joined(F.col("spans")).alias("spans"))

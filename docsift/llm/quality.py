@@ -2,9 +2,11 @@
 
 Each document's measures are computed within its row. Per language and source, a mergeable quantile sketch of each
 measure is built (KLL, combined on the map side, so a hot source needs no more than others); sketches of a language
-are merges of its sources' ones and serve sources with few documents. A document is dropped if a measure lies far
-outside its group: above the upper quartile by more than SPREAD interquartile ranges, which are taken as no less than
-the measure's floor. The thresholds are then joined to the measures; Spark decides by size how.
+are merges of its sources' ones. A source's quartiles are averaged with its language's, with the weights n and FEW for
+a source of n documents, so that thresholds follow the size of a group without a step. A document is dropped if a
+measure lies far outside its group: above the upper quartile (for LOW measures also below the lower one) by more than
+SPREAD interquartile ranges, which are taken as no less than the measure's floor. The thresholds are then joined to
+the measures; Spark decides by size how.
 
 Defined cases: a null text has no words; a null language or source is a group of its own; repeated rows are judged
 alike; an empty table gives no rows; other columns are ignored by the query and kept by filter_documents.
@@ -20,8 +22,9 @@ from docsift.session import stash
 WS = r"\x20\x09-\x0D"
 #: measure: least interquartile range that counts.
 MEASURES = {"symbol_share": 0.02, "dup_line_share": 0.08, "repeat_share": 0.06, "upper_share": 0.02, "word_length": 0.5}
+LOW = ("word_length",)
 SPREAD = 5.0
-#: Groups with fewer documents use their language's sketch.
+#: A language's quartiles count in its sources' ones like so many documents.
 FEW = 200
 
 
@@ -72,27 +75,33 @@ def shares() -> dict[str, Column]:
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", spread: float = SPREAD, few: int = FEW) -> DataFrame:
-    """One row a language and source: `most_<measure>` from its sketch, or its language's where it has few documents."""
-    by = measured.where(~F.col("base_failed")).groupBy(F.col(lang).alias("l"), F.col(source).alias("s"))
+    """One row a language and source (`__l`, `__s`): `__most_<measure>`, for LOW ones also `__least_<measure>`."""
+    by = measured.where(~F.col("base_failed")).groupBy(F.col(lang).alias("__l"), F.col(source).alias("__s"))
     own = by.agg(*[F.kll_sketch_agg_double(c, F.lit(400)).alias(m) for m, c in shares().items()], F.count(F.lit(1)).alias("n"))
-    wide = own.groupBy("l").agg(*[F.kll_merge_agg_double(m).alias(f"w_{m}") for m in MEASURES]).withColumnRenamed("l", "wl")
-    both = own.join(wide, F.col("l").eqNullSafe(F.col("wl")))
+    wide = own.groupBy("__l").agg(*[F.kll_merge_agg_double(m).alias(f"w_{m}") for m in MEASURES]).withColumnRenamed("__l", "wl")
+    both = own.join(wide, F.col("__l").eqNullSafe(F.col("wl")))
     out = []
+    share = F.col("n") / (F.col("n") + F.lit(few))
     for m, floor in MEASURES.items():
-        sketch = F.when(F.col("n") >= few, F.col(m)).otherwise(F.col(f"w_{m}"))
-        lo, hi = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        out.append((hi + F.lit(spread) * F.greatest(hi - lo, F.lit(floor))).alias(f"most_{m}"))
-    return both.select("l", "s", *out)
+        lo, hi = (share * F.kll_sketch_get_quantile_double(m, F.lit(q)) + (1 - share) * F.kll_sketch_get_quantile_double(f"w_{m}", F.lit(q)) for q in (0.25, 0.75))
+        far = F.lit(spread) * F.greatest(hi - lo, F.lit(floor))
+        out.append((hi + far).alias(f"__most_{m}"))
+        if m in LOW:
+            out.append((lo - far).alias(f"__least_{m}"))
+    return both.select("__l", "__s", *out)
 
 
 def judge(measured: DataFrame, lang: str = "lang", source: str = "source", spread: float = SPREAD, few: int = FEW) -> DataFrame:
     """measured (a stored table: it is read twice) with `kept`. Groups without a document that passes the base have no thresholds and keep none."""
+    measured = measured.drop("kept")
     limits = thresholds(measured, lang, source, spread, few)
-    joined = measured.join(limits, measured[lang].eqNullSafe(limits["l"]) & measured[source].eqNullSafe(limits["s"]), "left")
+    joined = measured.join(limits, measured[lang].eqNullSafe(limits["__l"]) & measured[source].eqNullSafe(limits["__s"]), "left")
     inside = F.lit(True)
     for m, c in shares().items():
-        inside = inside & (c <= F.coalesce(F.col(f"most_{m}"), F.lit(float("inf"))))
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("l", "s", *[f"most_{m}" for m in MEASURES])
+        inside = inside & (c <= F.coalesce(F.col(f"__most_{m}"), F.lit(float("inf"))))
+        if m in LOW:
+            inside = inside & (c >= F.coalesce(F.col(f"__least_{m}"), F.lit(float("-inf"))))
+    return joined.select(*[measured[c] for c in measured.columns], (~F.col("base_failed") & inside).alias("kept"))
 
 
 def base_failed() -> Column:
