@@ -1,12 +1,17 @@
 """From raw documents to token ids: five stages, each over all that the one before has kept.
 
-Stages take (spark, docs, sf_dir), docs having the columns of `documents` (further columns are passed on), and return
-those columns; the last returns token ids. Every stage's rows are written as Parquet and read again by the next one.
+Stages take (spark, docs, sf_dir), docs having the columns of `documents` (further columns of any name are passed on
+as they are), and return those columns; the last returns token ids. Every stage's rows are written as Parquet and read
+again by the next one.
+
+Defined cases, all stages: a null or empty text is a text without words, which no stage but mixing drops (mixing takes
+it as often as its source's other documents, by the hash of its id); rows without an id stay in all of them; repeated
+rows share their fate, but copies of a text under different ids leave one; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.bits import without
@@ -21,10 +26,17 @@ TOXIC = 0.5  # documents of this probability and more go
 NEAR = Plan(words=5, percent=80)
 
 
+def _apart(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but `own` under names that no operator uses, and the columns that give docs back."""
+    names = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in own}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, chain_of(docs, labels)).where(F.col("p_toxic") < TOXIC).select(*docs.columns)
+    rows, back = _apart(docs, "doc_id", "text")
+    return score(rows, chain_of(rows, labels)).where(F.col("p_toxic") < TOXIC).select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +47,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; n_chars is counted anew."""
-    return find_pii(docs, masked=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, back = _apart(docs, "text", "n_chars")
+    return find_pii(rows, masked=True).withColumn("n_chars", F.length("text").cast("long")).select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: no, one or two rows each."""
-    taken = mix(docs, carry=True).where("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows, back = _apart(docs, "doc_id", "text", "source")
+    taken = mix(rows, carry=True).where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
