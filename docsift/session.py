@@ -47,7 +47,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def prepare(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+def prepare(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Ship the package and bound Arrow batches, so that long texts don't pile up in a worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -55,12 +55,15 @@ def prepare(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; one is made only where none is set (tests)."""
+    """The shared folder named by the cluster; on a local master alone (tests), one is made where none is set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = found.get() if found.isDefined() else ""
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="docsift-scratch-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
