@@ -28,19 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.text import blocks, mix
 from docsift.session import partitions, prepare, stash, tidy, unstash
 
-CONTEXTS = 4096  # restaurants of a bucket for which none are named
 BURN, SAMPLES = 3, 4
 DISCOUNT, STRENGTH = (0.75, 0.85), (50.0, 5.0)  # of the parent and of the children
 MEAN = 16  # most tables that a batch of customers is expected to open, or not to
 SEED = 1000
-BLOCK = 3 << 20  # words a block holds at least, unless there are no more
+BLOCK = 5 << 20  # words a block holds at least, unless there are no more
+MOST, LEAST = 48 << 20, 4 << 20  # bytes of text a bucket serves at most; and at least where there are more buckets, for more tasks
 END = 0x9AE16A3B2F90404F  # the end's hash, and that of the start as a context; words have others
 
 
@@ -74,14 +75,14 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
             context = np.concatenate((at[-1:], at[:-1]))  # a text's first word comes after an end
             many = len(kinds)
             pair, number = np.unique(at * many + context, return_inverse=True)
-            counts = np.bincount(number, weights=np.repeat(train, sizes), minlength=len(pair)).astype("<u4")
+            counts = np.bincount(number, weights=np.repeat(train, sizes), minlength=len(pair)).astype(np.int64)
             w = kinds[order]
-            per = np.bincount(pair // many, minlength=many).astype("<u4")  # pairs of each word
+            per = np.bincount(pair // many, minlength=many)  # pairs of each word
             c = pair % many
             block = (task << 24) + seq
             seq += 1
             keys = pa.concat_arrays([x[0] for x in held])
-            rows = [(block, -1, keys.to_pylist(), train.tolist(), sizes.tolist(), number.astype("<u4").tobytes(), None, None, None, None, None)]
+            rows = [(block, -1, keys.to_pylist(), train.tolist(), sizes.tolist(), narrow(number), None, None, None, None, None)]
             cut = np.searchsorted(bucket[order], np.arange(parts + 1))
             at = np.searchsorted(pair // many, cut).tolist()
             cut = cut.tolist()
@@ -89,7 +90,10 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
                 if cut[p + 1] > cut[p]:
                     words_of, pairs_of = slice(cut[p], cut[p + 1]), slice(at[p], at[p + 1])
                     names, own = np.unique(c[pairs_of], return_inverse=True)
-                    rows.append((block, p, None, None, None, None, w[words_of].tobytes(), per[words_of].tobytes(), w[names].tobytes(), narrow(own), narrow(counts[pairs_of])))
+                    up = np.argsort(w[names])
+                    rank = np.empty_like(up)
+                    rank[up] = np.arange(len(up))
+                    rows.append((block, p, None, None, None, None, hashes(w[words_of]), narrow(per[words_of]), hashes(w[names[up]]), narrow(rank[own], True), narrow(counts[pairs_of])))
             held.clear()
             yield _batch(rows, STREAM_TYPES)
 
@@ -122,15 +126,36 @@ def _batch(rows: list[tuple], types: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
 
 
-def narrow(x: np.ndarray) -> bytes:
-    """Natural numbers in as few bytes each as the largest needs."""
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def narrow(x: np.ndarray, steps: bool = False) -> bytes:
+    """Natural numbers in as few bytes each as the largest needs, compressed byte by byte of all; by their differences, if they mostly ascend."""
     top = int(x.max()) if len(x) else 0
-    return x.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if top < 1 << 8 * n)).tobytes()
+    kind = next(f"<u{n}" for n in (1, 2, 4, 8) if top < 1 << 8 * n)
+    x = x.astype(kind)
+    if steps:
+        x = np.diff(x, prepend=np.zeros(1, kind))  # modulo the type's range
+    return _PACK(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"")
 
 
-def wide(raw: bytes, count: int) -> np.ndarray:
+def wide(raw: bytes, count: int, steps: bool = False) -> np.ndarray:
     """`count` natural numbers of any width."""
-    return np.frombuffer(raw, f"<u{len(raw) // count}" if count else "<u1").astype(np.int64)
+    if not count:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(_UNPACK(raw), np.uint8).reshape(-1, count)
+    x = np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel()
+    return (np.cumsum(x, dtype=x.dtype) if steps else x).astype(np.int64)
+
+
+def hashes(x: np.ndarray) -> bytes:
+    """Ascending hashes."""
+    return _PACK(np.ascontiguousarray(np.diff(x, prepend=np.zeros(1, np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unhash(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(_UNPACK(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def gaps(x: np.ndarray) -> bytes:
@@ -138,45 +163,47 @@ def gaps(x: np.ndarray) -> bytes:
     return narrow(np.diff(x, prepend=0))
 
 
-def _pairs(words: bytes, per: bytes, names: bytes, contexts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The word and the context of every pair."""
-    w = np.repeat(np.frombuffer(words, "<u8"), np.frombuffer(per, "<u4"))
-    return w, np.frombuffer(names, "<u8")[wide(contexts, len(w))]
-
-
 def _customers(rows: DataFrame) -> DataFrame:
     """Two kinds of rows. block = -1: a bucket, its words, the contexts of its pairs, and its pairs with training customers, by word: how many, context's place, customers.
     Others: what a block asks of the bucket, its words (place and whether there is one) and contexts as places in the bucket's."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, c, n, asked = [], [], [], []
-        names = np.zeros(0, np.uint64)
+        asked, words, contexts = [], [], []
         for b in batches:
             for block, x, m, f, y, z in zip(*(b.column(b.schema.get_field_index(f)).to_pylist() for f in ("block", "words", "per", "names", "contexts", "counts")), strict=True):
-                asked.append((block, x, m, f, y))
-                own, context = _pairs(x, m, f, y)
-                count = wide(z, len(own))
-                on = count > 0
-                w.append(own[on])
-                c.append(context[on])
-                n.append(count[on])
-                names = np.union1d(names, np.frombuffer(f, "<u8"))
-        w, c, n = np.concatenate(w), np.concatenate(c), np.concatenate(n)
-        kinds, at = np.unique(w, return_inverse=True)
-        pair, number = np.unique(at * len(names) + np.searchsorted(names, c), return_inverse=True)
-        total = np.bincount(number, weights=n, minlength=len(pair)).astype("<i8")
-        yield _batch([(key[0].as_py(), kinds.tobytes(), names.tobytes(), narrow(np.bincount(pair // max(len(names), 1), minlength=len(kinds))), narrow(pair % max(len(names), 1)), narrow(total), int(total.sum()), len(kinds), len(pair), -1, None, None, None, None, None, None)], BUCKET_TYPES)
+                asked.append((block, x, m, f, y, z))
+                words.append(unhash(x))
+                contexts.append(unhash(f))
+        names, kinds = np.unique(np.concatenate(contexts)), np.unique(np.concatenate(words))
+        del words, contexts
+        pairs, count, known = [], [], np.zeros(len(kinds), bool)
+        for _, x, m, f, y, z in asked:
+            place = np.searchsorted(kinds, unhash(x))
+            at = np.repeat(place, wide(m, len(place)))
+            n = wide(z, len(at))
+            on = np.flatnonzero(n)
+            of = np.searchsorted(names, unhash(f))[wide(y, len(at), True)[on]]
+            pairs.append(at[on] * len(names) + of)
+            count.append(n[on].astype("<u4"))
+            known[at[on]] = True
+        pair, count = np.concatenate(pairs), np.concatenate(count)
+        del pairs
+        order = np.argsort(pair)
+        pair, count = pair[order], count[order].astype(np.int64)
+        del order
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        pair, total = pair[new], np.add.reduceat(count, new) if len(new) else count
+        # Words that training doesn't have get no place.
+        renamed = np.cumsum(known) - 1
+        per, own = np.bincount(pair // max(len(names), 1), minlength=len(kinds))[known], kinds[known]
+        yield _batch([(key[0].as_py(), hashes(own), hashes(names), narrow(per), narrow(pair % max(len(names), 1), True), narrow(total), int(total.sum()), len(own), len(pair), -1, None, None, None, None, None, None)], BUCKET_TYPES)
+        del pair, count, total
+        asked.reverse()
         while asked:
-            block, x, m, f, y = asked.pop()
-            x, m = np.frombuffer(x, "<u8"), np.frombuffer(m, "<u4")
-            place = np.searchsorted(kinds, x)
-            known = np.zeros(len(x), bool)
-            known[place < len(kinds)] = kinds[place[place < len(kinds)]] == x[place < len(kinds)]
-            of = np.searchsorted(names, np.frombuffer(f, "<u8"))
-            order = np.argsort(of)
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
-            yield _batch([(key[0].as_py(), None, None, None, None, None, 0, 0, 0, block, gaps(place), known.tobytes(), narrow(m), gaps(of[order]), len(of), narrow(rank[wide(y, int(m.sum()))]))], BUCKET_TYPES)
+            block, x, m, f, y, _ = asked.pop()
+            place = np.searchsorted(kinds, unhash(x))
+            of = np.searchsorted(names, unhash(f))
+            yield _batch([(key[0].as_py(), None, None, None, None, None, 0, 0, 0, block, gaps(renamed[place].clip(0)), known[place].tobytes(), m, gaps(of), len(of), y)], BUCKET_TYPES)
 
     return rows.groupBy("part").applyInArrow(run, BUCKET)
 
@@ -186,10 +213,10 @@ BUCKET = "part int, kinds binary, names binary, per binary, context binary, cust
 
 
 def _unpacked(row: dict) -> dict:
-    """A bucket's row with the word and the customers of each pair."""
-    kinds = len(row["kinds"]) // 8
-    word = np.repeat(np.arange(kinds), wide(row["per"], kinds))
-    return row | {"word": word.astype("<u4").tobytes(), "customers": wide(row["customers"], len(word)).astype("<i8").tobytes()}
+    """A bucket's words and contexts, and the word, the context and the customers of each pair."""
+    kinds = unhash(row["kinds"])
+    word = np.repeat(np.arange(len(kinds)), wide(row["per"], len(kinds)))
+    return {"kinds": kinds, "names": unhash(row["names"]), "word": word, "context": wide(row["context"], len(word), True), "customers": wide(row["customers"], len(word))}
 
 
 def uniform(keys: np.ndarray, *at: int) -> np.ndarray:
@@ -247,11 +274,7 @@ class Restaurants:
     """
 
     def __init__(self, row: dict, totals: np.ndarray, tables: np.ndarray, types: int, seed: int):
-        self.kinds = np.frombuffer(row["kinds"], "<u8")
-        self.word = np.frombuffer(row["word"], "<u4").astype(np.int64)
-        self.context = wide(row["context"], len(self.word))
-        self.customers = np.frombuffer(row["customers"], "<i8")
-        self.names = np.frombuffer(row["names"], "<u8") if "names" in row else np.arange(CONTEXTS, dtype=np.uint64)
+        self.kinds, self.names, self.word, self.context, self.customers = (row[x] for x in ("kinds", "names", "word", "context", "customers"))
         self.totals, self.all_tables, self.types, self.seed = totals, tables, types, seed
         self.tables = np.ones(len(self.word), np.int64)
         self.base = 1.0 / (types + 1)
@@ -298,7 +321,7 @@ MAIL_TYPES = [("part", pa.int32()), ("source", pa.int32()), ("names", pa.binary(
 def _send(part: int, names: np.ndarray, v: np.ndarray, parts: int) -> list[tuple]:
     """v's columns by name, to the owners of the names."""
     owner = (names % np.uint64(parts)).astype(np.int64)
-    return [(q, part, names[at].tobytes(), narrow(v[at].ravel()), None, None, None) for q in np.unique(owner).tolist() for at in [owner == q]]
+    return [(q, part, hashes(names[at]), narrow(v[at].ravel()), None, None, None) for q in np.unique(owner).tolist() for at in [owner == q]]
 
 
 def _add_up(mail: DataFrame, columns: int) -> DataFrame:
@@ -309,7 +332,7 @@ def _add_up(mail: DataFrame, columns: int) -> DataFrame:
         for b in batches:
             source += b.column(b.schema.get_field_index("source")).to_pylist()
             for x, y in zip(*(b.column(b.schema.get_field_index(f)).to_pylist() for f in ("names", "v")), strict=True):
-                names.append(np.frombuffer(x, "<u8"))
+                names.append(unhash(x))
                 v.append(wide(y, len(names[-1]) * columns).reshape(-1, columns))
         kinds, at = np.unique(np.concatenate(names), return_inverse=True)
         v = np.concatenate(v)
@@ -350,9 +373,10 @@ def _sweep(buckets: DataFrame, begin: DataFrame, inbox: DataFrame | None, turn:
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         row, mail = left.to_pylist()[0], right.to_pylist()
-        names = np.frombuffer(row["names"], "<u8")
+        r = _unpacked(row)
+        names = r["names"]
         start = _received(names, [m for m in mail if m["start"]], parts, 2)
-        r = Restaurants(_unpacked(row), start[:, 0], start[:, 1], types, SEED)
+        r = Restaurants(r, start[:, 0], start[:, 1], types, SEED)
         later = [m for m in mail if not m["start"]]
         if later:
             r.all_tables = _received(names, later, parts, 1)[:, 0]
@@ -366,7 +390,7 @@ def _sweep(buckets: DataFrame, begin: DataFrame, inbox: DataFrame | None, turn:
 
 
 def _predict(rows: DataFrame, buckets: DataFrame, begin: DataFrame, kept: list[tuple[DataFrame, int, int]], parts: int, types: int) -> DataFrame:
-    """block, part, p (log10 of the averaged probability of each pair, in order), c (the word's training count)."""
+    """block, part, p (log10 of the averaged probability of each pair, in order), and of its words how many pairs they have (m) and their training counts (c)."""
     d0, d1 = DISCOUNT
     s0, s1 = STRENGTH
     sums = [(below, upper) for _, below, upper in kept]
@@ -374,41 +398,42 @@ def _predict(rows: DataFrame, buckets: DataFrame, begin: DataFrame, kept: list[t
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = right.to_pylist()
         row = next(m for m in found if m["sample"] is None)
-        names = np.frombuffer(row["names"], "<u8")
+        r = _unpacked(row)
+        names = r["names"]
         totals = _received(names, [m for m in found if m["sample"] == -1], parts, 2)[:, 0]
-        r = Restaurants(_unpacked(row), totals, None, types, SEED)
+        r = Restaurants(r, totals, None, types, SEED)
         kinds, pair = r.kinds, r.word * len(names) + r.context
         count = np.bincount(r.word, weights=r.customers, minlength=len(kinds))
-        asked = []
-        for block, at, known, m, of, size, c in zip(*(left.column(x).to_pylist() for x in ("block", "at", "known", "asked", "of", "n_of", "contexts")), strict=True):
-            known = np.frombuffer(known, bool)
-            m = wide(m, len(known))
-            at = np.repeat(np.where(known, np.cumsum(wide(at, len(known))), 0), m)
-            known = np.repeat(known, m)
-            c = np.cumsum(wide(of, size))[wide(c, len(at))]
-            wanted = at * len(names) + c
-            place = np.searchsorted(pair, wanted)
-            met = known & (place < len(pair))
-            met[met] = pair[place[met]] == wanted[met]
-            place[~met] = 0
-            asked.append((block, at, known, c, place, met, np.zeros(len(at))))
+        own, backs, parents = np.zeros(len(pair)), [], []
         for i, (all_below, all_upper) in enumerate(sums):
             mail = [m for m in found if m["sample"] == i]
             state = next(m for m in mail if m["source"] < 0)
             r.tables, upper, all_tables = wide(state["v"], len(r.word)), wide(state["u"], len(kinds)), _received(names, mail, parts, 1)[:, 0]
             parent = (r.below() - d0 * upper + (s0 + d0 * all_upper) * r.base) / (s0 + all_below)
-            unknown = (s0 + d0 * all_upper) * r.base / (s0 + all_below)
-            back = (s1 + d1 * all_tables) / (s1 + totals)
-            own = (r.customers - d1 * r.tables) / (s1 + totals[r.context])
-            for _, at, known, c, place, met, p in asked:
-                p += back[c] * (np.where(known, parent[at], unknown) if len(parent) else unknown) + (np.where(met, own[place], 0) if len(own) else 0)
-        out = [(block, row["part"], np.log10(p / SAMPLES).astype("<f4").tobytes(), np.where(known, count[at] if len(count) else 0, 0).astype("<u4").tobytes()) for block, at, known, _, _, _, p in asked]
-        return pa.Table.from_batches([_batch(out, [("block", pa.int64()), ("part", pa.int32()), ("p", pa.binary()), ("c", pa.binary())])])
+            parents.append(np.append(parent, (s0 + d0 * all_upper) * r.base / (s0 + all_below)))  # the last is that of unknown words
+            backs.append((s1 + d1 * all_tables) / (s1 + totals))
+            own += (r.customers - d1 * r.tables) / (s1 + totals[r.context])
+        del found, r
+        out = []
+        for block, at, known, m, of, size, c in zip(*(left.column(x) for x in ("block", "at", "known", "asked", "of", "n_of", "contexts")), strict=True):
+            known = np.frombuffer(known.as_buffer(), bool)
+            at = np.where(known, np.cumsum(wide(at.as_py(), len(known))), len(kinds))
+            m = wide(m.as_py(), len(known))
+            w = np.repeat(at, m)
+            c = np.cumsum(wide(of.as_py(), size.as_py()))[wide(c.as_py(), len(w), True)]
+            p = sum(back[c] * parent[w] for back, parent in zip(backs, parents, strict=True))
+            wanted = w * len(names) + c
+            place = np.searchsorted(pair, wanted)
+            place[place == len(pair)] = 0
+            met = np.flatnonzero(pair[place] == wanted) if len(pair) else place[:0]
+            p[met] += own[place[met]]
+            out.append((block.as_py(), row["part"], np.log10(p / SAMPLES).astype("<f4").tobytes(), narrow(m), len(m), narrow(np.where(known, np.append(count, 0)[at], 0).astype(np.int64))))
+        return pa.Table.from_batches([_batch(out, [("block", pa.int64()), ("part", pa.int32()), ("p", pa.binary()), ("m", pa.binary()), ("words", pa.int64()), ("c", pa.binary())])])
 
     state = buckets.withColumn("sample", F.lit(None).cast("int"))
     for i, mail in enumerate([begin, *(x for x, _, _ in kept)], -1):
         state = state.unionByName(mail.select("part", "source", "v", "u", F.lit(i).alias("sample")), allowMissingColumns=True)
-    return rows.select("part", "block", "at", "known", "asked", "of", "n_of", "contexts").groupBy("part").cogroup(state.groupBy("part")).applyInArrow(run, "block long, part int, p binary, c binary")
+    return rows.select("part", "block", "at", "known", "asked", "of", "n_of", "contexts").groupBy("part").cogroup(state.groupBy("part")).applyInArrow(run, "block long, part int, p binary, m binary, words long, c binary")
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -416,7 +441,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     docs = df.select(F.col(key).cast("long").alias("k"), (F.col(key).isNotNull() & ~held_out(F.col(key))).alias("train"), F.col(text).alias("t"))
-    parts = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(1, -(-size // MOST), min(partitions(spark) // 3, -(-size // LEAST)))
     table = stash(_blocks(docs, parts), "blocks")
     pairs = table.where("part >= 0").select("part", "block", "words", "per", "names", "contexts", "counts")
     rows = stash(_customers(pairs), "buckets")
@@ -428,9 +454,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sums = buckets.agg(F.sum("n_customers"), F.sum("n_kinds"), F.sum("n_pairs")).first()
     total, kinds, below = (int(x or 0) for x in sums)
     upper, inbox, kept = kinds, None, []
-    near = buckets.repartition(parts, "part").persist(StorageLevel.DISK_ONLY)  # dealt once for all sweeps
     for turn in range(BURN + SAMPLES):
-        mail = stash(_sweep(near, begin, inbox, turn, parts, kinds, below, upper), "sweep")
+        mail = stash(_sweep(buckets, begin, inbox, turn, parts, kinds, below, upper), "sweep")
         below, upper = (int(x or 0) for x in mail.where("source < 0").agg(F.sum("below"), F.sum("upper")).first())
         used = inbox if turn <= BURN else None
         inbox = stash(mail.where("source < 0").union(_add_up(mail, 1)), "inbox")
@@ -440,20 +465,24 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             unstash(used)
         if turn >= BURN:
             kept.append((inbox, below, upper))
-    near.unpersist()
+    del mail, used
+    tidy(spark)
+    answers = stash(_predict(asked, buckets, begin, kept, parts, kinds), "answers")
+    for used in (rows, begin, *(x for x, _, _ in kept)):
+        unstash(used)
+    del used, rows, asked, buckets, kept, inbox
     tidy(spark)
-    answers = _predict(asked, buckets, begin, kept, parts, kinds)
     name = key
     schema = f"`{name}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = sorted(zip(right.column("part").to_pylist(), right.column("p").to_pylist(), right.column("c").to_pylist(), strict=True))
+        found = sorted(zip(*(right.column(x).to_pylist() for x in ("part", "p", "words", "m", "c")), strict=True))
         p = np.frombuffer(b"".join(x[1] for x in found), "<f4").astype(float)
-        c = np.frombuffer(b"".join(x[2] for x in found), "<u4").astype(float)
+        c = np.concatenate([np.repeat(wide(c, n), wide(m, n)) for _, _, n, m, c in found]).astype(float)
         base = np.log10((c + 1) / (total + 1.0 * (kinds + 1)))
         rows = []
         for ks, train, sizes, stream in zip(*(left.column(x).to_pylist() for x in ("k", "train", "sizes", "stream")), strict=True):
-            at = np.frombuffer(stream, "<u4")
+            at = wide(stream, sum(sizes))
             begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
             known, low, high = (np.add.reduceat(x[at], begin) for x in ((c > 0).astype(np.int64), base, p))
             rows += zip(ks, [k is not None and not t for k, t in zip(ks, train, strict=True)], sizes, known.tolist(), [total] * len(ks), low.tolist(), high.tolist(), strict=True)

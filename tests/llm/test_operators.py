@@ -532,6 +532,15 @@ def test_language_model_is_the_same_for_any_partitions(spark):
     assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][k], got[1][k], abs_tol=1e-6) for k in got[0])
 
 
+def test_language_model_packing():
+    rng = np.random.default_rng(1)
+    for x in (np.zeros(0, np.int64), rng.integers(0, 200, 50), rng.integers(0, 1 << 40, 50), np.array([65535, 0, 3, 65535])):
+        for steps in (False, True):
+            assert (language_model.wide(language_model.narrow(x, steps), len(x), steps) == x).all()
+    h = np.unique(rng.integers(0, 1 << 64, 100, dtype=np.uint64))
+    assert (language_model.unhash(language_model.hashes(h)) == h).all() and not len(language_model.unhash(language_model.hashes(h[:0])))
+
+
 def test_binomial():
     u = (np.arange(200000) + 0.5) / 200000
     for n, p in ((1, 0.3), (40, 0.4), (1000, 0.016), (300, 0.95), (7, 1.0), (5, 1e-9)):
@@ -549,8 +558,8 @@ def test_predictions_sum_to_one():
     keep = np.unique(word)
     word = np.searchsorted(keep, word)
     kinds = kinds[keep]
-    by, pairs = (np.bincount(context, weights=w, minlength=language_model.CONTEXTS).astype("<i8") for w in (n, None))
-    row = {"part": 0, "kinds": kinds.tobytes(), "word": word.astype("<u4").tobytes(), "context": context.astype("<u2").tobytes(), "customers": n.tobytes(), "pairs": pairs.tobytes()}
+    by, pairs = (np.bincount(context, weights=w, minlength=ctx).astype("<i8") for w in (n, None))
+    row = {"kinds": kinds, "names": np.arange(ctx, dtype=np.uint64), "word": word, "context": context, "customers": n}
     r = language_model.Restaurants(row, by, pairs, len(kinds), 1)
     (d0, d1), (s0, s1) = language_model.DISCOUNT, language_model.STRENGTH
     for tables, below, upper in r.run():
