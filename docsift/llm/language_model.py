@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.text import blocks, mix
-from docsift.session import partitions, prepare, stash, tidy, unstash
+from docsift.session import drop_path, new_path, partitions, prepare, stash, tidy, unstash
 
 BURN, SAMPLES = 3, 4
 DISCOUNT, STRENGTH = (0.75, 0.85), (50.0, 5.0)  # of the parent and of the children
@@ -443,11 +443,14 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     docs = df.select(F.col(key).cast("long").alias("k"), (F.col(key).isNotNull() & ~held_out(F.col(key))).alias("train"), F.col(text).alias("t"))
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // MOST), min(partitions(spark) // 3, -(-size // LEAST)))
-    table = stash(_blocks(docs, parts), "blocks")
-    pairs = table.where("part >= 0").select("part", "block", "words", "per", "names", "contexts", "counts")
+    path = new_path(spark, "blocks")  # the streams and the pairs in folders of their own, since the pairs go first
+    _blocks(docs, parts).withColumn("kind", F.when(F.col("part") < 0, "streams").otherwise("pairs")).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    table = spark.read.schema(STREAM + ", kind string").parquet(path)
+    streams = table.where("kind = 'streams'").select("block", "k", "train", "sizes", "stream")
+    pairs = table.where("kind = 'pairs'").select("part", "block", "words", "per", "names", "contexts", "counts")
     rows = stash(_customers(pairs), "buckets")
-    streams = stash(table.where("part = -1").select("block", "k", "train", "sizes", "stream"), "streams")
-    unstash(table)
+    drop_path(spark, f"{path}/kind=pairs")
+    tidy(spark)
     buckets, asked = rows.where("block = -1").select("part", "kinds", "names", "per", "context", "customers", "n_customers", "n_kinds", "n_pairs"), rows.where("block >= 0")
     begin = stash(_first(buckets, parts), "totals")
     tidy(spark)
