@@ -38,6 +38,7 @@ from docsift.session import drop_path, new_path, partitions, prepare, stash, tid
 
 BURN, SAMPLES = 3, 4
 DISCOUNT, STRENGTH = (0.75, 0.85), (50.0, 5.0)  # of the parent and of the children
+RUN = 1 << 18  # pairs seated at a time
 MEAN = 16  # most tables that a batch of customers is expected to open, or not to
 SEED = 1000
 BLOCK = 5 << 20  # words a block holds at least, unless there are no more
@@ -63,25 +64,29 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq
-            words = np.concatenate([x[2] for x in held])
-            sizes = np.concatenate([x[3] for x in held])
-            train = np.concatenate([x[1] for x in held])
-            kinds, word = np.unique(words, return_inverse=True)
+            sizes, train = np.concatenate([x[3] for x in held]), np.concatenate([x[1] for x in held])
+            keys = pa.concat_arrays([x[0] for x in held])
+            words = [x[2] for x in held]
+            held.clear()
+            kinds, word = np.unique(_joined(words), return_inverse=True)
             bucket = (kinds % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            place = np.empty_like(order)
+            place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
             at = place[word]
-            context = np.concatenate((at[-1:], at[:-1]))  # a text's first word comes after an end
+            del word
             many = len(kinds)
-            pair, number = np.unique(at * many + context, return_inverse=True)
+            pair = at * np.int64(many)
+            pair[1:] += at[:-1]
+            pair[0] += at[-1]  # a text's first word comes after an end
+            del at
+            pair, number = np.unique(pair, return_inverse=True)
             counts = np.bincount(number, weights=np.repeat(train, sizes), minlength=len(pair)).astype(np.int64)
             w = kinds[order]
             per = np.bincount(pair // many, minlength=many)  # pairs of each word
             c = pair % many
             block = (task << 24) + seq
             seq += 1
-            keys = pa.concat_arrays([x[0] for x in held])
             rows = [(block, -1, keys.to_pylist(), train.tolist(), sizes.tolist(), narrow(number), None, None, None, None, None)]
             cut = np.searchsorted(bucket[order], np.arange(parts + 1))
             at = np.searchsorted(pair // many, cut).tolist()
@@ -94,7 +99,6 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
                     rank = np.empty_like(up)
                     rank[up] = np.arange(len(up))
                     rows.append((block, p, None, None, None, None, hashes(w[words_of]), narrow(per[words_of]), hashes(w[names[up]]), narrow(rank[own], True), narrow(counts[pairs_of])))
-            held.clear()
             yield _batch(rows, STREAM_TYPES)
 
         for b in batches:
@@ -119,6 +123,13 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("k", "train", "t").mapInArrow(run, STREAM)
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Concatenated; the parts are let go."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 STREAM_TYPES = [("block", pa.int64()), ("part", pa.int32()), ("k", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("stream", pa.binary()), ("words", pa.binary()), ("per", pa.binary()), ("names", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())]
 
 
@@ -174,8 +185,7 @@ def _customers(rows: DataFrame) -> DataFrame:
                 asked.append((block, x, m, f, y, z))
                 words.append(unhash(x))
                 contexts.append(unhash(f))
-        names, kinds = np.unique(np.concatenate(contexts)), np.unique(np.concatenate(words))
-        del words, contexts
+        names, kinds = np.unique(_joined(contexts)), np.unique(_joined(words))
         pairs, count, known = [], [], np.zeros(len(kinds), bool)
         for _, x, m, f, y, z in asked:
             place = np.searchsorted(kinds, unhash(x))
@@ -186,13 +196,13 @@ def _customers(rows: DataFrame) -> DataFrame:
             pairs.append(at[on] * len(names) + of)
             count.append(n[on].astype("<u4"))
             known[at[on]] = True
-        pair, count = np.concatenate(pairs), np.concatenate(count)
-        del pairs
+        pair, count = _joined(pairs), _joined(count)
         order = np.argsort(pair)
-        pair, count = pair[order], count[order].astype(np.int64)
+        count = count[order]
+        pair = pair[order]
         del order
-        new = np.flatnonzero(np.diff(pair, prepend=-1))
-        pair, total = pair[new], np.add.reduceat(count, new) if len(new) else count
+        new = np.flatnonzero(np.concatenate((pair[:1] >= 0, pair[1:] != pair[:-1])))
+        pair, total = pair[new], np.add.reduceat(count, new, dtype=np.int64) if len(new) else count
         # Words that training doesn't have get no place.
         renamed = np.cumsum(known) - 1
         per, own = np.bincount(pair // max(len(names), 1), minlength=len(kinds))[known], kinds[known]
@@ -215,8 +225,8 @@ BUCKET = "part int, kinds binary, names binary, per binary, context binary, cust
 def _unpacked(row: dict) -> dict:
     """A bucket's words and contexts, and the word, the context and the customers of each pair."""
     kinds = unhash(row["kinds"])
-    word = np.repeat(np.arange(len(kinds)), wide(row["per"], len(kinds)))
-    return {"kinds": kinds, "names": unhash(row["names"]), "word": word, "context": wide(row["context"], len(word), True), "customers": wide(row["customers"], len(word))}
+    word = np.repeat(np.arange(len(kinds), dtype=np.int32), wide(row["per"], len(kinds)))
+    return {"kinds": kinds, "names": unhash(row["names"]), "word": word, "context": wide(row["context"], len(word), True).astype(np.int32), "customers": wide(row["customers"], len(word))}
 
 
 def uniform(keys: np.ndarray, *at: int) -> np.ndarray:
@@ -295,10 +305,15 @@ class Restaurants:
         by_word = mix(self.kinds + np.uint64(self.seed))
         upper = seat(from_below, np.full(len(from_below), (s0 + d0 * upper_tables) * self.base), np.full(len(from_below), d0 * self.base), d0, by_word + np.uint64(2 * turn))
         parent = (from_below - d0 * upper + (s0 + d0 * upper_tables) * self.base) / (s0 + upper_customers)
-        p = parent[self.word]
-        others = np.maximum(self.all_tables[self.context] - self.tables, 0)
-        keys = mix(by_word[self.word] ^ mix(self.names)[self.context]) + np.uint64(2 * turn + 1)
-        self.tables = seat(self.customers, (s1 + d1 * others) * p, d1 * p, d1, keys)
+        by_name, tables = mix(self.names), np.empty(len(self.word), np.int64)
+        for at in range(0, len(self.word), RUN):  # some pairs at a time; they don't depend on each other
+            own = slice(at, at + RUN)
+            word, context = self.word[own], self.context[own]
+            p = parent[word]
+            others = np.maximum(self.all_tables[context] - self.tables[own], 0)
+            keys = mix(by_word[word] ^ by_name[context]) + np.uint64(2 * turn + 1)
+            tables[own] = seat(self.customers[own], (s1 + d1 * others) * p, d1 * p, d1, keys)
+        self.tables = tables
         return self.tables, np.minimum(upper, self.below())
 
     def run(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -402,7 +417,7 @@ def _predict(rows: DataFrame, buckets: DataFrame, begin: DataFrame, kept: list[t
         names = r["names"]
         totals = _received(names, [m for m in found if m["sample"] == -1], parts, 2)[:, 0]
         r = Restaurants(r, totals, None, types, SEED)
-        kinds, pair = r.kinds, r.word * len(names) + r.context
+        kinds, pair = r.kinds, r.word * np.int64(len(names)) + r.context
         count = np.bincount(r.word, weights=r.customers, minlength=len(kinds))
         own, backs, parents = np.zeros(len(pair)), [], []
         for i, (all_below, all_upper) in enumerate(sums):
