@@ -16,19 +16,24 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.llm.text import Words, blocks, hasher
 from docsift.session import new_path, partitions, prepare, stash
 
-WORDS, LETTERS = 1_000_000, 600_000  # entries of a worker's caches; they are emptied when full
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+PIECES = 1_000_000  # entries of a worker's cache, which is emptied when it is full
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?")] = True
 
 #: lengths of the four values that a control byte stands for
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
@@ -71,11 +76,12 @@ def unpack(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Whole texts by the tokenizers library, words that came before from a cache.
+    """Whole texts by the tokenizers library, pieces of words that came before from a cache.
 
-    Tokens never reach over white space, so words may be encoded alone. Words of letters (Latin-1, which
-    normalising leaves composed) with end marks are one piece of letters and one of marks; new ones are encoded many
-    at a time, and told apart by the tokens' word ends.
+    Tokens never reach over white space, so words may be encoded alone. A word of letters (Latin-1, which normalising
+    leaves composed, and whose case it ignores) with end marks is two pieces, the letters and the marks; any other word
+    is one. Pieces are found, told apart (by 64-bit hashes) and put together over whole arrays; new pieces of letters
+    are encoded many at a time, and told apart by the tokens' word ends.
     """
 
     def __init__(self, spec: str):
@@ -88,50 +94,92 @@ class WordEncoder:
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.ending = np.zeros(self.size, bool)
         self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.long: list[bytes] = []
+        self.forget()
 
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def forget(self) -> None:
+        """Empty the cache: a piece's place by hash, and at its place where its ids begin and how many there are."""
+        self.place: dict[int, int] = {}
+        self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.used = np.zeros(1 << 14, self.kind), 0
 
-    def _letters(self, new: list[str]) -> None:
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, new: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         groups = [new[i : i + 500] for i in range(0, len(new), 500)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.kind)
             ends = np.flatnonzero(self.ending[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
-                raw, w = ids.tobytes(), ids.itemsize
-                cuts = [0, *(ends * w).tolist()]
-                self.letters.update((g, raw[a:b]) for g, a, b in zip(group, cuts, cuts[1:], strict=False))
-            else:
-                self.letters.update(zip(group, self._alone(group), strict=True))
-
-    def learn(self, words: set[bytes]) -> None:
-        for w in self.long:  # very long words aren't kept
-            self.words.pop(w, None)
-        if len(self.words) > WORDS:
-            self.words.clear()
-        if len(self.letters) > LETTERS:
-            self.letters.clear()
-        new = [w for w in words if w not in self.words]
-        self.long = [w for w in new if len(w) > 200]
-        plain, other = [], []
-        for w in new:
-            m = _PLAIN.fullmatch(w.decode())
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        for wanted in ({a for _, a, _ in plain}, {b for _, _, b in plain if b}):
-            fresh = [x for x in wanted if x not in self.letters]
-            if fresh and fresh[0][0].isalpha():
-                self._letters(fresh)
+                cuts = [0, *ends.tolist()]
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             else:
-                self.letters.update(zip(fresh, self._alone(fresh), strict=True))
-        get = self.letters
-        self.words.update((w, get[a] + get[b] if b else get[a]) for w, a, b in plain)
-        self.words.update(zip(other, self._alone([w.decode() for w in other]), strict=True))
+                out += self._alone(group)
+        return out
+
+    def _keep(self, keys: list[int], found: list[np.ndarray]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        first, top = len(self.place), len(self.place) + len(keys)
+        while len(self.begin) < top:
+            self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
+        total = int(sizes.sum())
+        while len(self.ids) < self.used + total:
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.begin[first:top], self.count[first:top] = self.used + np.cumsum(sizes) - sizes, sizes
+        if total:
+            self.ids[self.used : self.used + total] = np.concatenate(found)
+        self.used += total
+        self.place.update(zip(keys, range(first, top), strict=True))
+
+    def _pieces(self, w: Words) -> tuple[np.ndarray, ...]:
+        """Of all pieces in order: hash, first and last byte, whether it is of letters; the text with small letters; bounds by row."""
+        data, low = w.data, _SMALL[w.data]
+        lead = data[:-1] == 0xC3
+        wide = lead & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        low[1:][wide & (data[1:] <= 0x9E)] += 0x20
+        letter = _LETTER[data]
+        letter[1:] |= wide
+        letter[:-1] |= wide
+        others = np.concatenate(([0], np.cumsum(~letter, dtype=np.int32)))
+        to, at = w.ends.copy(), np.arange(len(w.ends))
+        while len(at):
+            at = at[(to[at] > w.starts[at]) & _MARK[data[to[at] - 1]]]
+            to[at] -= 1
+        plain = (to > w.starts) & (others[to] == others[w.starts])
+        to = np.where(plain, to, w.ends)
+        marked = to < w.ends
+        first = np.arange(len(to)) + np.cumsum(marked) - marked
+        n = len(to) + int(marked.sum())
+        key, begin, end, letters = np.empty(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
+        begin[first], end[first], letters[first] = w.starts, to, plain
+        begin[first[marked] + 1], end[first[marked] + 1] = to[marked], w.ends[marked]
+        key[letters] = hasher(21)(low, begin[letters], end[letters])
+        key[~letters] = hasher(22)(data, begin[~letters], end[~letters])
+        return key, begin, end, letters, low, np.append(first, n)[w.first]
+
+    def encode(self, column: pa.Array, end: bytes = b"") -> Iterator[list[bytes]]:
+        """The ids of each text, and `end`; some MB of rows at a time."""
+        for w in blocks(column, size=1 << 21):
+            if len(self.place) > PIECES:
+                self.forget()
+            key, begin, to, letters, low, bounds = self._pieces(w)
+            kinds, one, which = np.unique(key, return_index=True, return_inverse=True)
+            names = kinds.tolist()
+            slot = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                a, z, plain = begin[one[new]].tolist(), to[one[new]].tolist(), letters[one[new]]
+                small, raw = low.tobytes(), w.data.tobytes()
+                for wanted, source, encode in ((np.flatnonzero(plain).tolist(), small, self._letters), (np.flatnonzero(~plain).tolist(), raw, self._alone)):
+                    self._keep([names[new[i]] for i in wanted], encode([source[a[i] : z[i]].decode() for i in wanted]))
+                slot[new] = [self.place[names[i]] for i in new.tolist()]
+            slot = slot[which]
+            n = self.count[slot]
+            ends = np.cumsum(n)
+            raw = self.ids[np.repeat(self.begin[slot] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+            cuts = (np.concatenate(([0], ends))[bounds] * self.ids.itemsize).tolist()
+            yield [raw[x:y] + end for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -145,10 +193,6 @@ def word_encoder(spec: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def _texts(column: pa.Array) -> list[list[bytes]]:
-    return [t.split() if t else [] for t in column.cast(pa.binary()).to_pylist()]
-
-
 def encode_documents(docs: DataFrame, spec: str, end_id: int) -> DataFrame:
     """k, ids (binary, two or four bytes an id by the vocabulary's size), from k and t."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
@@ -157,10 +201,8 @@ def encode_documents(docs: DataFrame, spec: str, end_id: int) -> DataFrame:
         enc = word_encoder(shared.value)
         end = np.array(end_id, enc.kind).tobytes()
         for b in batches:
-            texts = [t.split() if t else [] for t in b.column(1).cast(pa.binary()).to_pylist()]
-            enc.learn(set().union(*texts))
-            get = enc.words.__getitem__
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(map(get, words)) + end for words in texts], pa.binary())], names=["k", "ids"])
+            rows = [x for part in enc.encode(b.column(1), end) for x in part]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["k", "ids"])
 
     return docs.select("k", "t").mapInArrow(run, "k long, ids binary")
 
