@@ -17,11 +17,17 @@ def strip_fences(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", "")
 
 
+def is_json(c: Column) -> Column:
+    """Whether the text is one JSON value and nothing else; parse_json alone lets pass what follows a value."""
+    listed = F.concat(F.lit("["), c, F.lit("]"))
+    return F.coalesce(F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1), F.lit(False))
+
+
 def greedy_object(c: Column) -> Column:
     """The whole text if it is JSON, else what stands between the first opening and the last closing brace or bracket."""
     t = strip_fences(c)
     tries = [t, F.regexp_extract(t, r"(?s)\{.*\}", 0), F.regexp_extract(t, r"(?s)\[.*\]", 0)]
-    return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull() & (x != ""), x) for x in tries])
+    return F.coalesce(*[F.when(is_json(x), x) for x in tries])
 
 
 def _balanced(text: str, opening: str, closing: str) -> str | None:
@@ -88,6 +94,31 @@ def missing_keys(c: Column, required: list[str]) -> Column:
     return F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(F.json_object_keys(c), F.array().cast("array<string>")))
 
 
+def schema_error(c: Column, required: list[str], properties: dict[str, str]) -> Column:
+    """The first fault by a schema of required fields and of types (string, number, array, object), else ''. As in the format's consumers, true and false count as numbers."""
+    v = F.try_parse_json(c)
+    keys = F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    tests = {"string": "STRING", "number": "(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)", "array": "ARRAY", "object": "OBJECT"}
+    out = F.when(v.isNull() | ~F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT"), "Data must be a dictionary")
+    for k in required:
+        out = out.when(~F.array_contains(keys, k), f"Missing required field: {k}")
+    for k, kind in properties.items():
+        own = F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit(""))
+        out = out.when(F.array_contains(keys, k) & ~own.rlike("^" + tests[kind]), f"Field {k} must be {kind}")
+    return out.otherwise("")
+
+
+def summary(c: Column, default: str = "No summary available.") -> Column:
+    """The first of a report's texts that isn't empty: property summary, summary, findings, risks, recommendations; lists are joined."""
+    def text(k: str) -> Column:
+        return F.nullif(F.get_json_object(c, f"$.{k}"), F.lit(""))
+
+    def joined(k: str) -> Column:
+        return F.nullif(F.array_join(F.from_json(F.get_json_object(c, f"$.{k}"), "array<string>"), ". "), F.lit(""))
+
+    return F.coalesce(text("property_summary"), text("summary"), joined("key_findings"), text("risk_overview"), joined("recommendations"), F.lit(default))
+
+
 def envelope(data: Column, error: Column) -> Column:
     """A response: success with data, or an error with its message; empty fields are left out."""
     return F.to_json(F.struct(error.isNull().alias("success"), data.alias("data"), error.alias("error")))

@@ -36,7 +36,6 @@ SEVERITY_BANDS = [(0.8, "Critical"), (0.6, "High"), (0.4, "Medium"), (0.2, "Low"
 HEALTH_PENALTY = {"Critical": 20, "High": 10, "Medium": 5, "Low": 2}
 SEVERITY_RANK = {"Critical": 4, "High": 3, "Medium": 2, "Low": 1}
 LEVELS = ["Critical", "High", "Medium", "Low", "Information"]
-LEVEL_IMPACT = ["Immediate", "Urgent", "Planned", "Routine", "None"]
 STOP_WORDS = ["the", "a", "an", "of", "for", "on", "at", "to", "with", "without"]
 CAUSES = [("Water Intrusion", "Structural"), ("Water Intrusion", "Foundation"), ("Structural", "Safety"), ("Electrical", "Safety")]
 CONTRADICTIONS = [
@@ -59,5 +58,17 @@ ACTION_PRIORITY = [("Critical", "Immediate", 0), ("High", "Short-Term", 1), ("Me
 PRIORITY_RANK = {"immediate": 0, "Immediate": 0, "short-term": 1, "Short-Term": 1, "Short-term": 1, "long-term": 2, "Long-Term": 2, "Long-term": 2, "preventive": 3, "Preventive": 3}
 PRIORITY_WORDS = [(("immediate", "urgent", "emergency"), "Immediate"), (("short", "soon", "next"), "Short-Term"), (("long", "future", "plan"), "Long-Term")]
 STRATEGIES = ["Implement regular preventive maintenance schedule", "Monitor and document all property conditions", "Establish emergency response protocols", "Maintain comprehensive property documentation"]
-MAGIC = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("474946383761", "gif"), ("474946383961", "gif"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("424D", "bmp"), ("52494646", "webp")]
-SUSPICIOUS = ["<script", "javascript:", "<?php", "<%", "eval(", "exec(", "system(", "shell_exec"]
+MAGIC = [(b"\x89PNG", "png"), (b"\xff\xd8\xff", "jpg"), (b"BM", "bmp"), (b"II*\x00", "tiff"), (b"MM\x00*", "tiff"), (b"GIF87a", "gif"), (b"GIF89a", "gif"), (b"RIFF", "webp")]
+SUSPICIOUS = ["<script", "<?php", "<%", "javascript:", "onerror=", "onload=", "eval(", "exec("]
+NO_SUMMARY = "No property summary provided. Please refer to observations below."
+NO_ROOT_CAUSE = "Unable to determine root cause from available data."
+NOTHING_MISSING = "No missing information identified."
+NO_OBSERVATIONS = "No observations available."
+FAILED_SUMMARY = "Unable to generate a property summary — all AI providers failed during processing. No observations were extracted from the source documents. See processing_metadata.errors for details."
+FAILED_OVERVIEW = "AI analysis could not be completed — all configured providers failed during processing. See processing_metadata.errors for details."
+ERROR_STATUS = [
+    ("PDF_VALIDATION_ERROR", 422), ("FILE_SIZE_LIMIT_EXCEEDED", 422), ("INVALID_FILE_TYPE", 422), ("MAGIC_BYTE_MISMATCH", 422), ("EMPTY_FILE", 422), ("PDF_EXTRACTION_ERROR", 422), ("EMPTY_EXTRACTION", 422),
+    ("AI_PROCESSING_ERROR", 502), ("DDR_GENERATION_ERROR", 500), ("REPORT_GENERATION_ERROR", 500), ("STORAGE_ERROR", 507), ("INTERNAL_ERROR", 500), ("RATE_LIMITED", 429),
+]
+RETENTION = {"temp": "24 HOURS", "report": "30 DAYS", "image": "7 DAYS"}
+SECTION_ISSUES = ["Missing property summary", "No area observations provided", "No recommendations provided"]

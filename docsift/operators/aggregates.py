@@ -97,3 +97,13 @@ def document_quality(stats: DataFrame) -> DataFrame:
         F.when(F.col("likely_scanned"), "scanned"), F.when(F.col("failed_pages") > 0, F.concat(F.col("failed_pages"), F.lit(" page(s) failed"))),
         F.when((F.col("total_pages") > 0) & (F.col("rate") < 0.5), "few pages with text"), F.when((F.col("sections") == 0) & (F.col("total_pages") > 1), "no sections")))
     return stats.select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(s, 2))).alias("score"), F.when(F.size(reasons) == 0, "none").otherwise(F.array_join(reasons, "; ")).alias("reasons"))
+
+
+def image_stats(images: DataFrame) -> DataFrame:
+    """One row for a batch of images (width, height, score, format): mean size, histogram of scores, images by format. An empty batch has zeros."""
+    q = F.col("score")
+    a = images.agg(
+        F.count(F.lit(1)).alias("images"), F.coalesce(F.concat(F.floor(F.avg("width")), F.lit("x"), F.floor(F.avg("height"))), F.lit("0x0")).alias("mean_size"),
+        F.count_if(q > 0.8).alias("excellent"), F.count_if((q > 0.6) & (q <= 0.8)).alias("good"), F.count_if((q > 0.4) & (q <= 0.6)).alias("fair"), F.count_if(q <= 0.4).alias("poor"))
+    per = images.groupBy("format").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "format", "n"))), ",").alias("formats"))
+    return a.join(F.broadcast(per))  # one row each

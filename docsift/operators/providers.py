@@ -6,6 +6,7 @@ A provider takes prompts and returns texts or raises. None that calls a network
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,14 +36,14 @@ class Named:
 
 
 def rule_provider(prompts: Sequence[str]) -> list[str]:
-    """Findings by the reasoning lexicon: every line that has one of its words, with its category."""
+    """Findings by the reasoning lexicon: every line but headings that has one of its words, with its category."""
     out = []
     for p in prompts:
         found = []
         for line in p.splitlines():
             low = line.lower()
             cat = next((c for c, ws in lx.REASONING_CATEGORIES.items() if any(w in low for w in ws)), None)
-            if cat:
+            if cat and not line.endswith(":"):
                 found.append({"area": "General Area", "observation": line.strip(), "category": cat, "evidence": []})
         out.append(json.dumps({"observations": found}))
     return out
@@ -53,29 +54,49 @@ def ordered(providers: Sequence[Named], primary: str) -> list[Named]:
     return sorted(providers, key=lambda p: p.name != primary)
 
 
-def generate(df: DataFrame, prompt: str, providers: Sequence[Named]) -> DataFrame:
-    """df with answer, provider and errors. The next provider is asked where one raises or answers without JSON."""
+def ask(provider: Named, prompts: Sequence[str], attempts: int = 2, wait: float = 0.0) -> list[tuple[str | None, str | None]]:
+    """(answer's JSON, error) of each prompt. All are sent at once; if that fails, one by one, each so often, waiting twice as long every time."""
+    try:
+        return [(j, None if j is not None else "no JSON") for j in map(extract, provider.call(list(prompts)))]
+    except Exception:  # noqa: BLE001  a provider may fail in any way
+        pass
+    out: list[tuple[str | None, str | None]] = []
+    for text in prompts:
+        error = ""
+        for turn in range(attempts):
+            try:
+                answer = extract(provider.call([text])[0])
+                out.append((answer, None if answer is not None else "no JSON"))
+                break
+            except Exception as x:  # noqa: BLE001
+                error = str(x)
+                if turn + 1 < attempts:
+                    time.sleep(wait * 2**turn)
+        else:
+            out.append((None, error))
+    return out
+
+
+def generate(df: DataFrame, prompt: str, providers: Sequence[Named], attempts: int = 2, wait: float = 0.0) -> DataFrame:
+    """df with answer, provider and errors. The next provider is asked for what the one before it failed at or answered without JSON."""
     columns, chain = df.columns, list(providers)
     schema = df.withColumn("answer", F.lit("")).withColumn("provider", F.lit("")).withColumn("errors", F.lit("")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for text in b[prompt]:
-                answer = name = None
-                errors = []
-                for p in chain:
-                    try:
-                        answer = extract(p.call([text])[0])
-                    except Exception as x:  # noqa: BLE001  a provider may fail in any way; the chain goes on
-                        errors.append(f"{p.name}: {x}")
-                        continue
-                    if answer is not None:
-                        name = p.name
-                        break
-                    errors.append(f"{p.name}: no JSON")
-                rows.append((answer, name, "; ".join(errors)))
-            yield b[columns].assign(**dict(zip(("answer", "provider", "errors"), map(list, zip(*rows, strict=True)) if rows else ([], [], []), strict=True)))
+            texts = b[prompt].tolist()
+            answer, name, errors = [None] * len(texts), [None] * len(texts), [[] for _ in texts]
+            open_ = list(range(len(texts)))
+            for p in chain:
+                if not open_:
+                    break
+                for i, (found, error) in zip(open_, ask(p, [texts[i] for i in open_], attempts, wait), strict=True):
+                    if error is None:
+                        answer[i], name[i] = found, p.name
+                    else:
+                        errors[i].append(f"{p.name}: {error}")
+                open_ = [i for i in open_ if name[i] is None]
+            yield b[columns].assign(answer=answer, provider=name, errors=["; ".join(e) for e in errors])
 
     return df.mapInPandas(run, schema)
 

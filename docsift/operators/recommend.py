@@ -58,6 +58,25 @@ def risk_overview(c: Column, h: Column) -> Column:
         h > 0, F.format_string("%d high severity issue(s) identified requiring professional assessment within 48 hours.", h)).otherwise("No critical or high severity issues identified. Property appears to be in generally good condition.")
 
 
+def reasoning_overview(n: Column, c: Column, h: Column, errors: Column) -> Column:
+    """The reasoning stage's wording; a report without findings and with errors says so."""
+    return F.when((n == 0) & (F.size(errors) > 0), lx.FAILED_OVERVIEW).when(c > 0, F.format_string("Immediate action required: %d critical issues.", c)).when(
+        h > 0, F.format_string("Urgent attention needed: %d high severity issues.", h)).otherwise("No critical or high severity issues identified.")
+
+
+def summary_lists(recs: DataFrame) -> DataFrame:
+    """The reasoning summary's lists: the first three immediate and the first three short-term actions, the immediate ones alone, and the first three long-term ones."""
+    low = F.lower("priority")
+    kind = F.when(low == "immediate", 0).when(F.contains(low, F.lit("short")), 1).when(F.contains(low, F.lit("long")), 2)
+    k = recs.withColumn("kind", kind).where("kind IS NOT NULL")
+    top = k.withColumn("rank", F.row_number().over(Window.partitionBy("report_id", "kind").orderBy("bucket", "pos", "pos2"))).where("rank <= 3")
+
+    def listed(test: Column) -> Column:
+        return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("kind", "rank", "action")))), lambda x: x["action"]), " | ")
+
+    return top.groupBy("report_id").agg(listed(F.col("kind") < 2).alias("overall"), listed(F.col("kind") == 0).alias("quick_wins"), listed(F.col("kind") == 2).alias("long_term"))
+
+
 def quick_wins(obs: DataFrame, n: int = 5) -> DataFrame:
     low = F.lower("observation")
     easy = obs.where(F.col("severity").isin("Low", "Medium") & (F.contains(low, F.lit("clean")) | F.contains(low, F.lit("repair"))))

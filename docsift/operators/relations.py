@@ -133,8 +133,10 @@ def banded_hamming(df: DataFrame, key: str = "vec_id", most: int = 3) -> DataFra
     bands = most + 1
     width = -(-64 // bands)
     bits = F.concat(*[F.lpad(F.bin(F.col(c)), 32, "0") for c in ("hi", "lo")])
-    rows = df.select(F.col(key).alias("k"), "hi", "lo", F.posexplode(F.array(*[F.substring(bits, 1 + i * width, width) for i in range(bands)])).alias("band", "value"))
+    values = F.array(*[F.substring(bits, 1 + i * width, width) for i in range(bands)])
+    rows = df.select(F.col(key).alias("k"), "hi", "lo", values.alias("values")).select("*", F.posexplode("values").alias("band", "value"))
     a, b = rows.alias("a"), rows.alias("b")
     far = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.k") < F.col("b.k")) & (far <= most))
-    return met.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), far.alias("distance")).distinct()
+    first = F.array_position(F.zip_with("a.values", "b.values", lambda x, y: x == y), True) == F.col("a.band") + 1  # so that a pair is met once
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.k") < F.col("b.k")) & (far <= most) & first)
+    return met.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), far.alias("distance"))

@@ -15,7 +15,9 @@ PHRASES = [
     "settlement of the slab, moderate", "base plate shows significant movement", "loose shingle, minor", "gutter detached",
     "fence paint peeling", "carpet worn", "fire hazard with risk to occupants", "danger sign missing", "moderate crack in render",
     "no crack, solid render", "finish undamaged and intact", "visible damage to trim", "all good here",
+    "minor stain, clean the grille", "moderate wear, repair the sill", "minor rip",
 ]
+SHORT = len(PHRASES) - 1  # the last phrase stands alone
 CONFIDENCE = ["very high", "high", "moderate", "low", "very low", "n/a"]
 EVIDENCE = ["", "seen", "photo and thermal scan agree", "photo and thermal scan agree"]
 
@@ -32,7 +34,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("ord"),
         k.cast("string").alias("id"),
         F.concat(F.lit("Area "), k % 5).alias("area"),
-        F.concat(pick(PHRASES), F.lit(" lower east service corridor unit "), k % 7).alias("observation"),
+        F.concat(pick(PHRASES), F.when(k % len(PHRASES) == SHORT, "").otherwise(F.concat(F.lit(" lower east service corridor unit "), k % 7))).alias("observation"),
         F.col("o_orderpriority").alias("severity"),
         pick(CONFIDENCE).alias("confidence"),
         pick(EVIDENCE).alias("evidence"),
@@ -45,7 +47,7 @@ def _list(values: list[str]) -> str:
 
 
 RAW_SQL = f"""raw_obs AS (SELECT o_custkey AS report_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS ord, o_orderkey::VARCHAR AS id,
- 'Area ' || (o_orderkey % 5) AS area, ({_list(PHRASES)})[o_orderkey % 24 + 1] || ' lower east service corridor unit ' || (o_orderkey % 7) AS observation,
+ 'Area ' || (o_orderkey % 5) AS area, ({_list(PHRASES)})[o_orderkey % {len(PHRASES)} + 1] || CASE WHEN o_orderkey % {len(PHRASES)} = {SHORT} THEN '' ELSE ' lower east service corridor unit ' || (o_orderkey % 7) END AS observation,
  o_orderpriority AS severity, ({_list(CONFIDENCE)})[o_orderkey % 6 + 1] AS confidence, ({_list(EVIDENCE)})[o_orderkey % 4 + 1] AS evidence,
  CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS n_images, o_orderkey FROM orders)"""
 
@@ -111,6 +113,25 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(raw_observations(spark, sf_dir))
 
 
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes with each report; every tenth customer has a second report without findings."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    k = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+    two = c.select("*", F.explode(F.when(k % 10 == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))).alias("sign"))
+    return two.select(
+        F.when(F.col("sign") > 0, k).otherwise(-k - 1).alias("report_id"),
+        F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "   ").otherwise(F.concat(F.lit(" House of "), F.col("c_name"), F.lit(" "))).alias("property_summary"),
+        F.when(k % 4 == 0, "").when(k % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit("Leak near "), F.col("c_name"))).alias("root_cause"),
+        F.when(k % 3 == 0, none).otherwise(F.array(F.lit(" roof plan "), F.lit(" "), F.concat(F.lit("age of "), F.col("c_name")))).alias("missing"),
+        F.when(k % 7 < 3, F.array(F.lit("observation_extraction: time-out"), F.concat(F.lit("severity: "), k % 7))).otherwise(none).alias("errors"))
+
+
+INPUTS_SQL = """inp AS (SELECT CASE WHEN sign > 0 THEN c_custkey ELSE -c_custkey - 1 END AS report_id, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE ' House of ' || c_name || ' ' END AS property_summary,
+ CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Leak near ' || c_name END AS root_cause, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE [' roof plan ', ' ', 'age of ' || c_name] END AS missing,
+ CASE WHEN c_custkey % 7 < 3 THEN ['observation_extraction: time-out', 'severity: ' || (c_custkey % 7)] ELSE [] END AS errors FROM (SELECT *, unnest(CASE WHEN c_custkey % 10 = 0 THEN [1, -1] ELSE [1] END) AS sign FROM customer))"""
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.operators.observe import rescore
 

@@ -15,21 +15,32 @@ from docsift.operators import report as R
 from docsift.operators import score as S
 from docsift.plans import fixtures as X
 from docsift.registry import query
+from docsift.session import stash
 
 o = F.col
 HEALTH = "greatest(0, least(100, 100 - 20 * c - 10 * h - 5 * m - 2 * l))"
 COUNTS = "SELECT report_id, count(*) AS n, count(*) FILTER (severity = 'Critical') AS c, count(*) FILTER (severity = 'High') AS h, count(*) FILTER (severity = 'Medium') AS m, count(*) FILTER (severity = 'Low') AS l, count(DISTINCT area) AS areas, count(DISTINCT category) AS k FROM scored GROUP BY report_id"
 
 
+#: Queries that read the findings several times: they are stored first.
+STORED = {"j10_conflicts", "sc3_certainty_conflicts", "sc5_reasoning_confidence", "sc8_reasoning", "sc9_conflict_density", "k6_recommendations", "k4_prioritized", "k9_summary_lists"}
+
+
 def _q(name: str, sql: str | None, make, with_: str = X.SCORED_SQL):
     """A query over the scored observations."""
     @query(name, None if sql is None else f"WITH {with_} {sql}")
     def run(spark, d):
-        return make(X.scored(spark, d))
+        return make(stash(X.scored(spark, d), "findings") if name in STORED else X.scored(spark, d))
 
     return run
 
 
+def _with_recs(x, make):
+    """make(findings, conflicts, recommendations), each stored."""
+    c = stash(J.conflicts(x), "conflicts")
+    return make(x, c, stash(K.recommendations(x, c), "recommendations"))
+
+
 def _counts(sql: str) -> str:
     return f", t AS ({COUNTS}) {sql}"
 
@@ -54,12 +65,9 @@ _q("a15_ids_by_severity", "SELECT report_id, severity, string_agg(id, ',' ORDER
 FIXED = ", ".join(f"'{s}'" for s in lx.STRATEGIES[:3])
 _q("a16_strategies", f"SELECT report_id, array_to_string(list_concat(coalesce(list('Long-term ' || category || ' maintenance plan needed based on ' || n || ' observations' ORDER BY first) FILTER (n >= 3), []), [{FIXED}])[1:5], ' | ') AS strategies FROM (SELECT report_id, category, count(*) AS n, min(ord) AS first FROM scored GROUP BY ALL) GROUP BY report_id", A.strategies)
 _q("a22_mean_scores", "SELECT report_id, avg(severity_score) AS severity, avg(confidence_score) AS confidence FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(F.avg("severity_score").alias("severity"), F.avg("confidence_score").alias("confidence")))
-_q("a24_quality_issues", "SELECT report_id, count(*) FILTER (len(observation) < 55) AS weak, count(*) FILTER (confidence_score < 0.4::DOUBLE) AS unsure, array_to_string(list_filter([CASE WHEN count(*) FILTER (len(observation) < 55) > 0 THEN count(*) FILTER (len(observation) < 55) || ' weak recommendations detected' END, CASE WHEN count(*) FILTER (confidence_score < 0.4::DOUBLE) > 0 THEN count(*) FILTER (confidence_score < 0.4::DOUBLE) || ' observations with low confidence' END], lambda x: x IS NOT NULL), '; ') AS issues FROM scored GROUP BY report_id",
-   lambda x: x.groupBy("report_id").agg(F.count_if(F.length("observation") < 55).alias("weak"), F.count_if(o("confidence_score") < 0.4).alias("unsure")).withColumn("issues", F.concat_ws("; ", F.when(o("weak") > 0, F.concat(o("weak"), F.lit(" weak recommendations detected"))), F.when(o("unsure") > 0, F.concat(o("unsure"), F.lit(" observations with low confidence"))))))
 _q("rollup_area_category_severity", "SELECT area, category, severity, count(*) AS n FROM scored GROUP BY ROLLUP (area, category, severity)", lambda x: x.rollup("area", "category", "severity").agg(F.count(F.lit(1)).alias("n")))
 _q("cube_area_severity", "SELECT area, severity, count(*) AS n FROM scored GROUP BY CUBE (area, severity)", lambda x: x.cube("area", "severity").agg(F.count(F.lit(1)).alias("n")))
 _q("pivot_severity", _counts("SELECT report_id, nullif(c, 0) AS critical, nullif(h, 0) AS high FROM t WHERE c + h > 0 OR n > 0"), lambda x: x.groupBy("report_id").pivot("severity", ["Critical", "High"]).count().select("report_id", o("Critical").alias("critical"), o("High").alias("high")))
-_q("a23_completeness", "SELECT report_id, (1 + (count(*) > 0)::INT + (count(*) FILTER (evidence <> '') > 0)::INT + 0) / 4::DOUBLE AS completeness FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(((1 + (F.count(F.lit(1)) > 0).cast("int") + (F.count_if(o("evidence") != "") > 0).cast("int")) / F.lit(4.0)).alias("completeness")))
 _q("c13_client_severity", _counts("SELECT report_id, CASE WHEN c > 0 THEN 'Critical' WHEN h > 0 THEN 'High' ELSE 'Medium' END AS severity FROM t"), lambda x: A.kpis(x).select("report_id", F.when(o("n_critical") > 0, "Critical").when(o("n_high") > 0, "High").otherwise("Medium").alias("severity")))
 
 # Documents as lists of pages: their lines -------------------------------------------------------------------------
@@ -90,12 +98,23 @@ def a17(spark, d):
     return raw.groupBy("report_id", "priority").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]), ",").alias("ids"))
 
 
-@query("a18_image_stats", "SELECT p_brand, CAST(floor(avg(p_size)) AS BIGINT) || 'x' || CAST(floor(avg(p_retailprice)) AS BIGINT) AS mean_size, count(*) FILTER (p_size / 50::DOUBLE > 0.8) AS excellent, count(*) FILTER (p_size / 50::DOUBLE > 0.6 AND p_size / 50::DOUBLE <= 0.8) AS good, count(*) FILTER (p_size / 50::DOUBLE > 0.4 AND p_size / 50::DOUBLE <= 0.6) AS fair, count(*) FILTER (p_size / 50::DOUBLE <= 0.4) AS poor FROM part GROUP BY p_brand")
+IMG_SQL = "im AS (SELECT p_size AS width, floor(p_retailprice)::BIGINT AS height, p_size / 50::DOUBLE AS score, CASE p_partkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'gif' END AS format FROM part{})"
+IMG_STATS = " SELECT count(*) AS images, coalesce(floor(avg(width))::BIGINT || 'x' || floor(avg(height))::BIGINT, '0x0') AS mean_size, count(*) FILTER (score > 0.8::DOUBLE) AS excellent, count(*) FILTER (score > 0.6::DOUBLE AND score <= 0.8::DOUBLE) AS good, count(*) FILTER (score > 0.4::DOUBLE AND score <= 0.6::DOUBLE) AS fair, count(*) FILTER (score <= 0.4::DOUBLE) AS poor, coalesce((SELECT string_agg(format || ':' || n, ',' ORDER BY format) FROM (SELECT format, count(*) AS n FROM im GROUP BY format)), '') AS formats FROM im"
+
+
+def _images(spark, d):
+    k = o("p_partkey") % 3
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", o("p_size").alias("width"), F.floor("p_retailprice").alias("height"), (o("p_size") / F.lit(50.0)).alias("score"), F.when(k == 0, "png").when(k == 1, "jpg").otherwise("gif").alias("format"))
+
+
+@query("a18_image_stats", "WITH " + IMG_SQL.format("") + IMG_STATS)
 def a18(spark, d):
-    q = o("p_size") / F.lit(50.0)
-    return spark.read.parquet(f"{d}/part.parquet").groupBy("p_brand").agg(
-        F.concat(F.floor(F.avg("p_size")).cast("long"), F.lit("x"), F.floor(F.avg("p_retailprice")).cast("long")).alias("mean_size"),
-        F.count_if(q > 0.8).alias("excellent"), F.count_if((q > 0.6) & (q <= 0.8)).alias("good"), F.count_if((q > 0.4) & (q <= 0.6)).alias("fair"), F.count_if(q <= 0.4).alias("poor"))
+    return A.image_stats(_images(spark, d))
+
+
+@query("a18_image_stats_empty", "WITH " + IMG_SQL.format(" WHERE p_size < 0") + IMG_STATS)
+def a18_empty(spark, d):
+    return A.image_stats(_images(spark, d).where("width < 0"))
 
 
 @query("a19_extraction_report", "SELECT count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 2) AS mean_chars, round(avg(n_chars / 1024::DOUBLE), 2) AS mean_kb FROM documents")
@@ -188,11 +207,9 @@ def j15(spark, d):
 # Scores -------------------------------------------------------------------------------------------------------------
 OQ = "(CASE WHEN len(evidence) > {} THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN n_images > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN confidence_score >= 0.7::DOUBLE THEN 0.4::DOUBLE ELSE 0 END)"
 CN = CONF_SQL + ", nc AS (SELECT report_id, count(*) AS conflicts FROM conf GROUP BY report_id)"
-_q("sc1_confidence", CN + f", s1 AS (SELECT report_id, count(*) AS n, avg({OQ.format(0)}) AS q, avg(confidence_score) AS certainty FROM scored GROUP BY report_id), s2 AS (SELECT s1.*, coalesce(conflicts, 0) AS conflicts, 1 - least(1::DOUBLE, 0.1::DOUBLE * coalesce(conflicts, 0)) AS cs FROM s1 LEFT JOIN nc USING (report_id)) SELECT report_id, n, conflicts, 0.75::DOUBLE AS completeness, round((q)::DECIMAL(18, 9), 3)::DOUBLE AS quality, round((certainty)::DECIMAL(18, 9), 3)::DOUBLE AS certainty, round((cs)::DECIMAL(18, 9), 3)::DOUBLE AS conflict_score, round((0.3::DOUBLE * 0.75::DOUBLE + 0.3::DOUBLE * q + 0.2::DOUBLE * certainty + 0.2::DOUBLE * cs)::DECIMAL(18, 9), 3)::DOUBLE AS confidence FROM s2", lambda x: S.deterministic(x, J.conflicts(x)))
 _q("sc2_observation_quality", f"SELECT report_id, avg({OQ.format(0)}) AS quality, avg({OQ.format(10)}) AS strict FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(F.avg(S.observation_quality(o("evidence"), o("n_images"), o("confidence_score"))).alias("quality"), F.avg(S.observation_quality(o("evidence"), o("n_images"), o("confidence_score"), 10)).alias("strict")))
 _q("sc3_certainty_conflicts", CN + " SELECT s.report_id, avg(confidence_score) AS certainty, 1 - least(1::DOUBLE, 0.1::DOUBLE * coalesce(max(conflicts), 0)) AS conflict_score FROM scored s LEFT JOIN nc USING (report_id) GROUP BY s.report_id",
    lambda x: x.groupBy("report_id").agg(F.coalesce(F.avg("confidence_score"), F.lit(0.5)).alias("certainty")).join(J.conflicts(x).groupBy("report_id").agg(F.count(F.lit(1)).alias("n")), "report_id", "left").select("report_id", "certainty", S.conflict_score(F.coalesce("n", F.lit(0))).alias("conflict_score")))
-_q("sc4_quality_overall", f"SELECT report_id, round(((0.75::DOUBLE + avg({OQ.format(10)}) + 1::DOUBLE) / 3)::DECIMAL(18, 9), 3)::DOUBLE AS overall FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(T.r3((F.lit(0.75) + F.avg(S.observation_quality(o("evidence"), o("n_images"), o("confidence_score"), 10)) + F.lit(1.0)) / 3).alias("overall")))
 COMP = "(CASE WHEN area <> 'Unknown' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN len(observation) > 10 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN category <> 'General' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN evidence <> '' THEN 0.2::DOUBLE ELSE 0 END)"
 WC = "len(string_split(observation, ' '))"
 RQ = f"least(1::DOUBLE, least(0.4::DOUBLE, {WC} / 20::DOUBLE) + CASE WHEN evidence <> '' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN severity_score > 0 THEN 0.3::DOUBLE ELSE 0 END)"
@@ -243,8 +260,11 @@ _q("k5_first_actions", f"SELECT report_id, id FROM (SELECT report_id, id, row_nu
 _q("k7_heuristic", "SELECT report_id, id, 'Immediate inspection and repair of ' || area AS action FROM scored WHERE ord <= 5 AND severity IN ('Critical', 'High')", lambda x: x.where((o("ord") <= 5) & o("severity").isin("Critical", "High")).select("report_id", "id", F.concat(F.lit("Immediate inspection and repair of "), o("area")).alias("action")))
 _q("k8_concerns", "SELECT report_id, rank, concern FROM (SELECT report_id, category || ': ' || observation AS concern, row_number() OVER (PARTITION BY report_id ORDER BY ord)::INT AS rank FROM scored WHERE severity IN ('Critical', 'High')) WHERE rank <= 5", lambda x: K.major_concerns(x).select("report_id", "rank", "concern"))
 _q("k8_quick_wins", "SELECT report_id, rank, win FROM (SELECT report_id, 'Quick fix: ' || observation AS win, row_number() OVER (PARTITION BY report_id ORDER BY ord)::INT AS rank FROM scored WHERE severity IN ('Low', 'Medium') AND (contains(lower(observation), 'clean') OR contains(lower(observation), 'repair'))) WHERE rank <= 5", lambda x: K.quick_wins(x).select("report_id", "rank", "win"))
-_q("k9_summary_lists", RECS + " SELECT report_id, priority, string_agg(action, ' | ' ORDER BY r) AS actions FROM (SELECT *, row_number() OVER (PARTITION BY report_id, priority ORDER BY bucket, pos, pos2) AS r FROM rec WHERE priority IN ('Immediate', 'Short-Term', 'Long-Term')) WHERE r <= 3 GROUP BY ALL",
-   lambda x: K.recommendations(x, J.conflicts(x)).where(o("priority").isin("Immediate", "Short-Term", "Long-Term")).withColumn("r", F.row_number().over(Window.partitionBy("report_id", "priority").orderBy("bucket", "pos", "pos2"))).where("r <= 3").groupBy("report_id", "priority").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "action"))), lambda y: y["action"]), " | ").alias("actions")))
+KIND = "CASE WHEN lower(priority) = 'immediate' THEN 0 WHEN contains(lower(priority), 'short') THEN 1 WHEN contains(lower(priority), 'long') THEN 2 END"
+_q("k9_summary_lists", RECS + f""", kl AS (SELECT *, row_number() OVER (PARTITION BY report_id, kind ORDER BY bucket, pos, pos2) AS r FROM (SELECT *, {KIND} AS kind FROM rec) WHERE kind IS NOT NULL)
+ SELECT report_id, coalesce(string_agg(action, ' | ' ORDER BY kind, r) FILTER (kind < 2), '') AS overall, coalesce(string_agg(action, ' | ' ORDER BY r) FILTER (kind = 0), '') AS quick_wins, coalesce(string_agg(action, ' | ' ORDER BY r) FILTER (kind = 2), '') AS long_term FROM kl WHERE r <= 3 GROUP BY report_id""",
+   lambda x: K.summary_lists(K.recommendations(x, J.conflicts(x))))
+_q("k9_critical_observations", "SELECT report_id, string_agg(id, ',' ORDER BY ord) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS r FROM scored WHERE severity = 'Critical') WHERE r <= 5 GROUP BY report_id", lambda x: K.joined(K.first_n(x.where("severity = 'Critical'"), 5, "ord"), ["rank"], "id", "ids", ","))
 OVERVIEW = "CASE WHEN c > 0 THEN 'Immediate attention required: ' || c || ' critical issue(s) identified requiring emergency action.' WHEN h > 0 THEN h || ' high severity issue(s) identified requiring professional assessment within 48 hours.' ELSE 'No critical or high severity issues identified. Property appears to be in generally good condition.' END"
 _q("k10_risk_overview", _counts(f"SELECT report_id, {OVERVIEW} AS overview FROM t"), lambda x: A.kpis(x).select("report_id", K.risk_overview(o("n_critical"), o("n_high")).alias("overview")))
 MISSING = "SELECT report_id, rank, missing FROM (SELECT report_id, 'No evidence: ' || left(observation, 40) || '...' AS missing, row_number() OVER (PARTITION BY report_id ORDER BY ord)::INT AS rank FROM scored WHERE evidence = '') WHERE rank <= 10"
@@ -252,14 +272,81 @@ _q("k11_missing_information", MISSING, lambda x: K.missing_information(x).select
 _q("k12_input_caps", "SELECT report_id, id, left(observation, 30) AS text FROM scored WHERE ord <= 20", lambda x: K.first_n(x, 20, "ord").select("report_id", "id", F.left("observation", F.lit(30)).alias("text")))
 _q("k13_renderer_caps", "SELECT report_id, count(*) FILTER (ord <= 10) AS shown, CASE WHEN count(*) > 10 THEN '… and ' || (count(*) - 10) || ' more' END AS more FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(F.count_if(o("ord") <= 10).alias("shown"), F.when(F.count(F.lit(1)) > 10, F.concat(F.lit("… and "), F.count(F.lit(1)) - 10, F.lit(" more"))).alias("more")))
 _q("k14_urgent", "SELECT id FROM scored WHERE severity IN ('Critical', 'High')", lambda x: x.where(o("severity").isin("Critical", "High")).select("id"))
-_q("k15_token_sets", "SELECT report_id, list_sort(list_distinct(flatten(list(string_split(key, ' ')))))[1:1][1] AS first_token, len(list_distinct(flatten(list(string_split(key, ' ')))))::INT AS n FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(F.array_distinct(F.flatten(F.collect_list(F.split("key", " ")))).alias("t")).select("report_id", F.array_min("t").alias("first_token"), F.size("t").alias("n")))
-_q("k16_degraded", "SELECT report_id, count(*) FILTER (category = 'General') > 0 AND count(*) FILTER (category <> 'General') = 0 AS degraded FROM scored GROUP BY report_id", lambda x: x.groupBy("report_id").agg(((F.count_if(o("category") == "General") > 0) & (F.count_if(o("category") != "General") == 0)).alias("degraded")))
+T_A, T_B = (f"list_distinct(list_filter(string_split({x}.key, ' '), lambda w: w <> ''))" for x in "ab")
+_q("k15_token_sets", f"SELECT a.id, array_to_string(list_sort(list_intersect({T_A}, {T_B})), ' ') AS both, array_to_string(list_sort(list_distinct(list_concat({T_A}, {T_B}))), ' ') AS either, array_to_string(list_sort(list_filter({T_A}, lambda w: NOT list_contains({T_B}, w))), ' ') AS only FROM scored a JOIN scored b ON b.report_id = a.report_id AND b.ord = a.ord + 1", lambda x: _sets(x))
+
+
+def _sets(x):
+    tok = F.array_distinct(F.filter(F.split("key", " "), lambda w: w != ""))
+    nxt = x.withColumn("t", tok).withColumn("u", F.lead("t").over(Window.partitionBy("report_id").orderBy("ord"))).where("u IS NOT NULL")
+    return nxt.select("id", *[F.array_join(F.sort_array(f("t", "u")), " ").alias(n) for n, f in (("both", F.array_intersect), ("either", F.array_union), ("only", F.array_except))])
+
+
+# What comes with a report, and its sections --------------------------------------------------------------------------
+SUMMARY = f"CASE WHEN coalesce(property_summary, '') = '' THEN '{lx.NO_SUMMARY}' ELSE trim(property_summary) END"
+CAUSE_TEXT = f"CASE WHEN coalesce(root_cause, '') = '' THEN '{lx.NO_ROOT_CAUSE}' ELSE root_cause END"
+
+
+def _inputs(name: str, sql: str, make):
+    @query(name, f"WITH {X.INPUTS_SQL} SELECT {sql} FROM inp")
+    def run(spark, d):
+        return make(X.inputs(spark, d))
+
+    return run
 
 
-@query("k17_defaults", "SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE ' ' || c_name || ' ' END), ''), 'No property summary provided. Please refer to observations below.') AS summary FROM customer")
-def k17(spark, d):
-    raw = F.when(o("c_custkey") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), o("c_name"), F.lit(" ")))
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.coalesce(F.nullif(T.strip(raw), F.lit("")), F.lit("No property summary provided. Please refer to observations below.")).alias("summary"))
+_inputs("k17_defaults", f"report_id, {SUMMARY} AS summary, {CAUSE_TEXT} AS root_cause", lambda i: i.select("report_id", S.property_summary(o("property_summary")).alias("summary"), S.root_cause(o("root_cause")).alias("root_cause")))
+_inputs("k11_given_missing", f"report_id, CASE WHEN len(missing) = 0 THEN '{lx.NOTHING_MISSING}' ELSE array_to_string(list_filter(list_transform(missing, lambda x: trim(x)), lambda x: x <> ''), '; ') END AS missing", lambda i: i.select("report_id", F.array_join(S.missing_information(o("missing")), "; ").alias("missing")))
+
+
+@query("x4_error_record", f"WITH {X.INPUTS_SQL} SELECT report_id, 'failed' AS status, 'Error occurred during processing' AS property_summary, 'Processing error' AS primary_cause, array_to_string(errors, '; ') AS contributing_factors, 'Complete data unavailable' AS missing_information, 0::DOUBLE AS overall_confidence FROM inp WHERE len(errors) > 0")
+def x4(spark, d):
+    return R.error_record(X.inputs(spark, d))
+
+
+SECTIONS_SQL = f"""nc AS (SELECT report_id, count(*) AS conflicts FROM conf GROUP BY report_id),
+ ob AS (SELECT report_id, count(*) AS n, avg({OQ.format(0)}) AS q, avg({OQ.format(10)}) AS strict, avg(confidence_score) AS certainty, count(*) FILTER (severity IN ('Critical', 'High')) AS keys, count(*) FILTER (confidence_score < 0.4::DOUBLE) AS unsure FROM scored GROUP BY report_id),
+ rc AS (SELECT report_id, count(*) AS recs, count(*) FILTER (len(action) < 20) AS weak, avg(CASE WHEN priority <> '' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN category <> '' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN ids <> '' THEN 0.4::DOUBLE ELSE 0 END) AS rq FROM rec GROUP BY report_id),
+ se AS (SELECT inp.report_id, {SUMMARY} AS summary, coalesce(n, 0) AS n, coalesce(recs, 0) AS recs, coalesce(keys, 0) AS keys, coalesce(weak, 0) AS weak, coalesce(unsure, 0) AS unsure, coalesce(conflicts, 0) AS conflicts, coalesce(q, 0) AS q, coalesce(strict, 0) AS strict, coalesce(certainty, 0.5::DOUBLE) AS certainty, coalesce(rq, 0) AS rq,
+  (({SUMMARY} <> '')::INT + (coalesce(n, 0) > 0)::INT + (coalesce(recs, 0) > 0)::INT + (coalesce(keys, 0) > 0)::INT) AS filled, 1 - least(1::DOUBLE, 0.1::DOUBLE * coalesce(conflicts, 0)) AS cs
+  FROM inp LEFT JOIN ob USING (report_id) LEFT JOIN rc USING (report_id) LEFT JOIN nc USING (report_id))"""
+R3 = "round(({})::DECIMAL(18, 9), 3)::DOUBLE"
+CONFIDENCE = "0.3::DOUBLE * (filled / 4::DOUBLE) + 0.3::DOUBLE * q + 0.2::DOUBLE * certainty + 0.2::DOUBLE * cs"
+ISSUES = "array_to_string(list_filter([CASE WHEN summary = '' THEN 'Missing property summary' END, CASE WHEN n = 0 THEN 'No area observations provided' END, CASE WHEN recs = 0 THEN 'No recommendations provided' END, CASE WHEN weak > 0 THEN weak || ' weak recommendations detected' END, CASE WHEN unsure > 0 THEN unsure || ' observations with low confidence' END], lambda x: x IS NOT NULL), '; ')"
+OVERALL = R3.format("((filled + 1) / 5::DOUBLE + strict + rq) / 3")
+
+
+def _sections(name: str, sql: str, make):
+    """A query over all reports of the inputs, with or without findings: se has what the scores look at."""
+    @query(name, f"WITH {X.SCORED_SQL} {RECS}, {X.INPUTS_SQL}, {SECTIONS_SQL} {sql}")
+    def run(spark, d):
+        return _with_recs(stash(X.scored(spark, d), "findings"), lambda f, c, r: make(S.sections(f, c, r, X.inputs(spark, d))))
+
+    return run
+
+
+_sections("sc1_confidence", f"SELECT report_id, n, conflicts, {R3.format('filled / 4::DOUBLE')} AS completeness, {R3.format('q')} AS quality, {R3.format('certainty')} AS certainty, {R3.format('cs')} AS conflict_score, {R3.format(CONFIDENCE)} AS confidence FROM se", S.deterministic)
+_sections("sc4_quality_overall", f"SELECT report_id, strict AS observation_quality, rq AS recommendation_quality, {OVERALL} AS overall FROM se", lambda x: S.overall_quality(x).drop("issues", "completeness"))
+_sections("a23_completeness", "SELECT report_id, filled / 4::DOUBLE AS of_four, (filled + 1) / 5::DOUBLE AS of_five FROM se", lambda x: x.select("report_id", S.completeness_of(4).alias("of_four"), S.completeness_of(5).alias("of_five")))
+_sections("a24_quality_issues", f"SELECT report_id, weak, unsure, {ISSUES} AS issues FROM se", lambda x: S.overall_quality(x).select("report_id", "issues").join(x.select("report_id", "weak", "unsure"), "report_id"))
+
+
+@query("k16_degraded", f"WITH {X.SCORED_SQL}, {X.INPUTS_SQL}, t AS (SELECT report_id, count(*) AS n FROM scored GROUP BY report_id) SELECT report_id, len(errors) > 0 AND coalesce(n, 0) = 0 AS degraded FROM inp LEFT JOIN t USING (report_id)")
+def k16(spark, d):
+    return R.record(stash(X.scored(spark, d), "findings"), X.inputs(spark, d)).select("report_id", (o("status") == "failed").alias("degraded"))
+
+
+REC_TEXT = f"CASE WHEN n = 0 AND len(errors) > 0 THEN '{lx.FAILED_SUMMARY}' WHEN n = 0 THEN '{lx.NO_OBSERVATIONS}' ELSE 'Property assessment identified ' || n || ' observations across ' || k || ' categories.' || CASE WHEN c > 0 THEN ' ' || c || ' critical issues require immediate attention.' ELSE '' END || CASE WHEN h > 0 THEN ' ' || h || ' high-priority issues need urgent assessment.' ELSE '' END END"
+REC_RISK = f"CASE WHEN n = 0 AND len(errors) > 0 THEN '{lx.FAILED_OVERVIEW}' WHEN c > 0 THEN 'Immediate action required: ' || c || ' critical issues.' WHEN h > 0 THEN 'Urgent attention needed: ' || h || ' high severity issues.' ELSE 'No critical or high severity issues identified.' END"
+
+
+@query("x20_final_record", f"""WITH {X.SCORED_SQL}, {X.INPUTS_SQL}, t0 AS ({COUNTS}), t AS (SELECT inp.report_id, errors, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(c, 0) AS c, coalesce(h, 0) AS h FROM inp LEFT JOIN t0 USING (report_id)),
+ kf AS (SELECT report_id, string_agg(upper(severity) || ': ' || observation, ' | ' ORDER BY severity = 'High', ord) AS key_findings FROM (SELECT *, row_number() OVER (PARTITION BY report_id, severity ORDER BY ord) AS r FROM scored WHERE severity IN ('Critical', 'High')) WHERE r <= 3 GROUP BY report_id),
+ mi AS (SELECT report_id, string_agg('No evidence: ' || left(observation, 40) || '...', ' | ' ORDER BY ord) AS missing FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS r FROM scored WHERE evidence = '') WHERE r <= 10 GROUP BY report_id)
+ SELECT t.report_id, CASE WHEN n = 0 AND len(errors) > 0 THEN 'failed' WHEN len(errors) > 0 THEN 'partial' ELSE 'ok' END AS status, n AS n_observations, {REC_TEXT} AS property_summary, {REC_RISK} AS risk_overview, greatest(0, 100 - 20 * c - 10 * h)::BIGINT AS health,
+ coalesce(key_findings, '') AS key_findings, coalesce(missing, '') AS missing_information, array_to_string(errors, '; ') AS errors FROM t LEFT JOIN kf USING (report_id) LEFT JOIN mi USING (report_id)""")
+def x20(spark, d):
+    return R.record(stash(X.scored(spark, d), "findings"), X.inputs(spark, d))
 
 
 # The report ---------------------------------------------------------------------------------------------------------
@@ -276,27 +363,34 @@ CONC = "SELECT * FROM (SELECT report_id, category || ': ' || observation AS conc
 WINS = "SELECT * FROM (SELECT report_id, 'Quick fix: ' || observation AS win, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS rank FROM scored WHERE severity IN ('Low', 'Medium') AND (contains(lower(observation), 'clean') OR contains(lower(observation), 'repair'))) WHERE rank <= 5"
 OVER = "SELECT * FROM (SELECT report_id, action, row_number() OVER (PARTITION BY report_id ORDER BY bucket, pos, pos2) AS rank FROM rec) WHERE rank <= 5"
 STRAT = f"(SELECT report_id, array_to_string(list_concat(coalesce(list('Long-term ' || category || ' maintenance plan needed based on ' || n || ' observations' ORDER BY first) FILTER (n >= 3), []), [{FIXED}])[1:5], ' | ') AS strategies FROM (SELECT report_id, category, count(*) AS n, min(ord) AS first FROM scored GROUP BY ALL) GROUP BY report_id)"
-REPORT_SQL = MERGED + RECS + f""", t AS ({COUNTS}), nc AS (SELECT report_id, count(*) AS conflicts FROM conf GROUP BY report_id),
- s1 AS (SELECT report_id, avg({OQ.format(0)}) AS q, avg(confidence_score) AS certainty FROM scored GROUP BY report_id), s2 AS (SELECT s1.*, coalesce(conflicts, 0) AS conflicts, 1 - least(1::DOUBLE, 0.1::DOUBLE * coalesce(conflicts, 0)) AS cs FROM s1 LEFT JOIN nc USING (report_id))
- SELECT t.report_id, n AS total, c AS n_critical, h AS n_high, m AS n_medium, l AS n_low, areas, {HEALTH}::INT AS health, a.overall, a.distribution, a.mean_score, key_findings, major_concerns, quick_wins, missing_information, strategies, overall_recommendations, n_recommendations,
- s2.conflicts, round((q)::DECIMAL(18, 9), 3)::DOUBLE AS quality, round((certainty)::DECIMAL(18, 9), 3)::DOUBLE AS certainty, round((cs)::DECIMAL(18, 9), 3)::DOUBLE AS conflict_score, round((0.3::DOUBLE * 0.75::DOUBLE + 0.3::DOUBLE * q + 0.2::DOUBLE * certainty + 0.2::DOUBLE * cs)::DECIMAL(18, 9), 3)::DOUBLE AS confidence, {OVERVIEW} AS risk_overview
- FROM t JOIN s2 USING (report_id) JOIN ({ASSESS.format('round((sum(s) / sum(n))::DECIMAL(18, 9), 3)::DOUBLE')}) a USING (report_id) LEFT JOIN {_joined(KEYF, 'finding', 'key_findings')} USING (report_id) LEFT JOIN {_joined(CONC, 'concern', 'major_concerns')} USING (report_id)
- LEFT JOIN {_joined(WINS, 'win', 'quick_wins')} USING (report_id) LEFT JOIN {_joined(MISSING, 'missing', 'missing_information')} USING (report_id) LEFT JOIN {STRAT} USING (report_id) LEFT JOIN {_joined(OVER, 'action', 'overall_recommendations')} USING (report_id) LEFT JOIN (SELECT report_id, count(*) AS n_recommendations FROM rec GROUP BY report_id) USING (report_id)"""
+REPORT_SQL = MERGED + RECS + f""", {X.INPUTS_SQL}, {SECTIONS_SQL}, t AS ({COUNTS})
+ SELECT t.report_id, t.n AS total, c AS n_critical, h AS n_high, m AS n_medium, l AS n_low, areas, {HEALTH}::INT AS health, a.overall, a.distribution, a.mean_score, key_findings, major_concerns, quick_wins, missing_information, strategies, overall_recommendations, conflict_list, recs AS n_recommendations,
+ conflicts, {R3.format('filled / 4::DOUBLE')} AS completeness, {R3.format('q')} AS quality, {R3.format('certainty')} AS certainty, {R3.format('cs')} AS conflict_score, {R3.format(CONFIDENCE)} AS confidence, {OVERALL} AS quality_overall, issues, summary AS property_summary, {CAUSE_TEXT} AS root_cause, {OVERVIEW} AS risk_overview
+ FROM t JOIN (SELECT *, {ISSUES} AS issues FROM se) s2 ON s2.report_id = t.report_id JOIN inp ON inp.report_id = t.report_id JOIN ({ASSESS.format('round((sum(s) / sum(n))::DECIMAL(18, 9), 3)::DOUBLE')}) a ON a.report_id = t.report_id
+ LEFT JOIN {_joined(KEYF, 'finding', 'key_findings')} x1 ON x1.report_id = t.report_id LEFT JOIN {_joined(CONC, 'concern', 'major_concerns')} x2 ON x2.report_id = t.report_id LEFT JOIN {_joined(WINS, 'win', 'quick_wins')} x3 ON x3.report_id = t.report_id
+ LEFT JOIN {_joined(MISSING, 'missing', 'missing_information')} x4 ON x4.report_id = t.report_id LEFT JOIN {STRAT} x5 ON x5.report_id = t.report_id LEFT JOIN {_joined(OVER, 'action', 'overall_recommendations')} x6 ON x6.report_id = t.report_id
+ LEFT JOIN (SELECT report_id, string_agg(description, ' | ' ORDER BY a_ord, b_ord) AS conflict_list FROM conf GROUP BY report_id) x7 ON x7.report_id = t.report_id"""
 
 
 @query("report", REPORT_SQL)
 def report(spark, d):
-    return R.report(X.observations(spark, d))
+    return R.report(X.observations(spark, d), X.inputs(spark, d))
 
 
-@query("report_lines", f"""WITH {X.SCORED_SQL}, t AS ({COUNTS}) SELECT report_id, 0 AS section, 0 AS seq, n || ' findings, risk ' || {RISK} AS text FROM t
+@query("report_lines", MERGED + RECS + f""", t AS ({COUNTS}), li AS (SELECT report_id, 0 AS section, 0 AS seq, n || ' findings, risk ' || {RISK} AS text FROM t
  UNION ALL SELECT report_id, 1, rank, '[' || severity || '] ' || area || ': ' || observation FROM {K1_SQL} WHERE rank <= 10
- UNION ALL SELECT report_id, 1, 11, '… and ' || (n - 10) || ' more' FROM t WHERE n > 10 UNION ALL SELECT report_id, 3, rank, missing FROM ({MISSING})""")
+ UNION ALL SELECT report_id, 1, 11, '… and ' || (n - 10) || ' more' FROM t WHERE n > 10
+ UNION ALL SELECT report_id, 2, rank, '[' || priority || '] ' || action FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY {PR}, bucket, pos, pos2)::INT AS rank FROM rec) WHERE rank <= 20
+ UNION ALL SELECT report_id, 3, rank, missing FROM ({MISSING})) SELECT report_id, section, (['summary', 'findings', 'recommendations', 'missing'])[section + 1] AS name, section IN (1, 2) AS hard_break, seq, text FROM li""")
 def report_lines(spark, d):
     return R.report_lines(X.observations(spark, d))
 
 
-@query("snk2_report_json", f"WITH {X.SCORED_SQL}, t AS ({COUNTS}) SELECT report_id, '{{\"health\":' || {HEALTH} || ',\"risk\":\"' || {RISK} || '\"}}' AS json FROM t")
+JSON_FIELDS = ["total", "n_critical", "n_high", "n_medium", "n_low", "areas", "health"]
+
+
+@query("snk2_report_json", f"WITH {X.SCORED_SQL}, t AS ({COUNTS}) SELECT report_id, '{{\"report_id\":' || report_id || ',\"total\":' || n || ',\"n_critical\":' || c || ',\"n_high\":' || h || ',\"n_medium\":' || m || ',\"n_low\":' || l || ',\"areas\":' || areas || ',\"health\":' || {HEALTH} || ',\"risk\":\"' || {RISK} || '\",\"risk_overview\":\"' || {OVERVIEW} || '\"}}' AS json FROM t")
 def snk2(spark, d):
     x = X.scored(spark, d)
-    return A.kpis(x).join(A.health(x), "report_id").select("report_id", F.to_json(F.struct("health", "risk")).alias("json"))
+    full = A.kpis(x).join(A.health(x), "report_id").withColumn("risk_overview", K.risk_overview(o("n_critical"), o("n_high")))
+    return full.select("report_id", F.to_json(F.struct("report_id", *JSON_FIELDS, "risk", "risk_overview")).alias("json"))

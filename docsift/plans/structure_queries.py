@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docsift import lexicon as lx
 from docsift.functions import json_ops as JS
@@ -25,9 +26,15 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-# Text pages: each document's lines that end a sentence end a paragraph, its bars are column gaps; two pages a document.
+# Text pages, two a document: lines that end a sentence end a paragraph, bars are column gaps; by id, a list, a table or a
+# numbered heading follows; the text of every eleventh document is blank.
+TAILS = ["\n\n- first item\n* second item\nnot an item\n(a) third item", "\n\nname   size\tunit\nwall   12   m\nroof only\ndoor   3   m", "\n\n1.2 Roof And Walls\n\nas seen from the yard", ""]
+
+
 def _pages(spark, d):
-    t = F.regexp_replace(F.replace(o("text"), F.lit(" | "), F.lit("   ")), r"\.\n", ".\n\n")
+    k = o("doc_id")
+    tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (k % 4 + 1).cast("int"))
+    t = F.when(k % 11 == 0, " ").otherwise(F.concat(F.regexp_replace(F.replace(o("text"), F.lit(" | "), F.lit("   ")), r"\.\n", ".\n\n"), tail))
     x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", t.alias("t"))
     half = F.floor(F.length("t") / F.lit(2)).cast("int")
     return x.select("doc_id", F.posexplode(F.array(F.substring(o("t"), F.lit(1), half), F.substring(o("t"), half + 1, F.length("t")))).alias("p", "text")).select("doc_id", (o("p") + 1).alias("page_number"), "text")
@@ -37,7 +44,8 @@ def _blocks(spark, d):
     return ST.blocks(ST.paragraphs(_pages(spark, d)))
 
 
-PG = r"""t0 AS (SELECT doc_id, regexp_replace(replace(text, ' | ', '   '), '\.\n', '.' || chr(10) || chr(10), 'g') AS t FROM documents),
+SQL_TAILS = "[" + ", ".join("'" + t.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for t in TAILS) + "]"
+PG = r"""t0 AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE regexp_replace(replace(text, ' | ', '   '), '\.\n', '.' || chr(10) || chr(10), 'g') || (""" + SQL_TAILS + r""")[doc_id % 4 + 1] END AS t FROM documents),
  pg AS (SELECT doc_id, unnest([1, 2]) AS page_number, unnest([left(t, len(t) // 2), substr(t, len(t) // 2 + 1)]) AS text FROM t0),
  pa0 AS (SELECT doc_id, page_number, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10) || chr(10))) AS paragraph FROM pg),
  pa AS (SELECT * FROM pa0 WHERE """ + _strip("paragraph") + " <> '')"
@@ -73,15 +81,17 @@ def st4(spark, d):
     return _blocks(spark, d).where("block_type = 'heading'").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-LIST_SQL = f"SELECT page_id, list_transform(list_filter(list_transform(string_split({{}}, chr(10)), lambda s: {_strip('s')}), lambda s: regexp_matches(s, '{ST.ITEM}')), lambda s: regexp_extract(s, '{ST.ITEM}', 1)) AS items FROM pages"
+@query("st5_list_items", f"WITH {BL} SELECT doc_id, page_number, pos, array_to_string(items0, '|') AS items FROM bl WHERE block_type = 'list'")
+def st5(spark, d):
+    return _blocks(spark, d).where("block_type = 'list'").select("doc_id", "page_number", "pos", F.array_join("items", "|").alias("items"))
+
+
 HTML_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '</h1>|</p>|</ul>', chr(10) || chr(10), 'g'), '<li>', '- ', 'g'), '</li>', chr(10), 'g'), '<[^>]*>', '', 'g')"
 
 
-@query("st5_list_items", f"SELECT page_id, array_to_string(items, '|') AS items FROM ({LIST_SQL.replace("{}", HTML_SQL)}) WHERE len(items) >= 2")
-def st5(spark, d):
-    x = spark.read.parquet(f"{d}/pages.parquet").select("page_id", ST.html_to_text(o("html")).alias("t"))
-    lines = F.filter(F.transform(F.split("t", "\n"), T.strip), lambda s: s.rlike(ST.ITEM))
-    return x.select("page_id", F.transform(lines, lambda s: F.regexp_extract(s, ST.ITEM, 1)).alias("i")).where(F.size("i") >= 2).select("page_id", F.array_join("i", "|").alias("items"))
+@query("html_to_text", f"SELECT page_id, {HTML_SQL} AS text FROM pages")
+def html_text(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", ST.html_to_text(o("html")).alias("text"))
 
 
 @query("st6_tables", f"WITH {BL} SELECT doc_id, page_number, pos, n_rows, n_columns, confidence FROM bl WHERE block_type = 'table'")
@@ -98,7 +108,10 @@ def st7(spark, d):
     return ST.sections(_blocks(spark, d))
 
 
-@query("st8_render")
+BODY = f"CASE block_type WHEN 'heading' THEN repeat('#', level) || ' ' || paragraph WHEN 'list' THEN array_to_string(list_transform(items0, lambda i: '- ' || i), chr(10)) WHEN 'table' THEN array_to_string(list_transform(string_split(paragraph, chr(10)), lambda s: array_to_string(list_filter(string_split_regex({_strip('s')}, '\\s{{2,}}|\\t'), lambda c: c <> ''), ' | ')), chr(10)) ELSE paragraph END"
+
+
+@query("st8_render", f"WITH {BL} SELECT doc_id, string_agg('[Page ' || page_number || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY page_number) AS rendered FROM (SELECT doc_id, page_number, string_agg({BODY}, chr(10) ORDER BY pos) AS t FROM bl GROUP BY ALL) GROUP BY doc_id")
 def st8(spark, d):
     return ST.render(_blocks(spark, d))
 
@@ -111,17 +124,17 @@ def st9(spark, d):
 
 # JSON ---------------------------------------------------------------------------------------------------------------
 def _answers(spark, d):
-    """Model answers in the shapes that occur: fenced, with prose, a list, an object, cut off."""
-    k = o("event_id") % 5
+    """Model answers in the shapes that occur: fenced, with prose, a list, an object, no JSON, two objects, cut off."""
+    k = o("event_id") % 7
     one = F.concat(F.lit('{"area":"A'), o("event_id") % 7, F.lit('","observation":"'), o("event_type"), F.lit('"}'))
     full = F.concat(F.lit('{"observations":['), one, F.lit("]}"))
-    a = F.when(k == 0, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here: "), full, F.lit(" done"))).when(k == 2, F.concat(F.lit("["), one, F.lit("]"))).when(k == 3, one).otherwise(F.lit("no answer"))
+    a = F.when(k == 0, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here: "), full, F.lit(" done"))).when(k == 2, F.concat(F.lit("["), one, F.lit("]"))).when(k == 3, one).when(k == 4, F.lit("no answer")).when(k == 5, F.concat(F.lit("x "), one, F.lit(' or {"b":2} y'))).otherwise(F.concat(F.lit('Well: {"observations":['), one))
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", a.alias("answer"))
 
 
-ANS = """a AS (SELECT event_id, event_id % 5 AS k, '{"area":"A' || (event_id % 7) || '","observation":"' || event_type || '"}' AS one FROM events),
+ANS = """a AS (SELECT event_id, event_id % 7 AS k, '{"area":"A' || (event_id % 7) || '","observation":"' || event_type || '"}' AS one FROM events),
  b AS (SELECT event_id, k, one, '{"observations":[' || one || ']}' AS whole FROM a),
- ans AS (SELECT event_id, CASE k WHEN 0 THEN '```json' || chr(10) || whole || chr(10) || '```' WHEN 1 THEN 'Here: ' || whole || ' done' WHEN 2 THEN '[' || one || ']' WHEN 3 THEN one ELSE 'no answer' END AS answer FROM b)"""
+ ans AS (SELECT event_id, CASE k WHEN 0 THEN '```json' || chr(10) || whole || chr(10) || '```' WHEN 1 THEN 'Here: ' || whole || ' done' WHEN 2 THEN '[' || one || ']' WHEN 3 THEN one WHEN 4 THEN 'no answer' WHEN 5 THEN 'x ' || one || ' or {"b":2} y' ELSE 'Well: {"observations":[' || one END AS answer FROM b)"""
 FENCE = r"regexp_replace(regexp_replace(answer, '^\s*```(?:json)?\s*', ''), '\s*```\s*$', '')"
 GREEDY = f"coalesce(CASE WHEN json_valid({FENCE}) THEN {FENCE} END, CASE WHEN json_valid(regexp_extract({FENCE}, '(?s)\\{{.*\\}}')) THEN regexp_extract({FENCE}, '(?s)\\{{.*\\}}') END, CASE WHEN json_valid(regexp_extract({FENCE}, '(?s)\\[.*\\]')) THEN regexp_extract({FENCE}, '(?s)\\[.*\\]') END)"
 
@@ -136,20 +149,25 @@ def js2(spark, d):
     return _answers(spark, d).select("event_id", JS.greedy_object(o("answer")).alias("out"))
 
 
-@query("js2_balanced_json", f"WITH {ANS} SELECT event_id, {GREEDY} AS out FROM ans")
+@query("js2_balanced_json", f"WITH {ANS} SELECT event_id, CASE WHEN k IN (0, 1) THEN whole WHEN k = 2 THEN '[' || one || ']' WHEN k IN (3, 5) THEN one WHEN k = 6 THEN '{{\"observations\":[' || one || ']}}' END AS out FROM b")
 def js2b(spark, d):
     return _answers(spark, d).select("event_id", JS.extract_json(o("answer")).alias("out"))
 
 
-@query("js3_items", "SELECT event_id, 'A' || (event_id % 7) AS area, event_type AS observation FROM events WHERE event_id % 5 < 4")
+@query("js3_items", "SELECT event_id, 'A' || (event_id % 7) AS area, event_type AS observation FROM events WHERE event_id % 7 < 4")
 def js3(spark, d):
     return _answers(spark, d).select("event_id", F.explode(JS.items(JS.greedy_object(o("answer")))).alias("i")).select("event_id", "i.area", "i.observation")
 
 
-@query("js4_schema_errors", "SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'k missing' WHEN json_type(props, '$.k') NOT IN ('BIGINT', 'UBIGINT') THEN 'k not integer' ELSE '' END AS error FROM events")
+SCHEMA = {"k": "number", "s": "string", "z": "array", "o": "object"}
+
+
+@query("js4_schema_errors", """SELECT event_id, CASE event_id % 9 WHEN 1 THEN 'Field k must be number' WHEN 2 THEN 'Data must be a dictionary' WHEN 3 THEN 'Missing required field: k' WHEN 5 THEN 'Field s must be string'
+ WHEN 6 THEN 'Field z must be array' WHEN 7 THEN 'Field o must be object' WHEN 8 THEN 'Data must be a dictionary' ELSE '' END AS error FROM events""")
 def js4(spark, d):
-    v = F.get_json_object("props", "$.k")
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(v.isNull(), "k missing").when(v.try_cast("long").isNull(), "k not integer").otherwise("").alias("error"))
+    shapes = [None, '{"k":"12"}', "[1]", '{"z":1}', '{"k":1.5,"z":[1],"s":"a","o":{"a":1}}', '{"k":true,"s":3}', '{"k":1,"z":{}}', '{"k":1,"z":[],"o":null}', "not json"]
+    made = F.element_at(F.array(*[F.lit(x) for x in shapes]), (o("event_id") % 9 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", JS.schema_error(F.coalesce(made, o("props")), ["k"], SCHEMA).alias("error"))
 
 
 @query("js5_required_keys", "SELECT event_id, array_to_string(list_filter(['k', 'z'], lambda x: NOT list_contains(json_keys(props), x)), ',') AS missing FROM events")
@@ -185,50 +203,87 @@ def i4(spark, d):
     return _hashes(spark, d).select("vec_id", I.hash_hex(o("hi"), o("lo")).alias("hash"))
 
 
-NEAR = 14  # bits; the vectors at hand have no closer pairs
+NEAR = 3  # bits: similarity of more than 0.95
+PLANT = 1000000
 
 
-@query("i5_hamming", f"WITH {HASH} SELECT a.vec_id AS a, b.vec_id AS b, 1 - hamming(a.bits, b.bits) / 64::DOUBLE AS similarity FROM h a JOIN h b ON b.vec_id = a.vec_id + 1")
-def i5(spark, d):
+def _planted(spark, d):
+    """The hashes, and for each a copy of which the last 0 to 5 bits are turned."""
     x = _hashes(spark, d)
+    turned = F.element_at(F.array(*[F.lit((1 << n) - 1) for n in range(6)]), (o("vec_id") % 6 + 1).cast("int"))
+    return x.union(x.select(o("vec_id") + PLANT, "hi", o("lo").bitwiseXOR(turned)))
+
+
+PLANTED = HASH + f", p AS (SELECT * FROM h UNION ALL SELECT vec_id + {PLANT}, left(bits, 64 - vec_id % 6) || translate(right(bits, vec_id % 6), '01', '10') FROM h)"
+
+
+@query("i5_hamming", f"WITH {PLANTED} SELECT a.vec_id AS a, b.vec_id AS b, 1 - hamming(a.bits, b.bits) / 64::DOUBLE AS similarity FROM p a JOIN p b ON b.vec_id = a.vec_id + {PLANT}")
+def i5(spark, d):
+    x = _planted(spark, d)
     a, b = x.alias("a"), x.alias("b")
-    return a.join(b, o("b.vec_id") == o("a.vec_id") + 1).select(o("a.vec_id").alias("a"), o("b.vec_id").alias("b"), I.similarity(o("a.hi"), o("a.lo"), o("b.hi"), o("b.lo")).alias("similarity"))
+    return a.join(b, o("b.vec_id") == o("a.vec_id") + PLANT).select(o("a.vec_id").alias("a"), o("b.vec_id").alias("b"), I.similarity(o("a.hi"), o("a.lo"), o("b.hi"), o("b.lo")).alias("similarity"))
 
 
-@query("j12_near_images", f"WITH {HASH} SELECT a.vec_id AS a, b.vec_id AS b, hamming(a.bits, b.bits)::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND hamming(a.bits, b.bits) <= {NEAR}")
+@query("j12_near_images", f"WITH {PLANTED} SELECT a.vec_id AS a, b.vec_id AS b, hamming(a.bits, b.bits)::INT AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id AND hamming(a.bits, b.bits) <= {NEAR}")
 def j12(spark, d):
-    return J.banded_hamming(_hashes(spark, d), "vec_id", NEAR)
+    return J.banded_hamming(_planted(spark, d), "vec_id", NEAR)
 
 
-@query("j12_survivors", f"""WITH RECURSIVE {HASH}, n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, bits FROM h), w AS (
+@query("j12_survivors", f"""WITH RECURSIVE {PLANTED}, n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, bits FROM p), w AS (
  SELECT 1::BIGINT AS i, [vec_id] AS ids, [bits] AS kept FROM n WHERE i = 1 UNION ALL
  SELECT w.i + 1, CASE WHEN len(list_filter(w.kept, lambda k: hamming(k, n.bits) <= {NEAR})) = 0 THEN list_append(w.ids, n.vec_id) ELSE w.ids END, CASE WHEN len(list_filter(w.kept, lambda k: hamming(k, n.bits) <= {NEAR})) = 0 THEN list_append(w.kept, n.bits) ELSE w.kept END
  FROM w JOIN n ON n.i = w.i + 1) SELECT unnest(ids) AS vec_id FROM (SELECT ids FROM w ORDER BY i DESC LIMIT 1)""")
 def j12_survivors(spark, d):
-    x = _hashes(spark, d)
+    x = _planted(spark, d)
     return I.survivors(J.banded_hamming(x, "vec_id", NEAR), x)
 
 
-@query("i2_suspicious", "SELECT page_id, " + X.s_any("lower(left(html, 1024))", lx.SUSPICIOUS) + " AS suspicious FROM pages")
+HEADS = ["plain", "a onLoad=x", "b ONERROR=y", "c exec(1)", "d system(1)", "e <% f", "<?php"]
+
+
+@query("i2_suspicious", f"SELECT page_id, page_id % {len(HEADS)} IN (1, 2, 3, 5, 6) AS suspicious FROM pages")
 def i2(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", I.suspicious(F.encode(F.left("html", F.lit(1024)), "UTF-8")).alias("suspicious"))
+    head = F.element_at(F.array(*[F.lit(x) for x in HEADS]), (o("page_id") % len(HEADS) + 1).cast("int"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", I.suspicious(F.encode(F.concat(head, F.lit("." * 1024), F.left("html", F.lit(100))), "UTF-8")).alias("suspicious"))
+
+
+def _png(spoilt: bool = False) -> bytes:
+    out = b"\x89PNG\r\n\x1a\n"
+    for kind, data in ((b"IHDR", b"\0\0\0\1\0\0\0\1\x08\0\0\0\0"), (b"IDAT", zlib.compress(b"\0\7")), (b"IEND", b"")):
+        out += len(data).to_bytes(4, "big") + kind + data + (zlib.crc32(kind + data) ^ (spoilt and kind == b"IDAT")).to_bytes(4, "big")
+    return out
+
+
+IMAGES = [
+    (_png(), "png", None), (_png(True), "png", "corrupted"), (_png()[:-6], "png", "corrupted"), (b"\xff\xd8\xff\xe0\0\2\xff\xda\0\2\7\xff\xd9", "jpg", None), (b"\xff\xd8\xff\xe0\0\2", "jpg", "corrupted"),
+    (b"GIF89a" + b"\0" * 8 + b";", "gif", None), (b"BM" + (30).to_bytes(4, "little") + b"\0" * 24, "bmp", None), (b"BM\xff\xff\0\0", "bmp", "corrupted"), (b"II*\0\x08\0\0\0\1\0" + b"\0" * 16, "tiff", None),
+    (b"MM\0*\xff\0\0\0", "tiff", "corrupted"), (b"RIFF\x04\0\0\0WEBP", "webp", None), (b"RIFF\x04\0\0\0WAVE", "webp", "corrupted"), (b"\x89PNG<Script>", "png", "suspicious content"), (b"\0\x11", None, "unknown format"), (b"", None, "unknown format"), (b"BM" + b"\0" * 99, "bmp", "too large"),
+]
 
 
-@query("i1_i9_validation", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'unknown format' ELSE 'empty' END AS error, CASE p_partkey % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' END AS format FROM part")
+def _sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][p_partkey % {len(IMAGES)} + 1]"
+
+
+@query("i1_i9_validation", f"SELECT p_partkey, {_sql_list([e for _, _, e in IMAGES])} AS error, {_sql_list([f for _, f, _ in IMAGES])} AS format FROM part")
 def i9(spark, d):
-    k = o("p_partkey") % 4
-    c = F.when(k == 0, F.unhex(F.lit("89504E470D0A1A0A00"))).when(k == 1, F.unhex(F.lit("FFD8FFE000"))).when(k == 2, F.unhex(F.lit("0011"))).otherwise(F.unhex(F.lit("")))
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", I.validation_error(c).alias("error"), I.image_format(c).alias("format"))
+    c = F.unhex(F.element_at(F.array(*[F.lit(x.hex()) for x, _, _ in IMAGES]), (o("p_partkey") % len(IMAGES) + 1).cast("int")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", c.alias("c")).select("p_partkey", I.validation_error(o("c"), 90).alias("error"), I.image_format(o("c")).alias("format"))
 
 
-@query("i10_hash_pair", "SELECT doc_id, md5(text) AS hash_md5, '' AS hash_phash FROM documents")
+@query("i10_hash_pair", f"WITH {HASH} SELECT vec_id, md5('image ' || vec_id) AS hash_md5, CASE WHEN vec_id % 3 = 0 THEN '' ELSE lower(printf('%08x%08x', ('0b' || bits[1:32])::BIGINT, ('0b' || bits[33:64])::BIGINT)) END AS hash_phash FROM h")
 def i10(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5("text").alias("hash_md5"), F.lit("").alias("hash_phash"))
+    x = _hashes(spark, d)
+    pair = I.hash_pair(F.encode(F.concat(F.lit("image "), "vec_id"), "UTF-8"), F.when(o("vec_id") % 3 != 0, I.hash_hex(o("hi"), o("lo"))))
+    return x.select("vec_id", pair.alias("h")).select("vec_id", o("h.md5").alias("hash_md5"), o("h.phash").alias("hash_phash"))
 
 
-@query("i8_i11_image_record", "SELECT p_partkey, '{\"image_id\":' || p_partkey || ',\"width\":' || p_size || '}' AS record FROM part")
+@query("i8_i11_image_record", """SELECT p_partkey, '{"image_id":"' || p_partkey || '","page_number":' || (p_partkey % 9 + 1) || ',"format":"' || (CASE p_partkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'gif' END) || '","width":' || p_size || ',"height":' || floor(p_retailprice)::BIGINT || ',"is_duplicate":' || (p_partkey % 4 = 0) || ',"extracted_at":"2026-01-' || printf('%02d', p_partkey % 28 + 1) || 'T00:00:00"}' AS record FROM part""")
 def i8(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.to_json(F.struct(o("p_partkey").alias("image_id"), o("p_size").alias("width"))).alias("record"))
+    k = o("p_partkey")
+    fields = [k.cast("string").alias("image_id"), (k % 9 + 1).alias("page_number"), F.when(k % 3 == 0, "png").when(k % 3 == 1, "jpg").otherwise("gif").alias("format"), o("p_size").alias("width"), F.floor("p_retailprice").alias("height"), (k % 4 == 0).alias("is_duplicate"),
+              F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (k % 28).cast("int")), "yyyy-MM-dd'T'HH:mm:ss").alias("extracted_at")]
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.to_json(F.struct(*fields)).alias("record"))
 
 
 @query("sc11_i7_image_quality")
@@ -251,16 +306,21 @@ def w1(spark, d):
     return W.admitted(e, "user_id", "ts", "event_id", 86400.0, 2).select("event_id", "user_id", "admitted")
 
 
-@query("w2_skip_list", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'skip' ELSE 'check' END AS route FROM events")
+@query("w2_skip_list", ADMIT.replace("FROM events)", "FROM events WHERE event_type <> 'view')").replace("SELECT event_id, user_id, admitted FROM w", "SELECT event_id, CASE WHEN admitted THEN 200 ELSE 429 END AS status, CASE WHEN NOT admitted THEN 86400 END AS retry_after FROM w UNION ALL SELECT event_id, 200, NULL FROM events WHERE event_type = 'view'"))
 def w2(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(o("event_type").isin("view"), "skip").otherwise("check").alias("route"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    return W.responses(e, o("event_type") == "view", "user_id", "ts", "event_id", 86400.0, 2).select("event_id", "status", "retry_after")
 
 
-@query("w3_retention", "SELECT event_id FROM events WHERE CASE event_type WHEN 'click' THEN ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR WHEN 'purchase' THEN ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY ELSE true END")
+KIND_OF = {"click": "temp", "view": "report", "purchase": "image"}
+
+
+@query("w3_retention", "SELECT event_id FROM events WHERE CASE event_type WHEN 'click' THEN ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR WHEN 'purchase' THEN ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY WHEN 'view' THEN ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY ELSE true END")
 def w3(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    now = e.agg(F.max(o("ts").cast("timestamp")).alias("now"))
-    return W.retained(e.join(F.broadcast(now)), "ts", "event_type", {"click": "24 HOURS", "purchase": "7 DAYS"}, o("now")).select("event_id")
+    as_of = e.agg(F.max(o("ts").cast("timestamp"))).first()[0]  # one value: the moment of the clean-up
+    kind = F.coalesce(*[F.when(o("event_type") == t, k) for t, k in KIND_OF.items()])
+    return W.retained(e.withColumn("kind", kind), "ts", "kind", lx.RETENTION, F.lit(as_of)).select("event_id")
 
 
 @query("w4_metric_buffer", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 100")
@@ -290,45 +350,90 @@ def src4(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", SRC.size_error(F.octet_length("html"), 3000).alias("size_error"), SRC.extension_allowed(o("url"), [".html", ".pdf"]).alias("allowed"))
 
 
-@query("src5_filename_error", r"""SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN 'empty' WHEN len(url) > 255 THEN 'too long' WHEN regexp_matches(url, '[/\\:*?"<>|]') THEN 'invalid characters' END AS error FROM pages""")
+NAMES = ["", "x" * 300, "a|b.html", "scan 1.pdf", "c:d", "y" * 255]
+
+
+@query("src5_filename_error", f"SELECT page_id, (['empty', 'too long', 'invalid characters', NULL, 'invalid characters', NULL])[page_id % {len(NAMES)} + 1] AS error FROM pages")
 def src5(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.filename_error(o("url")).alias("error"))
+    name = F.element_at(F.array(*[F.lit(x) for x in NAMES]), (o("page_id") % len(NAMES) + 1).cast("int"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.filename_error(name).alias("error"))
 
 
-@query("src7_page_text", "SELECT doc_id, left(text, 200000) AS text, len(text) > 200000 AS cut FROM documents")
+@query("src7_page_text", "SELECT doc_id, left(t, 200000) AS text, len(t) > 200000 AS cut FROM (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN repeat('a page ', 30000) ELSE text END AS t FROM documents)")
 def src7(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.left("text", F.lit(SRC.MOST_PAGE_CHARS)).alias("text"), (F.length("text") > SRC.MOST_PAGE_CHARS).alias("cut"))
+    t = F.when(o("doc_id") % 100 == 0, F.repeat(F.lit("a page "), F.lit(30000))).otherwise(o("text"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", t.alias("t")).select("doc_id", F.left("t", F.lit(SRC.MOST_PAGE_CHARS)).alias("text"), (F.length("t") > SRC.MOST_PAGE_CHARS).alias("cut"))
 
 
-@query("src8_metadata", "SELECT c_custkey, nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE ' ' || c_name END), '') AS title FROM customer")
+@query("src8_metadata", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_name END AS title FROM customer")
 def src8(spark, d):
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", SRC.metadata_field(F.when(o("c_custkey") % 2 == 0, " ").otherwise(F.concat(F.lit(" "), o("c_name")))).alias("title"))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", SRC.metadata_field(F.when(o("c_custkey") % 3 == 0, " \t\n").when(o("c_custkey") % 3 == 1, F.concat(F.lit("\n\t"), o("c_name"), F.lit("\u00a0"))).otherwise(F.concat(F.lit(" "), o("c_name")))).alias("title"))
+
+
+#: name, content, and the answers of the three checks where files of more than 40 bytes are too large.
+FILES = [
+    ("A.PDF", "%PDF-1.7 x", None, None, None), ("a.txt", "%PDF-1.7 x", "NOT_PDF_SUFFIX", "NOT_PDF_SUFFIX", None), ("a.pdf", "text", "NO_MAGIC", "NO_MAGIC", "NO_MAGIC"), ("a.pdf", "junk %PDF-1.4", None, "NO_MAGIC", "NO_MAGIC"),
+    ("a.pdf", "%PDFx", "NO_MAGIC", None, "NO_MAGIC"), ("a.pdf", "", "EMPTY", "EMPTY", "EMPTY"), ("a.txt", "", "EMPTY", "NOT_PDF_SUFFIX", "EMPTY"), ("a.pdf", "%PDF-" + "x" * 50, "TOO_LARGE", "TOO_LARGE", "TOO_LARGE"),
+]
 
 
-@query("src1_src3_pdf_checks", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NOT_PDF_SUFFIX' WHEN 2 THEN 'NO_MAGIC' ELSE NULL END AS path_error, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NOT_PDF_SUFFIX' ELSE 'NO_MAGIC' END AS upload_error FROM documents WHERE n_chars > 0")
+def _by_id(values) -> str:
+    return "([" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"])[doc_id % {len(FILES)} + 1]"
+
+
+@query("src1_src3_pdf_checks", f"SELECT doc_id, {_by_id([f[2] for f in FILES])} AS path_error, {_by_id([f[3] for f in FILES])} AS upload_error, {_by_id([f[4] for f in FILES])} AS file_error FROM documents")
 def src1(spark, d):
-    k = o("doc_id") % 4
-    name = F.when(k == 1, "a.txt").otherwise("A.PDF")
-    c = F.encode(F.concat(F.when(k == 0, "%PDF-1.7 ").when(k == 3, "junk %PDF-1.4 ").otherwise("text "), o("doc_id").cast("string")), "UTF-8")
-    x = spark.read.parquet(f"{d}/documents.parquet").where("n_chars > 0").select("doc_id", name.alias("name"), c.alias("c"))
-    return x.select("doc_id", SRC.pdf_error(o("name"), o("c"), F.length("c")).alias("path_error"), SRC.upload_error(o("name"), o("c"), F.length("c")).alias("upload_error"))
+    at = (o("doc_id") % len(FILES) + 1).cast("int")
+    name, text = (F.element_at(F.array(*[F.lit(f[i]) for f in FILES]), at) for i in (0, 1))
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", name.alias("name"), F.encode(text, "UTF-8").alias("c"))
+    n = F.length("c")
+    return x.select("doc_id", SRC.pdf_error(o("name"), o("c"), n, 40).alias("path_error"), SRC.upload_error(o("name"), o("c"), n, 40).alias("upload_error"), SRC.file_error(o("c"), n, 40).alias("file_error"))
+
 
+@query("src10_image_source", "SELECT doc_id, (['MISSING', 'EMPTY', 'TOO_LARGE', 'NO_PAGES', NULL])[doc_id % 5 + 1] AS error FROM documents")
+def src10(spark, d):
+    k = o("doc_id") % 5
+    c = F.when(k == 1, "").when(k == 2, "x" * 50).when(k > 2, "%PDF-")
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.encode(c, "UTF-8").alias("c"), F.when(k == 4, 3).otherwise(0).alias("pages"))
+    return x.select("doc_id", SRC.image_source_error(o("c"), F.length("c"), o("pages"), 40).alias("error"))
 
-@query("x8_upload_safety", r"""SELECT page_id, NOT regexp_matches(url, '[/\\:*?"<>|]') AND len(url) <= 255 AND strlen(html) <= 3000 AS safe FROM pages""")
+
+@query("x8_upload_safety", r"""SELECT page_id, page_id % 3 <> 0 AND strlen(html) <= 3000 AS safe FROM pages""")
 def x8(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", (T.filename_error(o("url")).isNull() & SRC.size_error(F.octet_length("html"), 3000).isNull()).alias("safe"))
+    name = F.when(o("page_id") % 3 == 0, "a/b.html").otherwise("page.html")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", (T.filename_error(name).isNull() & SRC.size_error(F.octet_length("html"), 3000).isNull()).alias("safe"))
 
 
 # What the service and its client add -----------------------------------------------------------------------------------
-@query("u3_fallback_chain", f"WITH {X.RAW_SQL} SELECT id, {X.s_category('observation', lx.REASONING_CATEGORIES)} AS category FROM raw_obs")
+def _busy(prompts):
+    """Fails for all that it is sent if a prompt speaks of unit 3."""
+    if any("unit 3" in p for p in prompts):
+        raise TimeoutError("time-out")
+    return ['{"observations":[]}' if "unit 1" in p else "I cannot say" for p in prompts]
+
+
+CHAIN = [U.Named("rules", U.rule_provider), U.Named("busy", _busy)]
+
+
+@query("u3_fallback_chain", f"""WITH {X.RAW_SQL}, c AS (SELECT id, observation, {X.s_category('observation', lx.REASONING_CATEGORIES)} AS category FROM raw_obs)
+ SELECT id, CASE WHEN contains(observation, 'unit 1') THEN 'busy' ELSE 'rules' END AS provider, CASE WHEN contains(observation, 'unit 3') THEN 'busy: time-out' WHEN contains(observation, 'unit 1') THEN '' ELSE 'busy: no JSON' END AS errors,
+ CASE WHEN NOT contains(observation, 'unit 1') AND category <> 'General' THEN category END AS category FROM c""")
 def u3(spark, d):
+    x = U.generate(X.raw_observations(spark, d).select("id", "observation"), "observation", U.ordered(CHAIN, "busy"), attempts=1)
+    found = F.get_json_object("answer", "$.observations[0].category")
+    return x.select("id", "provider", "errors", found.alias("category"))
+
+
+@query("u3_rules_alone", f"WITH {X.RAW_SQL} SELECT id, {X.s_category('observation', lx.REASONING_CATEGORIES)} AS category FROM raw_obs")
+def u3_rules(spark, d):
     return U.fallback(X.raw_observations(spark, d)).select("id", "category")
 
 
-@query("u1_rule_provider")
+@query("u1_rule_provider", f"""WITH {X.RAW_SQL} SELECT id, CASE WHEN category = 'General' THEN 0 ELSE 1 END AS n, CASE WHEN category <> 'General' THEN category END AS category, 'rules' AS provider FROM (SELECT id, {X.s_category('observation', lx.REASONING_CATEGORIES)} AS category FROM raw_obs)""")
 def u1(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.format_string(U.PROMPTS["observations"], "text", F.lit("")).alias("prompt"))
-    return U.generate(docs, "prompt", U.ordered([U.Named("rules", U.rule_provider)], "rules")).select("doc_id", "answer", "provider", "errors")
+    x = X.raw_observations(spark, d).select("id", F.format_string(U.PROMPTS["observations"], "observation", F.lit("")).alias("prompt"))
+    out = U.generate(x, "prompt", U.ordered([U.Named("rules", U.rule_provider)], "rules"))
+    return out.select("id", F.size(F.from_json("answer", "observations array<struct<category:string>>")["observations"]).alias("n"), F.get_json_object("answer", "$.observations[0].category").alias("category"), "provider")
 
 
 @query("x5_generation_metrics", f"WITH {X.SCORED_SQL} SELECT report_id, count(*) AS n_observations, count(*) FILTER (evidence <> '') AS with_evidence, sum(n_images)::BIGINT AS images FROM scored GROUP BY report_id")
@@ -342,9 +447,13 @@ def x11(spark, d):
     return X.scored(spark, d).select("id", F.format_string("%.0f%%", c).alias("confidence"), F.when(o("evidence") == "", "none").otherwise(o("evidence")).alias("evidence"))
 
 
-@query("x14_summary_chain", "SELECT event_id, coalesce(json_extract_string(props, '$.summary'), json_extract_string(props, '$.k'), 'No summary available.') AS summary FROM events")
+RUNGS = ['{"property_summary":"A house"}', '{"summary":"As text"}', '{"key_findings":["One","Two"]}', '{"risk_overview":"Some risk"}', '{"recommendations":["Do this","Do that"]}', "{}", '{"property_summary":"","summary":"Later"}']
+
+
+@query("x14_summary_chain", f"SELECT event_id, (['A house', 'As text', 'One. Two', 'Some risk', 'Do this. Do that', 'No summary available.', 'Later'])[event_id % {len(RUNGS)} + 1] AS summary FROM events")
 def x14(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.coalesce(F.get_json_object("props", "$.summary"), F.get_json_object("props", "$.k"), F.lit("No summary available.")).alias("summary"))
+    c = F.element_at(F.array(*[F.lit(x) for x in RUNGS]), (o("event_id") % len(RUNGS) + 1).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", JS.summary(c).alias("summary"))
 
 
 @query("x15_client_priority", "SELECT o_orderkey, CASE lower(split_part(o_orderpriority, '-', 2)) WHEN 'urgent' THEN 'immediate' WHEN 'low' THEN 'long-term' ELSE 'short-term' END AS priority FROM orders")
@@ -367,9 +476,3 @@ def x10(spark, d):
 @query("x24_file_record", "SELECT doc_id, strlen(text) AS size, sha256(text) AS checksum FROM documents")
 def x24(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("checksum"))
-
-
-@query("x20_final_record", "SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, row_number() OVER (PARTITION BY d.lang ORDER BY d.n_chars DESC, d.doc_id)::INT AS place FROM documents d LEFT JOIN labels l USING (doc_id)")
-def x20(spark, d):
-    j = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left")
-    return j.select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), F.row_number().over(Window.partitionBy("lang").orderBy(o("n_chars").desc(), "doc_id")).alias("place"))

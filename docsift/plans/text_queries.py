@@ -46,10 +46,19 @@ _map("t8_sentence", "documents", "doc_id", "text", T.sentence, X.s_sentence("tex
 _map("t9_dedup_key", "documents", "doc_id", "text", T.dedup_key, X.s_key("text"))
 _map("t10_sanitize_input", "pages", "page_id", "html", T.sanitize_input, "replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), 'javascript:', ''), 'onerror=', ''), 'onload=', '')")
 _map("t10_sanitize_input_strict", "pages", "page_id", "html", lambda c: T.sanitize_input(c, True), "replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '<[^>]*>', '', 'g'), 'javascript:', ''), 'onerror=', ''), 'onload=', '')")
-_map("t11_sanitize_path_name", "pages", "page_id", "url", T.sanitize_path_name, r"""regexp_replace(regexp_replace(regexp_replace(url, '[/\\]', '_', 'g'), '[\x00-\x1f]', '', 'g'), '[<>:"|?*]', '_', 'g')""")
+_NAME = r"""regexp_replace(regexp_replace(regexp_replace(url || CASE WHEN page_id % 2 = 0 THEN repeat('z', 300) || '.html' ELSE '' END, '[/\\]', '_', 'g'), '[\x00-\x1f]', '', 'g'), '[<>:"|?*]', '_', 'g')"""
+_map("t11_sanitize_path_name", "pages", "page_id", "url", lambda c: T.sanitize_path_name(F.concat(c, F.when(F.col("page_id") % 2 == 0, "z" * 300 + ".html").otherwise(""))), f"CASE WHEN page_id % 2 = 0 THEN left({_NAME}, 250) || '.html' ELSE {_NAME} END")
 _map("t12_upload_name", "pages", "page_id", "url", T.upload_name, r"coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '[^\p{L}\p{N}_.\-]', '_', 'g'), '_+', '_', 'g'), ''), 'upload.pdf')")
-_map("t13_parent_part", "pages", "page_id", "url", T.has_parent_part, "list_contains(string_split(url, '/'), '..')")
-_map("t13_dots", "pages", "page_id", "url", T.has_dots, "contains(url, '..')")
+_ODD = "url || CASE page_id % 3 WHEN 0 THEN '/../x' WHEN 1 THEN '/a..b' ELSE '' END"
+
+
+def _odd(c):
+    k = F.col("page_id") % 3
+    return F.concat(c, F.when(k == 0, "/../x").when(k == 1, "/a..b").otherwise(""))
+
+
+_map("t13_parent_part", "pages", "page_id", "url", lambda c: T.has_parent_part(_odd(c)), f"list_contains(string_split({_ODD}, '/'), '..')")
+_map("t13_dots", "pages", "page_id", "url", lambda c: T.has_dots(_odd(c)), f"contains({_ODD}, '..')")
 _map("t14_left", "documents", "doc_id", "text", lambda c: F.left(c, F.lit(100)), "left(text, 100)")
 _map("t15_format_bytes", "documents", "doc_id", "n_chars", lambda c: T.format_bytes(c * 97), "CASE WHEN n_chars * 97 < 1024 THEN (n_chars * 97)::VARCHAR || ' B' WHEN n_chars * 97 < 1048576 THEN printf('%.1f KB', round(n_chars * 97 / 1024::DOUBLE, 1)) ELSE printf('%.2f MB', round(n_chars * 97 / 1048576::DOUBLE, 2)) END")
 _map("t16_escape_html", "pages", "page_id", "html", T.escape_html, "replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
@@ -94,8 +103,8 @@ _obs("c1_category", {"category": X.s_category("observation")}, {"category": lamb
 _obs("c1b_reasoning_category", {"category": X.s_category("observation", lx.REASONING_CATEGORIES)}, {"category": lambda: C.category(o("observation"), lx.REASONING_CATEGORIES)})
 _obs("c2_severity", {"severity": X.s_severity("severity"), "score": X.s_severity("severity", True)}, {"severity": lambda: C.severity(o("severity")), "score": lambda: C.severity_score(o("severity"))})
 _obs("c3_confidence", {"confidence": X.s_confidence("confidence"), "score": X.s_confidence("confidence", True)}, {"confidence": lambda: C.confidence(o("confidence")), "score": lambda: C.confidence_score(o("confidence"))})
-_obs("c4_enum_default", {"conflict_type": "CASE WHEN lower(severity) IN ('contradiction', 'discrepancy', 'missing', 'ambiguous', 'duplicate') THEN lower(severity) ELSE 'discrepancy' END", "severity": "CASE WHEN lower(split_part(severity, '-', 2)) IN ('critical', 'high', 'medium', 'low', 'information') THEN lower(split_part(severity, '-', 2)) ELSE 'low' END"},
-     {"conflict_type": lambda: C.one_of(o("severity"), ["contradiction", "discrepancy", "missing", "ambiguous", "duplicate"], "discrepancy"), "severity": lambda: C.one_of(F.split_part(o("severity"), F.lit("-"), F.lit(2)), ["critical", "high", "medium", "low", "information"], "low")})
+_obs("c4_enum_default", {"conflict_type": "CASE o_orderkey % 4 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'missing' ELSE 'discrepancy' END", "severity": "CASE WHEN lower(split_part(severity, '-', 2)) IN ('critical', 'high', 'medium', 'low', 'information') THEN lower(split_part(severity, '-', 2)) ELSE 'low' END"},
+     {"conflict_type": lambda: C.one_of(F.element_at(F.array(*map(F.lit, ("Contradiction", "MISSING", "none such", "discrepancy"))), (o("id").cast("long") % 4 + 1).cast("int")), ["contradiction", "discrepancy", "missing", "ambiguous", "duplicate"], "discrepancy"), "severity": lambda: C.one_of(F.split_part(o("severity"), F.lit("-"), F.lit(2)), ["critical", "high", "medium", "low", "information"], "low")})
 _obs("c5_evidence_source", {"source": "CASE WHEN contains(lower(evidence), 'thermal') THEN 'thermal' WHEN contains(lower(evidence), 'both') THEN 'both' ELSE 'inspection' END"}, {"source": lambda: C.evidence_source(o("evidence"))})
 _obs("c6_category_default", {"category": f"CASE WHEN {X.s_category('observation')} IN ('', 'General') THEN {X.s_category('observation', lx.REASONING_CATEGORIES)} ELSE {X.s_category('observation')} END"},
      {"category": lambda: F.when(C.category(o("observation")).isin("", "General"), C.category(o("observation"), lx.REASONING_CATEGORIES)).otherwise(C.category(o("observation")))})
@@ -134,11 +143,10 @@ def c15(spark, d):
     return j.select("doc_id", F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("quality", "toxic", "source")]).alias("missing"))
 
 
-HTTP = [("ok", "SUCCESS", 200), ("scanned", "PDF_EXTRACTION_ERROR", 422), ("empty", "VALIDATION_ERROR", 400), ("large", "FILE_TOO_LARGE", 413), ("busy", "RATE_LIMITED", 429)]
+CODES = [c for c, _ in lx.ERROR_STATUS]
 
 
-@query("c16_error_codes", "SELECT doc_id, " + X.s_case([("n_chars = 0", "'VALIDATION_ERROR'"), ("n_chars > 10000", "'FILE_TOO_LARGE'")], "'SUCCESS'") + " AS code, " + X.s_case([("n_chars = 0", "400"), ("n_chars > 10000", "413")], "200") + " AS status FROM documents")
+@query("c16_error_codes", f"SELECT doc_id, (['{"', '".join(CODES)}'])[doc_id % {len(CODES)} + 1] AS code, ({[x for _, x in lx.ERROR_STATUS]})[doc_id % {len(CODES)} + 1] AS status FROM documents")
 def c16(spark, d):
-    dim = spark.createDataFrame(HTTP, "kind string, code string, status int")
-    kind = F.when(F.col("n_chars") == 0, "empty").when(F.col("n_chars") > 10000, "large").otherwise("ok")
-    return _docs(spark, d).select("doc_id", kind.alias("kind")).join(F.broadcast(dim), "kind").select("doc_id", "code", "status")
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("doc_id") % len(CODES) + 1).cast("int"))
+    return _docs(spark, d).select("doc_id", code.alias("code")).select("doc_id", "code", C.lookup(F.col("code"), dict(lx.ERROR_STATUS), 500).alias("status"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from docsift.functions.text import strip
+
 MB = 1024 * 1024
 MOST_PAGES, MOST_PAGE_CHARS = 500, 200_000
 
@@ -24,6 +26,16 @@ def pdf_error(path: Column, content: Column, length: Column, most: int = 20 * MB
     return F.when(length == 0, "EMPTY").when(length > most, "TOO_LARGE").when(~F.lower(path).endswith(".pdf"), "NOT_PDF_SUFFIX").when(~F.contains(head, F.lit("%PDF-")), "NO_MAGIC")
 
 
+def file_error(content: Column, length: Column, most: int = 500 * MB) -> Column:
+    """As in scripts: the first five bytes, and the size."""
+    return F.when(length == 0, "EMPTY").when(length > most, "TOO_LARGE").when(~F.hex(F.substring(content, 1, 5)).startswith("255044462D"), "NO_MAGIC")
+
+
+def image_source_error(content: Column, length: Column, pages: Column, most: int = 500 * MB) -> Column:
+    """Before images are taken from a PDF: it is there, not empty, not too large, and has a page."""
+    return F.when(content.isNull(), "MISSING").when(length == 0, "EMPTY").when(length > most, "TOO_LARGE").when(F.coalesce(pages, F.lit(0)) < 1, "NO_PAGES")
+
+
 def upload_error(name: Column, content: Column, length: Column, most: int = 20 * MB) -> Column:
     """As at the upload: suffix, empty, size, and the file must begin with the magic bytes."""
     return F.when(~F.lower(name).endswith(".pdf"), "NOT_PDF_SUFFIX").when(length == 0, "EMPTY").when(length > most, "TOO_LARGE").when(~F.hex(F.substring(content, 1, 4)).startswith("25504446"), "NO_MAGIC")
@@ -117,7 +129,7 @@ class PdfPages(DataSource):
 
 
 def metadata_field(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

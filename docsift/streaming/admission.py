@@ -48,6 +48,14 @@ def admitted(df: DataFrame, key: str, ts: str, order: str, window: float, most:
     return dealt.mapInPandas(run, schema)
 
 
+def responses(df: DataFrame, skip: Column, key: str, ts: str, order: str, window: float, most: int) -> DataFrame:
+    """df with status and retry_after: requests on the skip list are never counted, refused ones get 429 and the window's seconds."""
+    free = df.where(skip).select("*", F.lit(200).alias("status"), F.lit(None).cast("int").alias("retry_after"))
+    held = admitted(df.where(~skip), key, ts, order, window, most)
+    refused = ~F.col("admitted")
+    return free.unionByName(held.select(*df.columns, F.when(refused, 429).otherwise(200).alias("status"), F.when(refused, int(window)).alias("retry_after")))
+
+
 class Admission(StatefulProcessor):
     """The same as state of a stream: the times let in, by key. Old ones leave as new ones come."""
 
