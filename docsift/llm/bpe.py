@@ -30,7 +30,7 @@ from docsift.session import prepare
 #: White space of the pattern's engine (Unicode White_Space); Python's own \s also has 0x1C-0x1F.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries of a worker's caches; they are emptied when full.
-CACHE = 100_000
+CACHE = 400_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -276,6 +276,7 @@ class Encoder:
     """Whole texts to ids. Stretches between blanks and pieces that came before are taken from caches of bounded size."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.cache = CACHE
         self.vocabulary, self.pattern = Vocabulary(ranks), compile_pattern(pattern)
         self.batch = BatchTable(self.vocabulary)
         self.pieces: dict[str, bytes] = {}
@@ -316,12 +317,12 @@ class Encoder:
                 short[p] = raw
         self.pieces.update(zip(short, self.batch.encode(list(short.values())), strict=True))
         get = self.pieces.__getitem__
-        known.update((s, b"".join(map(get, pieces))) for s, pieces in split.items())
+        known.update({s: get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces)) for s, pieces in split.items()})
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for cache in (self.pieces, self.first, self.after):
-            if len(cache) > CACHE:
+            if len(cache) > self.cache:
                 cache.clear()
         cuts = [self.cut(t) for t in texts]
         self._learn(self.first, {c[0] for c in cuts}.difference(self.first), "")
@@ -360,13 +361,15 @@ def encoder(key: str, data: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True, rows: int = 1000, cache: int = CACHE) -> DataFrame:
     """df with `ids` (binary: little-endian uint32; left out where ids is false), `n_tokens`, `ids_sha256` and `decoded_sha256`.
 
+    rows (texts encoded at once) and cache (entries of each of a worker's caches) weigh memory against time only.
+
     ranks_path is read by the driver and broadcast; a vocabulary is a file of bounded size.
     """
     spark = df.sparkSession
-    prepare(spark, rows=400)
+    prepare(spark, rows)
     with open(ranks_path, "rb") as f:
         raw = f.read()
     shared = spark.sparkContext.broadcast(raw)
@@ -381,6 +384,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(key, shared.value, pattern)
+        enc.cache = cache
         for batch in batches:
             n, a, b, raws = [], [], [], []
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
