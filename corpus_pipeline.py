@@ -62,7 +62,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and the hashes of ids and of the bytes they decode to."""
     import public_tokenizers as public
 
-    return encode_documents(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    # The last of five stages in the same executors: less memory for somewhat more time.
+    return encode_documents(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, rows=400, cache=100_000)
 
 
 STAGES = [
