@@ -50,13 +50,16 @@ def extension_allowed(name: Column, allowed: list[str]) -> Column:
 
 
 def _strings(stream: bytes) -> str:
-    """The text shown by a content stream: literal strings before Tj, ' and in TJ arrays."""
+    """The text shown by a content stream: literal and hexadecimal strings before Tj, ' and in TJ arrays."""
     out = []
-    for m in re.finditer(rb"\((?:\\.|[^\\()])*\)|T[*dDm]|'", stream):
+    for m in re.finditer(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|T[*dDm]|'", stream):
         s = m[0]
         if s[:1] == b"(":
             s = re.sub(rb"\\([nrtbf()\\])", lambda x: {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}.get(x[1], x[1]), s[1:-1])
             out.append(s.decode("latin-1"))
+        elif s[:1] == b"<":
+            digits = b"".join(s[1:-1].split())
+            out.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1"))
         else:
             out.append("\n")
     return "".join(out).strip()
@@ -68,8 +71,8 @@ def pdf_pages(content: bytes, most_pages: int = MOST_PAGES, most_chars: int = MO
         yield 0, "", "ENCRYPTED"
         return
     n = 0
-    for m in re.finditer(rb"<<(.{0,4000}?)>>\s*stream\r?\n(.*?)\r?\n?endstream", content, re.S):
-        head, body = m[1], m[2]
+    for m in re.finditer(rb"(?<!end)stream\r?\n(.*?)\r?\n?endstream", content, re.S):
+        head, body = content[content.rfind(b"obj", 0, m.start()) + 3 : m.start()], m[1]
         if b"/Subtype" in head or b"/Type" in head:
             continue
         n += 1

@@ -163,6 +163,28 @@ def test_pdf_pages(spark, tmp_path):
     assert [r.text for r in spark.read.format("pdf_pages").load(str(tmp_path / "a.pdf")).orderBy("page_number").collect()] == ["one", "two"]
 
 
+def test_pdf_long_dictionaries_and_hexadecimal_strings():
+    from docsift.sources.files import pdf_pages
+
+    head = b"%PDF-1.4\n1 0 obj << /Length 30 /Note (" + b"x" * 9000 + b") /Inner << /A 1 >> >>\nstream\n"
+    assert list(pdf_pages(head + b"BT <48 656C6C6F> Tj T* (you) Tj ET\nendstream endobj")) == [(1, "Hello\nyou", None)]
+
+
+def test_providers_are_asked_by_batches_and_again():
+    from docsift.operators import providers as U
+
+    calls = []
+
+    def shaky(prompts):
+        calls.append(len(prompts))
+        if len(prompts) > 1 or len(calls) == 2:
+            raise TimeoutError("time-out")
+        return ["{}" for _ in prompts]
+
+    assert U.ask(U.Named("a", shaky), ["p", "q"]) == [("{}", None), ("{}", None)] and calls == [2, 1, 1, 1]
+    assert U.ask(U.Named("b", lambda ps: ["no" for _ in ps]), ["p"]) == [(None, "no JSON")]
+
+
 def test_provider_chain(spark):
     def broken(prompts):
         raise RuntimeError("down")
