@@ -69,11 +69,26 @@ def wrap_paragraphs(c: Column, width: int = 80) -> Column:
     return F.array_join(F.transform(F.filter(F.split(c, "\n\n"), lambda p: strip(p) != ""), lambda p: F.concat(wrap(p), F.lit("\n"))), "\n")
 
 
+#: Letters that F.upper turns into several, and the one letter that stands for each (itself, where there is none).
+MANY = "".join(x for x in map(chr, range(0x110000)) if len(x.upper()) > 1)
+ONE = "".join("ẞ" if x == "ß" else x.title() if len(x.title()) == 1 else x for x in MANY)
+
+
+def upper_first(c: Column) -> Column:
+    """The first letter in upper case, as one letter always."""
+    first = F.substring(c, 1, 1)
+    return F.concat(F.when(F.contains(F.lit(MANY), first), F.translate(first, MANY, ONE)).otherwise(F.upper(first)), F.substring(c, 2, 1 << 30))
+
+
+def stop(c: Column) -> Column:
+    """Sentence, where blanks are collapsed already."""
+    up = upper_first(c)
+    return F.when(c == "", c).when(c.rlike(r"[.!?]\z"), up).otherwise(F.concat(up, F.lit(".")))
+
+
 def sentence(c: Column) -> Column:
     """Blanks collapsed, first letter in upper case, a full stop at the end if no mark is there."""
-    t = normalize_whitespace(F.coalesce(c, F.lit("")))
-    up = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
-    return F.when(t == "", t).when(up.rlike("[.!?]$"), up).otherwise(F.concat(up, F.lit(".")))
+    return stop(normalize_whitespace(F.coalesce(c, F.lit(""))))
 
 
 def dedup_key(c: Column) -> Column:

@@ -11,8 +11,7 @@ from docsift.functions import text as T
 
 def _stop(t: str) -> Column:
     """T.sentence, the blanks of column t being collapsed already."""
-    up = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
-    return F.when(F.col(t) == "", "").when(F.col(t).rlike("[.!?]$"), up).otherwise(F.concat(up, F.lit(".")))
+    return T.stop(F.col(t))
 
 
 def normalize(raw: DataFrame) -> DataFrame:

@@ -30,6 +30,21 @@ def test_document_dates(spark):
     assert got == ["2024-01-31 12:00:00", "2024-02-31 00:00:00", None, None, None, None]
 
 
+def test_sentence_as_its_sql(spark, tmp_path):
+    """First letters of every kind, blanks and nulls: t8_sentence gives what its SQL gives."""
+    import duckdb
+
+    from docsift.plans import all as plans
+
+    letters = [chr(i) for i in range(1, 0x110000) if len(chr(i).upper()) > 1] + ["ß", "é", "ǆ", "ı", "\U0001f600"]
+    texts = [x + "a b" for x in letters] + [None, "", " ", "\u00a0x", "x\u2003", "x.\x85", "x.\n", "\x0bx", "x. \x0b y", "ßs\x1fx!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["t8_sentence"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.sql(f"{plans.SQL['t8_sentence']} ORDER BY doc_id").fetchall()
+
+
 def test_sentence_and_key(spark):
     assert values(spark, ["", "x", "  a\t b ", "ends!", None], T.sentence) == ["", "X.", "A b.", "Ends!", ""]
     assert values(spark, ["The é à b", "the of"], T.dedup_key) == ["é à b", ""]
