@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docsift.functions.text import strip, words
+from docsift.functions.text import BLANK, BLANKS, strip, words
 
 ITEM = r"^\s*(?:[-*•●▪]|\d+[.)]|\([A-Za-z]\)|[A-Za-z]\.)\s+(.+)$"
 NUMBERED = r"^(\d+(\.\d+)*)[.)]?\s+\S"
@@ -23,11 +23,14 @@ def html_to_text(c: Column) -> Column:
 
 def paragraphs(pages: DataFrame, text: str = "text") -> DataFrame:
     """One row a paragraph that isn't blank: pos, paragraph; `text` goes."""
-    return pages.select("*", F.posexplode(F.split(F.col(text), "\n\n")).alias("pos", "paragraph")).where(strip(F.col("paragraph")) != "").drop(text)
+    return pages.select("*", F.posexplode(F.split(F.col(text), "\n\n")).alias("pos", "paragraph")).where(F.ltrim(F.col("paragraph"), F.lit(BLANKS)) != "").drop(text)
 
 
 def is_heading(line: Column) -> Column:
-    w = words(line)
+    return _is_heading(line, words(line))
+
+
+def _is_heading(line: Column, w: Column) -> Column:
     n = F.size(w)
     upper = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}")))
     any_of = line.rlike(NUMBERED) | (line.rlike(CAPS) & line.rlike("[A-Z]")) | line.endswith(":") | (upper >= F.lit(0.7) * n)
@@ -38,21 +41,39 @@ def heading_level(line: Column) -> Column:
     return F.when(line.rlike(NUMBERED) & F.contains(F.split_part(line, F.lit(" "), F.lit(1)), F.lit(".")), 2).otherwise(1)
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once a row: what is asked of them later isn't merged into their expressions, as it is with select."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def blocks(paras: DataFrame) -> DataFrame:
-    """Adds block_type, level, items, n_rows, n_columns and confidence: a table first, then a list, a heading, a paragraph."""
-    x = paras.withColumn("lines", F.filter(F.transform(F.split("paragraph", "\n"), strip), lambda s: s != ""))
-    x = x.withColumn("cells", F.transform(F.split("paragraph", "\n"), lambda s: F.size(F.filter(F.split(strip(s), r"\s{2,}|\t"), lambda c: c != ""))))
-    x = x.withColumn("wide", F.filter("cells", lambda n: n >= 2)).withColumn("items", F.transform(F.filter("lines", lambda s: s.rlike(ITEM)), lambda s: F.regexp_extract(s, ITEM, 1)))
+    """Adds block_type, level, items, n_rows, n_columns and confidence: a table first, then a list, a heading, a paragraph.
+
+    What only some blocks need is computed for those that may be such: cells where there are gaps, items of several
+    lines, words (13 at most, and the rest) of a single line without a mark at its end.
+    """
+    x = _once(paras, F.filter(F.transform(F.split("paragraph", "\n"), strip), lambda s: s != "").alias("__lines"))
+    lines = F.col("__lines")
+    first = F.get(lines, 0)
+    gaps = F.lit(False)
+    for blank in ("  ", "\t", "\x0b", "\f", "\r"):
+        gaps = gaps | F.contains("paragraph", F.lit(blank))
+    cells = F.transform(lines, lambda s: F.size(F.filter(F.split(s, r"\s{2,}|\t"), lambda c: c != "")))
+    wide = F.when(gaps & (F.size(lines) >= 2), F.filter(cells, lambda n: n >= 2)).otherwise(F.array().cast("array<int>"))
+    items = F.when(F.size(lines) >= 2, F.transform(F.filter(lines, lambda s: s.rlike(ITEM)), lambda s: F.regexp_extract(s, ITEM, 1))).otherwise(F.array().cast("array<string>"))
+    marked = first.endswith(".") | first.endswith(",") | first.endswith(";")
+    x = _once(x, wide.alias("__wide"), items.alias("__items"), F.when((F.size(lines) == 1) & ~marked, F.split(first, f"{BLANK}+", 14)).alias("__words"))
+    w, items = F.col("__wide"), F.col("__items")
     # The most frequent number of cells, the smallest of equals.
-    x = x.withColumn("mode", F.array_max(F.transform(F.array_distinct("wide"), lambda v: F.struct(F.size(F.filter("wide", lambda y: y == v)).alias("n"), (-v).alias("v")))))
-    first = F.get("lines", 0)
-    kind = F.when(F.size("wide") >= 2, "table").when(F.size("items") >= 2, "list").when((F.size("lines") == 1) & is_heading(first), "heading").otherwise("paragraph")
+    mode = F.array_max(F.transform(F.array_distinct(w), lambda v: F.struct(F.size(F.filter(w, lambda y: y == v)).alias("n"), (-v).alias("v"))))
+    kind = F.when(F.size(w) >= 2, "table").when(F.size(items) >= 2, "list").when(F.col("__words").isNotNull() & _is_heading(first, F.col("__words")), "heading").otherwise("paragraph")
     x = x.withColumn("block_type", kind)
     table = F.col("block_type") == "table"
+    x = x.withColumn("__mode", F.when(table, mode))
     return x.select(
         *[c for c in paras.columns], "block_type", F.when(F.col("block_type") == "heading", heading_level(first)).alias("level"),
-        F.when(F.col("block_type") == "list", F.col("items")).alias("items"), F.when(table, F.size("lines")).alias("n_rows"), F.when(table, -F.col("mode.v")).alias("n_columns"),
-        F.when(table, F.round(F.least(F.lit(0.95), F.lit(0.4) + F.lit(0.5) * F.col("mode.n") / F.size("wide")), 2)).alias("confidence"))
+        F.when(F.col("block_type") == "list", items).alias("items"), F.when(table, F.size(lines)).alias("n_rows"), F.when(table, -F.col("__mode.v")).alias("n_columns"),
+        F.when(table, F.round(F.least(F.lit(0.95), F.lit(0.4) + F.lit(0.5) * F.col("__mode.n") / F.size(w)), 2)).alias("confidence"))
 
 
 def sections(blks: DataFrame, doc: str = "doc_id", page: str = "page_number") -> DataFrame:

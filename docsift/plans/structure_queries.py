@@ -34,7 +34,7 @@ TAILS = ["\n\n- first item\n* second item\nnot an item\n(a) third item", "\n\nna
 def _pages(spark, d):
     k = o("doc_id")
     tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (k % 4 + 1).cast("int"))
-    t = F.when(k % 11 == 0, " ").otherwise(F.concat(F.regexp_replace(F.replace(o("text"), F.lit(" | "), F.lit("   ")), r"\.\n", ".\n\n"), tail))
+    t = F.when(k % 11 == 0, " ").otherwise(F.concat(F.replace(F.replace(o("text"), F.lit(" | "), F.lit("   ")), F.lit(".\n"), F.lit(".\n\n")), tail))
     x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", t.alias("t"))
     half = F.floor(F.length("t") / F.lit(2)).cast("int")
     return x.select("doc_id", F.posexplode(F.array(F.substring(o("t"), F.lit(1), half), F.substring(o("t"), half + 1, F.length("t")))).alias("p", "text")).select("doc_id", (o("p") + 1).alias("page_number"), "text")
@@ -118,7 +118,7 @@ def st8(spark, d):
 
 @query("st9_document_status", f"WITH {BL} SELECT d.doc_id, count(bl.pos) AS n_blocks, CASE WHEN count(bl.pos) > 0 THEN 'ok' ELSE 'no text' END AS status FROM documents d LEFT JOIN bl ON d.doc_id = bl.doc_id GROUP BY d.doc_id")
 def st9(spark, d):
-    b = _blocks(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    b = ST.paragraphs(_pages(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))  # a block each
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id").join(b, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_blocks"), F.when(o("n") > 0, "ok").otherwise("no text").alias("status"))
 
 

@@ -68,6 +68,29 @@ def test_headings(spark):
     assert values(spark, lines[:3], ST.heading_level) == [2, 1, 2]
 
 
+def test_blocks_are_made_once(spark):
+    """A filter on the blocks' kind doesn't repeat how the kind is found."""
+    import re
+
+    pages = spark.createDataFrame([(1, 1, "a")], "doc_id int, page_number int, text string")
+    plan = ST.blocks(ST.paragraphs(pages)).where("block_type = 'heading'")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"split\(paragraph#", plan)) == 1
+
+
+def test_blocks_of_odd_paragraphs(spark):
+    page = "\n\n".join(["One Two\u00a0Three Four Five Six Seven Eight Nine Ten Eleven Twelve", "One Two Three Four Five Six Seven Eight Nine Ten Eleven Twelve Thirteen", "A  B", "a\x0b\x0bb\nc\td", "a \x0bb\n c\r\rd", "- one", " - one\n\u2003\u2022 two\x85", "No Mark,", "Roof:\u3000", "\u2028\x1c", "\u00a0x"])
+    rows = ST.blocks(ST.paragraphs(spark.createDataFrame([(1, 1, page)], "doc_id int, page_number int, text string"))).orderBy("pos").collect()
+    assert [(r.pos, r.block_type, r.n_columns, r["items"]) for r in rows] == [
+        (0, "heading", None, None), (1, "paragraph", None, None), (2, "heading", None, None), (3, "table", 2, None), (4, "table", 2, None),
+        (5, "paragraph", None, None), (6, "list", None, ["one", "two"]), (7, "paragraph", None, None), (8, "heading", None, None), (10, "paragraph", None, None)]
+
+
+def test_blanks_as_a_list(spark):
+    df = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343 AND id <> 65279").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert df.where(F.col("c").rlike(T.BLANK) != F.contains(F.lit(T.BLANKS), F.col("c"))).count() == 0
+    assert values(spark, [" \t", "\u2003a \x1c b\x85\n", None, ""], T.strip) == ["", "a \x1c b", None, ""]
+
+
 def test_blocks(spark):
     page = "Title Line\n\n- one\n- two\nstray\n\na  b\nc  d\n\n- lonely\n\nplain words here, and more of them follow."
     rows = ST.blocks(ST.paragraphs(spark.createDataFrame([(1, 1, page)], "doc_id int, page_number int, text string"))).orderBy("pos").collect()
