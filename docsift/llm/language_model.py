@@ -152,11 +152,16 @@ def narrow(x: np.ndarray, steps: bool = False) -> bytes:
 
 def wide(raw: bytes, count: int, steps: bool = False) -> np.ndarray:
     """`count` natural numbers of any width."""
+    return _as_packed(raw, count, steps).astype(np.int64)
+
+
+def _as_packed(raw: bytes, count: int, steps: bool = False) -> np.ndarray:
+    """The same in the type they were packed in."""
     if not count:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8)
     planes = np.frombuffer(_UNPACK(raw), np.uint8).reshape(-1, count)
     x = np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel()
-    return (np.cumsum(x, dtype=x.dtype) if steps else x).astype(np.int64)
+    return np.cumsum(x, dtype=x.dtype) if steps else x
 
 
 def hashes(x: np.ndarray) -> bytes:
@@ -495,15 +500,26 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = sorted(zip(*(right.column(x).to_pylist() for x in ("part", "p", "words", "m", "c")), strict=True))
-        p = np.frombuffer(b"".join(x[1] for x in found), "<f4").astype(float)
-        c = np.concatenate([np.repeat(wide(c, n), wide(m, n)) for _, _, n, m, c in found]).astype(float)
-        base = np.log10((c + 1) / (total + 1.0 * (kinds + 1)))
+        p = np.frombuffer(b"".join(x[1] for x in found), "<f4")
+        c = np.concatenate([wide(c, n) for _, _, n, _, c in found])  # by word
+        word = np.repeat(np.arange(len(c), dtype=np.int32), np.concatenate([wide(m, n) for _, _, n, m, _ in found]))
+        del found
+        base, seen = np.log10((c + 1) / (total + 1.0 * (kinds + 1))), (c > 0).astype(np.int64)
         rows = []
-        for ks, train, sizes, stream in zip(*(left.column(x).to_pylist() for x in ("k", "train", "sizes", "stream")), strict=True):
-            at = wide(stream, sum(sizes))
-            begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-            known, low, high = (np.add.reduceat(x[at], begin) for x in ((c > 0).astype(np.int64), base, p))
-            rows += zip(ks, [k is not None and not t for k, t in zip(ks, train, strict=True)], sizes, known.tolist(), [total] * len(ks), low.tolist(), high.tolist(), strict=True)
+        for ks, train, sizes, stream in zip(*(left.column(x) for x in ("k", "train", "sizes", "stream")), strict=True):
+            ks, train, sizes = ks.as_py(), train.as_py(), np.array(sizes.as_py(), np.int64)
+            ends = np.cumsum(sizes)
+            at = _as_packed(stream.as_buffer(), int(ends[-1]))
+            sums, i = [], 0
+            while i < len(sizes):  # some documents at a time
+                start = ends[i] - sizes[i]
+                j = max(i + 1, int(np.searchsorted(ends, start + RUN, "right")))
+                pairs = at[start : ends[j - 1]]
+                words = word[pairs]
+                sums.append([np.add.reduceat(x, ends[i:j] - sizes[i:j] - start) for x in (seen[words], base[words], p[pairs].astype(float))])
+                i = j
+            known, low, high = (np.concatenate(x).tolist() for x in zip(*sums, strict=True))
+            rows += zip(ks, [k is not None and not t for k, t in zip(ks, train, strict=True)], sizes.tolist(), known, [total] * len(ks), low, high, strict=True)
         types = [(name, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
         return pa.Table.from_batches([_batch(rows, types)])
 

@@ -531,6 +531,12 @@ def test_language_model_is_the_same_for_any_partitions(spark):
     assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][k], got[1][k], abs_tol=1e-6) for k in got[0])
 
 
+def test_language_model_streams_stay_narrow():
+    x = np.arange(1 << 17) % 60000
+    got = language_model._as_packed(language_model.narrow(x), len(x))
+    assert got.dtype == np.uint16 and (got == x).all()
+
+
 def test_language_model_packing():
     rng = np.random.default_rng(1)
     for x in (np.zeros(0, np.int64), rng.integers(0, 200, 50), rng.integers(0, 1 << 40, 50), np.array([65535, 0, 3, 65535])):
