@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -115,6 +117,21 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextmanager
+def dealt(spark: SparkSession, rows: int, most: int) -> Iterator[bool]:
+    """Shuffles planned inside have partitions of `most` rows or so at most; whether that needs more of them than are set. Adaptive execution joins small ones."""
+    n = -(-rows // most)
+    more = n > partitions(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if more:
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield more
+    finally:
+        if more:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def extend(schema: T.StructType, *fields: tuple[str, str | T.DataType]) -> T.StructType:
     """A new schema with further fields."""
     out = T.StructType(list(schema.fields))
