@@ -119,17 +119,19 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
 
 @contextmanager
 def dealt(spark: SparkSession, rows: int, most: int) -> Iterator[bool]:
-    """Shuffles planned inside have partitions of `most` rows or so at most; whether that needs more of them than are set. Adaptive execution joins small ones."""
+    """Shuffles planned inside have partitions of `most` rows or so at most; whether that needs more of them than are set.
+    If it does, adaptive execution doesn't join them again: it goes by compressed bytes, which grow tenfold and more in a task."""
     n = -(-rows // most)
     more = n > partitions(spark)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    if more:
-        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    new = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"} if more else {}
+    before = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield more
     finally:
-        if more:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def extend(schema: T.StructType, *fields: tuple[str, str | T.DataType]) -> T.StructType:

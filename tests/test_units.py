@@ -73,7 +73,7 @@ def test_large_reports_have_more_partitions(spark, sf, monkeypatch):
     from docsift.operators import report as R
 
     obs, inputs = X.observations(spark, sf), X.inputs(spark, sf)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+    before, joins = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     for make in (lambda: R.report(obs, inputs), lambda: R.report_lines(obs)):
         small, seen = sorted(map(repr, make().collect())), []
         with monkeypatch.context() as m:
@@ -81,7 +81,7 @@ def test_large_reports_have_more_partitions(spark, sf, monkeypatch):
             m.setattr(R, "stash", lambda df, name, real=R.stash: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), real(df, name))[1])
             large = make()
         assert min(seen) >= obs.count() // 100 > int(before)
-        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == joins
         assert sorted(map(repr, large.collect())) == small
 
 
